@@ -39,6 +39,14 @@ FROM n
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs, file = common.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    model = language_id.fit(docs.where(~language_id.held_out()), file)
+    return language_id.predict(docs, model, file).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets, secret_digests
 
@@ -58,3 +66,9 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.canonical_turns(records, "record").select("conv_id", "turn", F.posexplode("turns").alias("part", "t"))
     chats = chat_format.format_chats(turns.select("conv_id", "turn", "part", "t.role", "t.text"), order_cols=("turn", "part"))
     return chat_format.chat_digests(chats)
+
+
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_trie import encode_texts, encoding_digests
+
+    return encoding_digests(encode_texts(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
