@@ -72,3 +72,9 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_trie import encode_texts, encoding_digests
 
     return encoding_digests(encode_texts(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(common.table(spark, sf_dir, "pages"))
