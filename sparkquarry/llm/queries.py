@@ -78,3 +78,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_text
 
     return extract_text(common.table(spark, sf_dir, "pages"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
