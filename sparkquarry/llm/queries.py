@@ -84,3 +84,25 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_documents
+
+    return score_documents(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_exact_dedup, op3_language_id, op4_secret_scan, op5_near_dedup,
+        op6_decontamination, op7_chat_formatting, op8_bpe_encoding, op9_html_extraction, op10_lm_scoring,
+    )
+}
+ORACLES = {"op2_exact_dedup": OP2_SQL}
