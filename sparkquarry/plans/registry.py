@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with the SQL of the same rows."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
+    """An inline table from SQL VALUES, the same text that the oracle uses."""
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+
+from . import corpus, findings, graphs, relational, retrieval  # noqa: E402,F401  they register themselves
