@@ -31,4 +31,18 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
+def shared(name: str, sql: str, spark_sql: str | None = None, oracle: str | None = None) -> None:
+    """Register SQL over driver tables named in braces; both engines run the same text unless the dialects differ."""
+    tables = {t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations") if f"{{{t}}}" in (spark_sql or sql)}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(spark_sql or sql, **{t: table(spark, sf_dir, t) for t in tables})
+
+    run.__name__ = name
+    plain = oracle or sql
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"):
+        plain = plain.replace(f"{{{t}}}", t)
+    query(plain)(run)
+
+
 from . import corpus, findings, graphs, relational, retrieval  # noqa: E402,F401  they register themselves
