@@ -24,8 +24,8 @@ WORDS = 5
 SIMILAR = 75
 #: Signatures in a collection and minhashes in a signature. A pair at similarity 0.75 shares no key with chance 2 * (1 - 0.75 ** R) ** M = 0.0005.
 M, R = 10, 2
-#: Pivots of a key grow by this factor a round.
-GROWTH = 4
+#: Rounds of one comparison a document, before the pivots of a key grow by a factor each round.
+DRAWS, GROWTH = 4, 4
 KEPT = 400_000
 SHUFFLE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,18 +180,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("id").alias("cb"))
     first = labels.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"), F.col("id").alias("ca"), F.col("n").alias("na")).join(leads, "b")
     labels = merged(labels, confirmed(first))
+    def open_tables(labels: DataFrame) -> DataFrame:
+        """Rows of the keys whose members are still in two components or more."""
+        placed = tables.select("key", "id", "n", "members").join(labels.select("id", "component"), "id")
+        keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return checkpointed(placed.join(keys, "key", "left_semi"))
+
+    # rounds of one comparison a document at most: with one of the leads of its open keys, drawn anew each round
+    for draw in range(DRAWS):
+        rows = open_tables(labels)
+        if rows.isEmpty():
+            break
+        lead = F.struct(F.xxhash64("id", F.lit(draw)).alias("at"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+        leads_of = rows.groupBy("key").agg(F.min(lead).alias("lead"))
+        met = rows.join(leads_of, "key").where("lead.cb <> component").groupBy("id", "component", "n").agg(F.min("lead").alias("lead"))
+        labels = merged(labels, confirmed(met.select(F.col("id").alias("a"), "lead.b", F.col("component").alias("ca"), "lead.cb", F.col("n").alias("na"), "lead.nb")))
+
+    # then every pair of an open key that is in two components, pivots by slices that grow
     most, low, high = tables.agg(F.max("members")).first()[0] or 0, 0, 1
+    tested = None
     while low < most:
-        placed = tables.select("key", "id", "n", "members").join(labels.select("id", "component"), "id")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        open_rows = checkpointed(placed.join(open_keys, "key", "left_semi").withColumn("place", _place("id")))
-        if open_rows.isEmpty():
+        rows = open_tables(labels)
+        if rows.isEmpty():
             break
+        rows = rows.withColumn("place", _place("id"))
         slice_ = f"place * members >= {low} and place * members < {high}" if high < most else f"place * members >= {low}"
-        pivots = open_rows.where(slice_).select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("from"))
-        pairs = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "place").join(pivots, "key").where("place > from and ca <> cb")
+        pivots = rows.where(slice_).select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("from"))
+        pairs = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "place").join(pivots, "key").where("place > from and ca <> cb")
         pairs = pairs.where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "ca", "cb", "na", "nb").distinct()
+        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         labels = merged(labels, confirmed(pairs))
+        tested = tested.union(pairs.select("a", "b")) if tested else pairs.select("a", "b")
         low, high = high, high + (high - low) * GROWTH
 
     members = signed.join(classes.select("shape", "rep"), "shape", "left")
