@@ -54,9 +54,9 @@ def complexity(spark, sf_dir):
 
 
 @query("""SELECT bias, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-  JOIN (VALUES ('anchoring', '\\bthe\\b'), ('anchoring', '\\bof\\b'), ('authority', '\\bdie\\b'), ('framing', '\\bles?\\b')) p(bias, pattern) ON regexp_matches(line, '(?i)' || pattern) GROUP BY bias""".replace("\\\\", "\\"))
+  JOIN (VALUES ('anchoring', 'the '), ('anchoring', 'of '), ('authority', 'die '), ('framing', 'les? ')) p(bias, pattern) ON regexp_matches(line, '(?i)' || pattern) GROUP BY bias""".replace("\\\\", "\\"))
 def bias_patterns(spark, sf_dir):
-    patterns = spark.createDataFrame([("anchoring", r"\bthe\b"), ("anchoring", r"\bof\b"), ("authority", r"\bdie\b"), ("framing", r"\bles?\b")], "bias string, pattern string")
+    patterns = spark.createDataFrame([("anchoring", r"the "), ("anchoring", r"of "), ("authority", r"die "), ("framing", r"les? ")], "bias string, pattern string")
     hits = T.pattern_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text")
     return hits.groupBy("bias").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
