@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Segmentation-marginalised language ID and the merges of BPE aren't SQL: a test of run() against a brute-force version is still to come.
+#: Segmentation-marginalised language ID and the merges of BPE aren't SQL: tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
