@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import bpe_trie, common, decontaminate, exact_dedup, katz, language_id, near_dedup
+from sparkquarry.llm import bpe_trie, common, decontaminate, exact_dedup, language_id, near_dedup
 from sparkquarry.llm.queries import tokenizer_file
 
 #: Least posterior of a language that a document is kept for.
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        folder = katz.shared_folder(spark, name)
+        folder = common.shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +38,39 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that the cluster names in spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, with Spark's own subfolder.
 
     The session's setting is used; only where it is unset (tests on one machine) a temporary folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the checkpoint folder; partitioning stays known."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, for loops.
+
+    A checkpoint keeps its plan's estimated size, for a join the product of both sides: over rounds a number of ever more
+    digits, until the driver's memory is full. A table has the size of its files.
+    """
+    folder = shared_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that plus one."""
     return df.limit(rows + 1).count() <= rows

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, text_or_empty
+from .common import checkpointed, small_batches, text_or_empty, written
 
 WORDS = 5
 #: Linked if 100 * intersection >= SIMILAR * union.
@@ -119,13 +119,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), by spreading the least label and jumping to labels' labels."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("heard"))
         nearer = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("before"), F.least("root", "heard").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        after = checkpointed(nearer.join(jump, "root").select("node", "before", F.least("root", "beyond").alias("root")))
+        after = written(nearer.join(jump, "root").select("node", "before", F.least("root", "beyond").alias("root")))
         settled = after.where("before <> root").isEmpty()
         labels = after.select("node", "root")
         if settled:
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = checkpointed(keyed)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1")
     tables = checkpointed(keyed.join(sizes, "key"))
-    labels = checkpointed(tables.groupBy("id").agg(F.min("n").alias("n"), F.min("least").alias("least")).withColumn("component", F.col("id")))
+    labels = written(tables.groupBy("id").agg(F.min("n").alias("n"), F.min("least").alias("least")).withColumn("component", F.col("id")))
     sets = checkpointed(_sets(docs, id_col, text_col, labels))
     sized = labels.select("id", "n")
 
@@ -171,11 +171,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(f"100 * common >= {SIMILAR} * (na + nb - common)").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
     def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        edges = checkpointed(edges.distinct())
+        edges = written(edges.distinct())
         if edges.isEmpty():
             return labels
         roots = connected(edges).withColumnRenamed("node", "component")
-        return checkpointed(labels.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
+        return written(labels.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
 
     leads = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("id").alias("cb"))
     first = labels.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"), F.col("id").alias("ca"), F.col("n").alias("na")).join(leads, "b")
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Rows of the keys whose members are still in two components or more."""
         placed = tables.select("key", "id", "n", "members").join(labels.select("id", "component"), "id")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return checkpointed(placed.join(keys, "key", "left_semi"))
+        return written(placed.join(keys, "key", "left_semi"))
 
     # rounds of one comparison a document at most: with one of the leads of its open keys, drawn anew each round
     for draw in range(DRAWS):
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivots = rows.where(slice_).select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("from"))
         pairs = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "place").join(pivots, "key").where("place > from and ca <> cb")
         pairs = pairs.where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "ca", "cb", "na", "nb").distinct()
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         labels = merged(labels, confirmed(pairs))
         tested = tested.union(pairs.select("a", "b")) if tested else pairs.select("a", "b")
         low, high = high, high + (high - low) * GROWTH
