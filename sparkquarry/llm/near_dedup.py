@@ -4,7 +4,9 @@ Two collections of M short signatures (R minhashes each) are drawn per document.
 each, so M * M tables cost 2 * M * R minhashes. Only signatures that two documents share can be part of a shared key, so
 keys are formed for those alone. Candidates within a key are compared with pivots, never all with all: once a component has
 formed, its members need no more comparisons with each other; the number of pivots of a key grows from round to round until
-each pair of its members that is still in two components has been compared.
+each pair of its members that is still in two components has been compared, or shown by bounds not to be linked. Bounds are
+exact: shingles found in one component alone can't be common to a link between two, so a document with too few others is
+done; and a bit of a document's bitmap that the other's lacks is a shingle that isn't common.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ SIMILAR = 75
 #: Signatures in a collection and minhashes in a signature. A pair at similarity 0.75 shares no key with chance 2 * (1 - 0.75 ** R) ** M = 0.0005.
 M, R = 10, 2
 #: Rounds of one comparison a document, before the pivots of a key grow by a factor each round.
-DRAWS, GROWTH = 4, 4
+DRAWS, GROWTH = 4, 16
+#: Longs in the bitmap of a document's shingles.
+BITS = 8
 KEPT = 400_000
 SHUFFLE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,16 +109,23 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n long, shape binary, signatures array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITS, bool)
+    bits[shingles % np.uint64(64 * BITS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted ids."""
+    """(id, shingles, bits) of the wanted ids."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            columns = [[x.view(np.int64) for x in sets], [bitmap(x) for x in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=["id", "shingles", "bits"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
-    return source.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return source.mapInArrow(run, "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -137,6 +148,36 @@ def _place(col: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(col)), 11) / F.lit(float(1 << 53))
 
 
+def _able(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, m) of the documents that may be linked with one of another component; m of their shingles are in two components.
+
+    A link has 75 of 100 of a document's shingles in common at least, and these are in both documents' components.
+    """
+    held = sets.join(open_docs, "id").select("id", "n", "component", F.explode("shingles").alias("shingle"))
+    crossing = held.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    return held.join(crossing, "shingle", "left_semi").groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(f"100 * m >= {SIMILAR} * n")
+
+
+def _rows(both: DataFrame, able: DataFrame) -> DataFrame:
+    """A row for each key of the able documents, with the signatures below the key's own, by which a pair knows its least key."""
+    own = both.select(F.col("rep").alias("id"), "first", "second").join(able, "id")
+    for side, sign in (("first", "f"), ("second", "s")):
+        own = own.withColumn(sign, F.explode(side)).withColumn(f"below_{sign}", F.expr(f"filter({side}, x -> x < {sign})"))
+    own = own.withColumn("key", F.xxhash64("f", "s")).select("key", "id", "n", "m", "below_f", "below_s", *(F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITS)))
+    return own.join(own.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+
+
+def _unruled(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b, ca, cb, na, nb) of rows a and pivots b, each pair at its least key alone, that may be linked."""
+    lacking = [" + ".join(f"bit_count({x}.w{i} & ~{y}.w{i})" for i in range(BITS)) for x, y in ("ab", "ba")]
+    bounds = ["a.m", "b.m", f"(a.n - ({lacking[0]}))", f"(b.n - ({lacking[1]}))"]  # on the size of the intersection, cheapest first
+    may = " and ".join(f"{100 + SIMILAR} * {most} >= {SIMILAR} * (a.n + b.n)" for most in bounds)
+    met = "a.key = b.key and (a.place > b.place or a.place = b.place and a.id > b.id) and a.component <> b.component"
+    least_key = "not arrays_overlap(a.below_f, b.below_f) and not arrays_overlap(a.below_s, b.below_s)"
+    pairs = rows.join(pivots, F.expr(f"{met} and {may} and {least_key}"))
+    return pairs.selectExpr("a.id as a", "b.id as b", "a.component as ca", "b.component as cb", "a.n as na", "b.n as nb")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: components of links between documents' whole shingle sets.
 
@@ -154,9 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = drawn.join(shared, "signature").groupBy("rep", "n").agg(
         F.collect_list(F.when(F.col("at") < M, F.col("signature"))).alias("first"), F.collect_list(F.when(F.col("at") >= M, F.col("signature"))).alias("second")
     )
+    both = checkpointed(both)
     crossed = both.select(F.col("rep").alias("id"), "n", F.explode("first").alias("f"), "second").select("id", "n", "f", F.explode("second").alias("s"))
     keyed = crossed.select("id", "n", F.xxhash64("f", "s").alias("key"))
-    keyed = checkpointed(keyed)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1")
     tables = checkpointed(keyed.join(sizes, "key"))
     labels = written(tables.groupBy("id").agg(F.min("n").alias("n"), F.min("least").alias("least")).withColumn("component", F.col("id")))
@@ -180,6 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("id").alias("cb"))
     first = labels.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"), F.col("id").alias("ca"), F.col("n").alias("na")).join(leads, "b")
     labels = merged(labels, confirmed(first))
+
     def open_tables(labels: DataFrame) -> DataFrame:
         """Rows of the keys whose members are still in two components or more."""
         placed = tables.select("key", "id", "n", "members").join(labels.select("id", "component"), "id")
@@ -196,22 +238,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = rows.join(leads_of, "key").where("lead.cb <> component").groupBy("id", "component", "n").agg(F.min("lead").alias("lead"))
         labels = merged(labels, confirmed(met.select(F.col("id").alias("a"), "lead.b", F.col("component").alias("ca"), "lead.cb", F.col("n").alias("na"), "lead.nb")))
 
-    # then every pair of an open key that is in two components, pivots by slices that grow
-    most, low, high = tables.agg(F.max("members")).first()[0] or 0, 0, 1
-    tested = None
+    # then every pair of an open key that is in two components and that no bound rules out, pivots by slices that grow
+    able = _able(open_tables(labels).select("id", "component", "n").distinct(), sets)
+    rows = written(_rows(both, able.join(sets.select("id", "bits"), "id")))
+    most, low, high = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0, 0, 4
     while low < most:
-        rows = open_tables(labels)
-        if rows.isEmpty():
+        placed = rows.join(labels.select("id", "component"), "id")
+        keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        placed = written(placed.join(keys, "key", "left_semi").withColumn("place", _place("id")))
+        if placed.isEmpty():
             break
-        rows = rows.withColumn("place", _place("id"))
-        slice_ = f"place * members >= {low} and place * members < {high}" if high < most else f"place * members >= {low}"
-        pivots = rows.where(slice_).select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("from"))
-        pairs = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "place").join(pivots, "key").where("place > from and ca <> cb")
-        pairs = pairs.where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "ca", "cb", "na", "nb").distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
-        labels = merged(labels, confirmed(pairs))
-        tested = tested.union(pairs.select("a", "b")) if tested else pairs.select("a", "b")
-        low, high = high, high + (high - low) * GROWTH
+        # slices are of places, the same in every key, so that a pair is met in one round alone: that of its pivot
+        slice_ = f"place * {most} >= {low}" + (f" and place * {most} < {high}" if high < most else "")
+        pairs = _unruled(placed.alias("a"), placed.where(slice_).alias("b"))
+        labels = merged(labels, confirmed(written(pairs)))
+        low, high = high, high * GROWTH
 
     members = signed.join(classes.select("shape", "rep"), "shape", "left")
     found = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
