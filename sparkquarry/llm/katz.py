@@ -1,8 +1,8 @@
 """Bigram language model with Katz backoff over words.
 
-Counts are of all training documents. Words of a bounded core vocabulary (the most frequent) have their own bigrams; all
-other words, the tail, share one symbol in bigrams and are told apart below it. Bigrams with small counts are discounted by
-Good-Turing; what they lose goes to successors that were never seen, in proportion to their unigram probabilities, by a
+Counts are of all training documents, and each word has its own bigrams. The most frequent words, the core, have symbols
+that are known everywhere; all others, the tail, go by hash, and what is known of them is joined by it. The size of the core
+decides how bigrams are stored, not what they count. Bigrams with small counts are discounted by Good-Turing; what they lose goes to successors that were never seen, in proportion to their unigram probabilities, by a
 weight that makes the probabilities of each history sum to one exactly. Unigrams are discounted alike for words never seen.
 """
 
@@ -21,7 +21,8 @@ from .common import checkpointed, remainder, shared_folder, small_batches, text_
 
 #: Words of the core vocabulary, hence rows of the tables that are broadcast: some 4 MB.
 CORE = 1 << 18
-#: Symbols besides the core: end of text (also the history of a first word) and the tail.
+#: Symbols besides the core: end of text (also the history of a first word) and, in tables, the tail as a whole. In texts a
+#: word of the tail is its hash, which is negative.
 END, TAIL, FIRST = 0, 1, 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
@@ -37,7 +38,7 @@ def learns_from(id_col: str = "doc_id") -> Column:
 def word_key(word: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    return (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -61,20 +62,23 @@ def discounts(numbers: dict[int, int]) -> list[float]:
 
 @dataclass(frozen=True)
 class Unigrams:
-    """keys: sorted hashes of core words; symbol: of each key; p: probability of each symbol; tail_types: words besides the core."""
+    """keys: sorted hashes of core words; symbol: of each key; p: probability of each symbol; unseen: of all words that never
+    occur; discount, scale: what a word's share of the tokens is multiplied by, by its count and for all words."""
 
     keys: np.ndarray
     symbols: np.ndarray
     counts: np.ndarray
     p: np.ndarray
-    tail_types: int
+    unseen: float
+    discount: np.ndarray
+    scale: float
     tokens: int
     types: int
     documents: int
 
 
 class Symbols(dict):
-    """word -> symbol, for a bounded number of words."""
+    """word -> symbol, or hash if it has none; for a bounded number of words."""
 
     def __init__(self, unigrams: Unigrams):
         super().__init__()
@@ -85,7 +89,7 @@ class Symbols(dict):
             self.clear()
         key = word_key(word)
         at = int(np.searchsorted(self.keys_, key))
-        value = self[word] = int(self.symbols_[at]) if at < len(self.keys_) and self.keys_[at] == key else TAIL
+        value = self[word] = int(self.symbols_[at]) if at < len(self.keys_) and self.keys_[at] == key else key
         return value
 
 
@@ -117,19 +121,17 @@ def fit_unigrams(words: DataFrame, documents: int, core: int = CORE) -> Unigrams
     types, tokens = totals["types"] + (documents > 0), totals["n"] + documents  # the end is a token and a type
     n = np.r_[documents, 0, top["n"].to_numpy(np.int64)]
     d = np.array(discounts(numbers))
-    share = np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n / max(tokens, 1)
-    share[TAIL] = 0
-    rest = 1 - share.sum()
-    least = 1 / (tokens + 1)  # something is left for words that were never seen
-    if rest < least:
-        share *= (1 - least) / share.sum() if share.sum() else 0
-        rest = least if share.sum() else 1.0
-    share[TAIL] = rest
+    lost = sum(r * (numbers.get(r, 0) + (documents == r)) * (1 - d[r]) for r in range(1, DISCOUNTED + 1))
+    unseen, scale, least = lost / tokens if tokens else 1.0, 1.0, 1 / (tokens + 1)  # something is left for words that were never seen
+    if unseen < least:
+        unseen, scale = least, (1 - least) / (1 - unseen)
+    share = np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n / max(tokens, 1) * scale
+    share[TAIL] = 1 - share.sum()
     if not documents:
-        share[:FIRST] = 0.5
+        share[:FIRST] = unseen = 0.5
     order = np.argsort(top["key"].to_numpy(np.int64), kind="stable")
     symbols = (np.arange(len(top)) + FIRST)[order]
-    return Unigrams(top["key"].to_numpy(np.int64)[order], symbols, n, share, int(types - (documents > 0) - len(top)), int(tokens), int(types), documents)
+    return Unigrams(top["key"].to_numpy(np.int64)[order], symbols, n, share, float(unseen), d, scale, int(tokens), int(types), documents)
 
 
 @dataclass(frozen=True)
@@ -150,7 +152,7 @@ def _packed(x: np.ndarray) -> bytes:
 def _unpacked(x: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(x), kind)
+    return np.frombuffer(zstandard.decompress(x) or b"", kind)
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -158,12 +160,29 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-PACKED = "bucket int, pairs binary, owners binary, counts binary, docs array<long>, block long"
+#: ``rare_`` are bigrams with a word of the tail.
+PACKED = "bucket int, pairs binary, owners binary, counts binary, rare_histories binary, rare_words binary, rare_owners binary, rare_counts binary, docs array<long>, block long"
+COUNTED = "bucket int, pairs binary, owners binary, counts binary, totals binary, rare_histories binary, rare_words binary, rare_owners binary, rare_counts binary, rare_totals binary, rare_sizes binary, docs array<long>, block long"
+
+
+def _rows(schema: str, values: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x], kinds[k]) for x, (_, k) in zip(values, names)], names=[n for n, _ in names])
+
+
+def _counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the keys, sorted by the last key first, and how often each occurs."""
+    order = np.lexsort(keys)
+    keys = [x[order] for x in keys]
+    at = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)]) if len(order) else order
+    return [x[at] for x in keys], np.diff(np.r_[at, len(order)]).astype(np.uint32)
 
 
 def pack(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """A block's bigrams of symbols, by bucket: sorted pairs (as differences), the documents that have them (twice the place
-    in ``docs``, plus one if nothing is learned from the document), and how often; ``block`` names the block.
+    """A block's bigrams, by bucket: sorted pairs of symbols (as differences), the documents that have them (twice the place
+    in ``docs``, plus one if nothing is learned from the document), and how often; the same of bigrams with a word of the
+    tail, whose histories (as differences) and words are symbols or hashes; ``block`` names the block.
 
     A bucket holds whole histories, but for frequent ones, which are dealt to several by successor.
     """
@@ -172,31 +191,28 @@ def pack(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> D
         unigrams = shared.value
         symbols = Symbols(unigrams)
         spread = (unigrams.counts // (BUCKET // 2) + 1).astype(np.uint64)
-        spread[TAIL] = max(1, unigrams.tokens // (BUCKET // 2))
-        pairs: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
         ids: list[int] = []
 
         def flush():
-            owner = np.repeat(np.arange(len(ids)) << 1, [*map(len, pairs)]) | np.repeat(np.array(held), [*map(len, pairs)])
-            pair = np.concatenate(pairs)
-            history, word = (pair >> 20).astype(np.uint64), (pair & ((1 << 20) - 1)).astype(np.uint64)
+            owner = np.repeat((np.arange(len(ids)) << 1) | np.array(held), [len(s) - 1 for s in texts])
+            history, word = np.concatenate([s[:-1] for s in texts]), np.concatenate([s[1:] for s in texts])
             with np.errstate(over="ignore"):
-                deal = (word * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % spread[history]
-                bucket = ((history * np.uint64(0x9E3779B97F4A7C15) + deal * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.lexsort((owner, pair, bucket))
-            pair, owner, bucket = pair[order], owner[order], bucket[order]
-            at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])
-            count = np.diff(np.r_[at, len(pair)]).astype(np.uint32)
-            pair, owner, bucket = pair[at], owner[at].astype(np.uint32), bucket[at]
-            cuts = [*_runs(bucket), len(bucket)]
-            block = pa.array([word_key(repr(ids).encode())], pa.int64())
-            for a, b in zip(cuts, cuts[1:]):
-                own, place = np.unique(owner[a:b] >> 1, return_inverse=True)
-                place = (place.astype(np.uint32) << 1) | (owner[a:b] & 1)
-                parts = (np.r_[pair[a], np.diff(pair[a:b])], place, count[a:b])
-                here = pa.array([[ids[i] for i in own]], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), *(pa.array([_packed(x)], pa.binary()) for x in parts), here, block], names=["bucket", "pairs", "owners", "counts", "docs", "block"])
-            pairs.clear()
+                parts = np.where(history < 0, np.uint64(1), spread[np.maximum(history, 0)])
+                deal = (word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % parts
+                bucket = ((history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + deal * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets)
+            rare = (history < 0) | (word < 0)
+            core = ~rare
+            (own, pair, at), count = _counted(owner[core], history[core] << 20 | word[core], bucket[core])
+            (far_own, far_word, far_history, far_at), far_count = _counted(owner[rare], word[rare], history[rare], bucket[rare])
+            block = word_key(repr(ids).encode())
+            for b in np.union1d(at, far_at):
+                x, y = (slice(*np.searchsorted(k, [b, b + np.uint64(1)])) for k in (at, far_at))
+                here = np.unique(np.r_[own[x], far_own[y]] >> 1)
+                place, far_place = ((np.searchsorted(here, k >> 1) << 1 | (k & 1)).astype(np.uint32) for k in (own[x], far_own[y]))
+                parts = (np.diff(pair[x], prepend=0), place, count[x], np.diff(far_history[y], prepend=0), far_word[y], far_place, far_count[y])
+                yield _rows(PACKED, [int(b), *map(_packed, parts), [ids[i] for i in here], block])
+            texts.clear()
             ids.clear()
             held.clear()
 
@@ -207,7 +223,7 @@ def pack(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> D
                 w = words_of(text)
                 s = np.zeros(len(w) + 2, np.int64)
                 s[1:-1] = np.fromiter(map(symbols.__getitem__, w), np.int64, len(w))
-                pairs.append(s[:-1] << 20 | s[1:])
+                texts.append(s)
                 ids.append(row)
                 held.append(int(not learned))
                 size += len(text) + 100
@@ -223,31 +239,48 @@ def pack(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> D
 
 def counted(packed: DataFrame, buckets: int) -> DataFrame:
     """The packed rows, with ``totals``: each pair's count in all training documents; and a row a bucket without documents,
-    whose pairs are all pairs of training documents there."""
+    whose pairs are all pairs of training documents there.
+
+    Rare bigrams of histories in the tail also get ``rare_sizes``: the history's tokens, and its types of each count that is
+    discounted. Hashes stay where a bigram was never seen in training, and are needed no more where it was.
+    """
 
     def run(batches):
         def close():
             pair, n = np.concatenate([p for p, _ in sums]), np.concatenate([n for _, n in sums])
             pair, n = _reduced(pair, n)
-            for row in rows:
+            far = [(np.cumsum(_unpacked(r[4], np.int64)), _unpacked(r[5], np.int64), _unpacked(r[6], np.uint32), _unpacked(r[7], np.uint32)) for r in rows]
+            history, word, owner, times = map(np.concatenate, zip(*far))
+            order = np.lexsort((word, history))
+            h, w = history[order], word[order]
+            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else order
+            group = np.empty(len(h), np.int64)
+            group[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
+            h, w, t = h[starts], w[starts], np.bincount(group, np.where(owner & 1, 0, times), len(starts)).astype(np.int64)
+            first = _runs(h)
+            place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+            sizes = np.array([np.bincount(place, x, len(first)) for x in (t, *(t == r for r in range(1, DISCOUNTED + 1)))]).astype(np.uint32)
+            begin = 0
+            for row, (own_h, own_w, *_) in zip(rows, far):
                 own = np.cumsum(_unpacked(row[1], np.int64))
                 at = np.minimum(np.searchsorted(pair, own), max(0, len(pair) - 1))
                 total = np.where(pair[at] == own, n[at], 0) if len(pair) else np.zeros(len(own), np.int64)
-                yield [bucket, *row[1:4], _packed(total.astype(np.int64)), row[4], row[5]]
-            if len(pair):
-                yield [bucket, _packed(np.r_[pair[0], np.diff(pair)]), None, None, _packed(n), None, None]
+                g = group[begin : begin + len(own_h)]
+                begin += len(own_h)
+                seen = t[g] > 0
+                kept = (np.where(seen & (own_h < 0), -1, own_h), np.where(seen, 0, own_w))
+                yield [bucket, *row[1:4], _packed(total.astype(np.int64)), *map(_packed, kept), *row[6:8], _packed(t[g]), _packed(sizes[:, place[g[own_h < 0]]]), row[8], row[9]]
+            if len(pair) or t.any():
+                seen = t > 0
+                yield [bucket, _packed(np.diff(pair, prepend=0)), None, None, _packed(n), _packed(h[seen]), _packed(w[seen]), None, None, _packed(t[seen]), None, None, None]
             rows.clear()
             sums.clear()
 
-        def batch_of(row):
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["bucket", "pairs", "owners", "counts", "totals", "docs", "block"])
-
         bucket, rows, sums, waiting = None, [], [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket is not None and row[0] != bucket:
-                    yield from map(batch_of, close())
+                    yield from (_rows(COUNTED, x) for x in close())
                     waiting = 0
                 bucket = row[0]
                 rows.append(row)
@@ -259,10 +292,10 @@ def counted(packed: DataFrame, buckets: int) -> DataFrame:
                     sums[:] = [_reduced(np.concatenate([p for p, _ in sums]), np.concatenate([n for _, n in sums]))]
                     waiting = 0
         if rows:
-            yield from map(batch_of, close())
+            yield from (_rows(COUNTED, x) for x in close())
 
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "bucket int, pairs binary, owners binary, counts binary, totals binary, docs array<long>, block long")
+    return dealt.mapInArrow(run, COUNTED)
 
 
 def _reduced(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,18 +313,57 @@ def count_numbers(table: DataFrame) -> dict[int, int]:
     def run(batches):
         out = np.zeros(DISCOUNTED + 2, np.int64)
         for batch in batches:
-            for totals in batch.column(0).to_pylist():
-                n = _unpacked(totals, np.int64)
+            for n in (_unpacked(x, np.int64) for c in batch.columns for x in c.to_pylist()):
                 out += np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["n", "types"])
 
-    rows = table.where("docs is null").select("totals").mapInArrow(run, "n long, types long").groupBy("n").agg(F.sum("types").alias("types")).collect()
+    rows = table.where("docs is null").select("totals", "rare_totals").mapInArrow(run, "n long, types long").groupBy("n").agg(F.sum("types").alias("types")).collect()
     return {r["n"]: r["types"] for r in rows if r["n"]}
 
 
-def fit_bigrams(table: DataFrame, unigrams: Unigrams, shared) -> Bigrams:
-    """Backoff weights from the bigram table. What reaches the driver has a row for each symbol of the core at most."""
-    d = np.array([*discounts(count_numbers(table)), 1.0])
+def word_probability(n: Column, unigrams: Unigrams) -> Column:
+    """Unigram probability of a word with so many occurrences in training; null or none for a word that was never seen."""
+    d = F.array(*map(F.lit, [*unigrams.discount.tolist(), 1.0]))
+    p = n * F.element_at(d, F.least(n, F.lit(DISCOUNTED + 1)).cast("int") + 1) * (unigrams.scale / max(unigrams.tokens, 1))
+    return F.when(F.coalesce(n, F.lit(0)) > 0, p).otherwise(unigrams.unseen)
+
+
+def rare_sums(table: DataFrame, words: DataFrame, unigrams: Unigrams, d: np.ndarray, shared) -> DataFrame:
+    """(history, n, kept, covered) of bigrams with a word of the tail, over all histories; for those in the tail, ``covered``
+    has all their successors. Words meet their counts by key."""
+
+    def pairs(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                history, word, n = (_unpacked(x, np.int64) for x in row)
+                history, word, n = (x[word < 0] for x in (history, word, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (history, word, n, n * d[np.minimum(n, DISCOUNTED + 1)])], names=["history", "word", "n", "kept"])
+
+    def known(batches):
+        p = shared.value.p
+        for batch in batches:
+            for histories, words in zip(*(c.to_pylist() for c in batch.columns)):
+                history, word = _unpacked(histories, np.int64), _unpacked(words, np.int64)
+                history, word = history[word >= 0], word[word >= 0]
+                at = _runs(history)
+                covered = np.add.reduceat(p[word], at) if len(at) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(history[at]), pa.array(covered)], names=["history", "covered"])
+
+    rows = table.where("docs is null")
+    tail = rows.select("rare_histories", "rare_words", "rare_totals").mapInArrow(pairs, "history long, word long, n long, kept double")
+    looked = tail.join(words.withColumnRenamed("n", "times"), F.col("word") == F.col("key"), "left").select("history", "n", "kept", word_probability(F.col("times"), unigrams).alias("covered"))
+    core = rows.select("rare_histories", "rare_words").mapInArrow(known, "history long, covered double").select("history", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("kept"), "covered")
+    return looked.unionByName(core).groupBy("history").agg(*(F.sum(c).alias(c) for c in ("n", "kept", "covered")))
+
+
+def bigram_discounts(table: DataFrame) -> np.ndarray:
+    return np.array([*discounts(count_numbers(table)), 1.0])
+
+
+def fit_bigrams(table: DataFrame, unigrams: Unigrams, shared, d: np.ndarray | None = None, rare: DataFrame | None = None) -> Bigrams:
+    """Backoff weights of the core's histories from the bigram table, and the sums of ``rare`` bigrams. What reaches the
+    driver has a row for each symbol of the core at most."""
+    d = bigram_discounts(table) if d is None else d
 
     def run(batches):
         p = shared.value.p
@@ -300,10 +372,13 @@ def fit_bigrams(table: DataFrame, unigrams: Unigrams, shared) -> Bigrams:
                 pair, n = np.cumsum(_unpacked(pairs, np.int64)), _unpacked(totals, np.int64)
                 history = pair >> 20
                 at = _runs(history)
+                if not len(at):
+                    continue
                 sums = [np.add.reduceat(x, at) for x in (n, n * d[np.minimum(n, DISCOUNTED + 1)], p[pair & ((1 << 20) - 1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(history[at]), *map(pa.array, sums)], names=["history", "n", "kept", "covered"])
 
     sums = table.where("docs is null").select("pairs", "totals").mapInArrow(run, "history long, n long, kept double, covered double")
+    sums = sums if rare is None else sums.unionByName(rare.where("history >= 0"))
     rows = sums.groupBy("history").agg(*(F.sum(c).alias(c) for c in ("n", "kept", "covered"))).toPandas()
     seen, backoff = np.zeros(len(unigrams.p)), np.zeros(len(unigrams.p))
     with np.errstate(divide="ignore"):
@@ -318,29 +393,76 @@ def fit_bigrams(table: DataFrame, unigrams: Unigrams, shared) -> Bigrams:
 
 
 def log_probabilities(unigrams: Unigrams, bigrams: Bigrams, pair: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """log10 of each bigram: discounted if it was seen, else the history's backoff weight times the unigram. The tail counts as one."""
+    """log10 of each bigram: discounted if it was seen, else the history's backoff weight times the unigram."""
     history, word = pair >> 20, pair & ((1 << 20) - 1)
     with np.errstate(divide="ignore"):
         seen = bigrams.seen[history] + np.log10(bigrams.discount[np.minimum(total, DISCOUNTED + 1)] * total)
         return np.where(total > 0, seen, bigrams.backoff[history] + np.log10(unigrams.p[word]))
 
 
+def rare_logs(unigrams: Unigrams, bigrams: Bigrams, history: np.ndarray, word: np.ndarray, total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of each bigram with a word of the tail, but for what unseen_parts() adds where it was never seen."""
+    d, tail = bigrams.discount, history < 0
+    seen, backoff = np.zeros(len(history)), np.zeros(len(history))
+    seen[~tail], backoff[~tail] = bigrams.seen[history[~tail]], bigrams.backoff[history[~tail]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = sizes[0].astype(float)
+        kept, least = 1 - sum(r * (1 - d[r]) * sizes[r] for r in range(1, DISCOUNTED + 1)) / n, 1 / (n + 1)
+        scale = np.where(1 - kept < least, (1 - least) / kept, 1.0)
+        seen[tail], backoff[tail] = np.log10(scale / n), np.where(n > 0, np.log10(1 - scale * kept), 0.0)
+        seen += np.log10(d[np.minimum(total, DISCOUNTED + 1)] * total)
+        return np.where(total > 0, seen, backoff + np.where(word < 0, 0.0, np.log10(unigrams.p[np.maximum(word, 0)])))
+
+
+def _rare(row) -> tuple:
+    """(history, word, owner, count, total, sizes) of a packet's rare bigrams."""
+    kinds = (np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint32)
+    *out, sizes = (_unpacked(x, k) for x, k in zip(row, kinds))
+    return *out, sizes.reshape(DISCOUNTED + 1, -1)
+
+
+RARE = ["rare_histories", "rare_words", "rare_owners", "rare_counts", "rare_totals", "rare_sizes"]
+
+
+def unseen_parts(table: DataFrame, words: DataFrame, unigrams: Unigrams, rare: DataFrame) -> DataFrame:
+    """(row, score): what bigrams never seen in training lack in block_scores(), as it needs a look-up by hash: the unigram
+    probability of a word of the tail, and the room that a history of the tail leaves to backoff."""
+
+    def run(batches):
+        for batch in batches:
+            for *row, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                history, word, owner, count, total, sizes = _rare(row)
+                known = np.zeros(len(history), bool)
+                known[history < 0] = sizes[0] > 0
+                for key, of, kept in ((word, 0, (total == 0) & (word < 0)), (history, 1, (total == 0) & known)):
+                    ids = pa.array([docs[i] for i in owner[kept] >> 1], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(key[kept]), pa.array(count[kept].astype(np.int64)), pa.array(np.full(len(ids), of))], names=["row", "key", "times", "of"])
+
+    rows = table.where("docs is not null").select(*RARE, "docs").mapInArrow(run, "row long, key long, times long, of long")
+    of_words = rows.where("of = 0").join(words, "key", "left").select("row", (F.col("times") * F.log10(word_probability(F.col("n"), unigrams))).alias("score"))
+    rooms = rare.where("history < 0").select(F.col("history").alias("key"), "covered")
+    of_histories = rows.where("of = 1").join(rooms, "key", "left").select("row", (-F.col("times") * F.log10(1 - F.coalesce("covered", F.lit(0.0)))).alias("score"))
+    return of_words.unionByName(of_histories)
+
+
 def block_scores(table: DataFrame, shared, weights) -> DataFrame:
     """(row, score): sums over a block's bigrams, by document. A packet of bigrams gives one row of sums, which meet by block
     again; a block's packets are bounded by its text."""
 
     def run(batches):
         for batch in batches:
-            for pairs, owners, counts, totals, docs, block in zip(*(c.to_pylist() for c in batch.columns)):
+            for pairs, owners, counts, totals, docs, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 logs = log_probabilities(shared.value, weights.value, np.cumsum(_unpacked(pairs, np.int64)), _unpacked(totals, np.int64))
                 sums = np.bincount(_unpacked(owners, np.uint32) >> 1, weights=logs * _unpacked(counts, np.uint32), minlength=len(docs))
+                history, word, owner, count, total, sizes = _rare(row)
+                sums = sums + np.bincount(owner >> 1, weights=rare_logs(shared.value, weights.value, history, word, total, sizes) * count, minlength=len(docs))
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([docs], pa.list_(pa.int64())), pa.array([sums], pa.list_(pa.float64()))], names=["block", "docs", "sums"])
 
     def add(packets: pa.Table) -> pa.Table:
         docs, sums = packets.column("docs").combine_chunks().flatten(), packets.column("sums").combine_chunks().flatten()
         return pa.table({"row": docs, "score": sums}).group_by("row").aggregate([("score", "sum")]).rename_columns(["row", "score"])
 
-    packets = table.where("docs is not null").select("pairs", "owners", "counts", "totals", "docs", "block").mapInArrow(run, "block long, docs array<long>, sums array<double>")
+    packets = table.where("docs is not null").select("pairs", "owners", "counts", "totals", "docs", "block", *RARE).mapInArrow(run, "block long, docs array<long>, sums array<double>")
     return packets.groupBy("block").applyInArrow(add, "row long, score double")
 
 
@@ -356,11 +478,11 @@ def base_rows(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 s = np.fromiter(map(symbols.__getitem__, words), np.int64, len(words))
-                tail = np.flatnonzero(s == TAIL)
-                out[0].append(float(logs[s[s != TAIL]].sum() + logs[END]))
+                tail = np.flatnonzero(s < 0)
+                out[0].append(float(logs[s[s >= 0]].sum() + logs[END]))
                 out[1].append(len(words) + 1)
                 out[2].append(len(words) - len(tail) + (unigrams.documents > 0))
-                out[3].append([word_key(words[i]) for i in tail])
+                out[3].append(s[tail])
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["row", "core_score", "n_tokens", "n_known", "tail"])
 
@@ -376,8 +498,8 @@ def _removed(spark: SparkSession, folder: str) -> None:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document; see the module's account.
 
-    ``score`` is the model's log10 probability of the text: the sum over its words and the end. A word of the tail costs
-    its symbol's probability over the number of tail types and one more, for all words that were never seen.
+    ``score`` is the model's log10 probability of the text: the sum over its words and the end. Words that were never seen
+    count as one. ``core`` is the number of words with symbols, on which scores don't depend.
 
     Null text counts as empty: it has the end alone. Null ids count for the split as the empty text and are one document;
     rows that repeat an id are summed as one document. Without training documents scores are those of an empty model.
@@ -394,8 +516,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = shared_folder(spark, "bigrams")
     counted(pack(docs, shared, buckets, id_col, text_col), buckets).write.parquet(folder)
     table = spark.read.parquet(folder)
-    weights = spark.sparkContext.broadcast(fit_bigrams(table, unigrams, shared))
-    scores = checkpointed(block_scores(table, shared, weights).groupBy("row").agg(F.sum("score").alias("model")))
+    d = bigram_discounts(table)
+    rare = checkpointed(rare_sums(table, words, unigrams, d, shared))
+    weights = spark.sparkContext.broadcast(fit_bigrams(table, unigrams, shared, d, rare))
+    parts = block_scores(table, shared, weights).unionByName(unseen_parts(table, words, unigrams, rare))
+    scores = checkpointed(parts.groupBy("row").agg(F.sum("score").alias("model")))
     _removed(spark, folder)
 
     unit = math.log10(1 / (unigrams.tokens + unigrams.types + 1))
@@ -408,10 +533,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked = split.join(words, "key", "left").withColumn("n", F.when(F.col("tail"), F.coalesce("n", F.lit(0))))
     base = looked.groupBy("row").agg(
         F.sum(F.col("core_score") + F.when(F.col("tail"), F.log10(F.col("n") + 1.0) + unit).otherwise(0.0)).alias("base"),
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + (F.coalesce("n", F.lit(0)) > 0).cast("long")).alias("n_known"), F.sum(F.col("tail").cast("long")).alias("n_tail"),
+        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + (F.coalesce("n", F.lit(0)) > 0).cast("long")).alias("n_known"),
     )
     joined = base.join(scores.withColumnRenamed("row", "same"), F.col("row").eqNullSafe(F.col("same")), "left")
     return joined.select(
         F.col("row").alias(id_col), (~learns_from("row")).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.lit(unigrams.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("model") - F.col("n_tail") * math.log10(unigrams.tail_types + 1)).alias("score"),
+        F.lit(unigrams.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
     )

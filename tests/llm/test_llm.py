@@ -252,3 +252,42 @@ def test_katz_sums_to_one(spark, core):
         pair = katz.np.array([history << 20 | w for w in range(len(unigrams.p))])
         logs = katz.log_probabilities(unigrams, weights, pair, katz.np.array([known.get(int(p), 0) for p in pair]))
         assert (10**logs).sum() == pytest.approx(1)
+
+
+def katz_scores(texts, held):
+    """log10 of each text by the model over all words, from plain counts."""
+    words = {i: [*t.split(), None] for i, t in texts}
+    ones, twos = collections.Counter(), collections.Counter()
+    for i, w in words.items():
+        if not held(i):
+            ones.update(w)
+            twos.update(zip([None, *w], w))
+    d1, d2 = (katz.discounts(collections.Counter(c.values())) for c in ({w: n for w, n in ones.items() if w}, twos))
+    cut = lambda d, n: n * (d[n] if n <= katz.DISCOUNTED else 1)
+    tokens, share = sum(ones.values()), {w: cut(d1, n) / sum(ones.values()) for w, n in ones.items()}
+    unseen = max(1 - sum(share.values()), 1 / (tokens + 1))
+    factor = (1 - unseen) / sum(share.values())
+    p = lambda w: share[w] * factor if w in share else unseen
+    after = collections.defaultdict(dict)
+    for (h, w), n in twos.items():
+        after[h][w] = n
+
+    def log(h, w):
+        if h not in after:
+            return math.log10(p(w))
+        n, kept = sum(after[h].values()), sum(cut(d2, c) for c in after[h].values()) / sum(after[h].values())
+        scale = (1 - 1 / (n + 1)) / kept if 1 - kept < 1 / (n + 1) else 1
+        if w in after[h]:
+            return math.log10(scale * cut(d2, after[h][w]) / n)
+        return math.log10((1 - scale * kept) / (1 - sum(map(p, after[h]))) * p(w))
+
+    return {i: sum(itertools.starmap(log, zip([None, *w], w))) for i, w in words.items()}
+
+
+@pytest.mark.parametrize("core", [3, 40, 100_000])
+def test_katz_words_keep_their_counts_beyond_the_core(spark, core):
+    texts = [(i, " ".join(f"w{int(random.Random(100 * i + k).paretovariate(0.6))}" for k in range(40))) for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {r["doc_id"]: r["score"] for r in katz.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), core=core).collect()}
+    want = katz_scores(texts, held)
+    assert got == {i: pytest.approx(s) for i, s in want.items()} and any(map(held, got))
