@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 Text blocks are grouped by the path of tags (with their classes) from the root. For each path, text length and punctuation
-per block make two ratios; both are smoothed over paths in page order, fused, and paths above a threshold are content. A
-container of content paths gives all its blocks: titles, short lines and lists belong to the article around them.
+per block make two ratios; both are smoothed over paths in page order and fused, paths in an article or main element count
+more, and paths above a threshold are content. The least container of all content gives all its blocks: titles, short lines
+and lists belong to the article around them. Where that is the page itself, each part of it that has content does.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -38,6 +40,11 @@ NEVER_WORDS = frozenset(
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Share of the mean fused score at which a path is content, and the weights of neighbours when smoothing.
 THRESHOLD, KERNEL = 0.5, (0.25, 0.5, 0.25)
+#: What the score of a path in an article or main element is multiplied by.
+ARTICLE = 2.0
+#: Elements that are a line of their container, and those that are the page.
+LINES = frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd td th tr figcaption summary".split())
+PAGE = frozenset(("html", "body"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
@@ -171,23 +178,22 @@ def main_text(page: str) -> str:
     if not kept:
         return ""
     scores = path_scores([(b.path, len(t), len(PUNCTUATION.findall(t)), b.linked) for b, t in kept])
+    for path in {b.path for b, _ in kept if b.article is not None}:
+        scores[path] *= ARTICLE
     least = THRESHOLD * float(np.mean([*scores.values()]))
     content = {path for path, score in scores.items() if score > 0 and score >= least}
-    # fuse: the article element with most content by score, else the container of most of it
-    mass: dict[int, float] = {}
-    for block, text in kept:
-        if block.article is not None:
-            mass[block.article] = mass.get(block.article, 0) + (len(text) * scores[block.path] if block.path in content else 0)
-    if mass and max(mass.values()) > 0:
-        return "\n".join(text for block, text in kept if block.article is not None)
-    for block, text in kept:
-        if block.path in content and block.keys:
-            holder = block.keys[-2] if len(block.keys) > 1 else block.keys[-1]
-            mass[holder] = mass.get(holder, 0) + len(text) * scores[block.path]
-    if not mass or max(mass.values()) <= 0:
-        return "\n".join(text for block, text in kept if block.path in content) if content else "\n".join(text for _, text in kept)
-    best = max(mass, key=mass.get)
-    return "\n".join(text for block, text in kept if best in block.keys)
+    found = [block for block, _ in kept if block.path in content]
+    if not found:
+        return "\n".join(text for _, text in kept)
+    holders = [b.keys[:-1] if b.path and b.path[-1].split(".")[0] in LINES else b.keys for b in found]
+    depth = len(os.path.commonprefix(holders))
+    if depth and found[0].path[depth - 1].split(".")[0] not in PAGE:
+        parts = {found[0].keys[:depth]}
+    else:  # the page itself: its parts with content, and its own lines
+        depth += 1
+        parts = {b.keys[:depth] for b in found}
+        parts |= {b.keys for b, _ in kept if len(b.keys) <= depth}
+    return "\n".join(text for block, text in kept if block.path in content or block.keys[:depth] in parts)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

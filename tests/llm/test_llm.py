@@ -291,3 +291,12 @@ def test_katz_words_keep_their_counts_beyond_the_core(spark, core):
     got = {r["doc_id"]: r["score"] for r in katz.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), core=core).collect()}
     want = katz_scores(texts, held)
     assert got == {i: pytest.approx(s) for i, s in want.items()} and any(map(held, got))
+
+
+def test_html_keeps_all_content_and_no_teasers():
+    long = "A sentence, with marks and words enough to be text. Another one follows, as it does in articles. "
+    sections = f"<body><div id=content><section><h2>One</h2><p>{long}</p></section><section class=b><h2>Two</h2><p>{long * 2}</p></section></div></body>"
+    assert html_extract.main_text(sections) == f"One\n{long.strip()}\nTwo\n{(long * 2).strip()}"
+    cards = "".join(f"<article class=card><h3>Card {i}</h3><span>Read</span></article>" for i in range(3))
+    page = f"<body><main><article class=story><h1>Head</h1><p>{long * 3}</p><p>{long}</p><ul><li>Item</ul></article><section class=more>{cards}</section></main></body>"
+    assert html_extract.main_text(page) == f"Head\n{(long * 3).strip()}\n{long.strip()}\nItem"
