@@ -12,8 +12,11 @@ ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][e
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates for the battery: runs of characters that encodings of keys use.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates for the battery: runs of characters that encodings of keys use, and their parts between / _ and -, which join
+#: paths and names too. ``=`` ends a run as padding; before more of a run it stands between a name and its value.
+PADDING = r"(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+RUN = r"[A-Za-z0-9+/_-]{20,}" + PADDING
+PART = r"[A-Za-z0-9+]{20,}" + PADDING
 #: Inferred encodings: name, pattern that the whole run matches, alphabet in the order of its values, and the sum of squared
 #: frequencies of natural text over the alphabet (letters of words, or years, counters and phone numbers for digits).
 ENCODINGS = (
@@ -88,7 +91,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``base`` are the matches of the fixed patterns. ``added`` are runs of key-like characters outside of them for which
     the battery (chi-squared uniformity, runs about the middle of the alphabet, serial correlation; each over the
     alphabet of the inferred encoding) rejects nothing, and which Benjamini-Hochberg over the runs of the document, with
-    p-values for natural text of the run's length, calls too uniform. So short runs need to be more even than long ones.
+    p-values for natural text of the run's length, calls too uniform. So short runs need to be more even than long ones. The
+    parts of a run between separators are tested as well, and count where the run as a whole doesn't.
 
     Null or empty text has no spans. Rows are independent, in one narrow pass without shuffle: repeated rows, null ids
     and texts of any length give a row each. Other columns are ignored.
@@ -99,7 +103,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         f"{_guarded(assign_in, _spans('t', ASSIGN, 0, 8))} as assign",
         f"{_guarded("contains(t, 'AKIA')", _spans('t', ACCESS, 1))} as access",
         f"{_guarded(f"t rlike '{HEX}'", _spans('t', HEX, 2))} as hex",
-        f"{_guarded(f"t rlike '{RUN}'", _spans('t', RUN, 3))} as candidates",
+        f"{_guarded(f"t rlike '{RUN}'", f"array_union({_spans('t', RUN, 3)}, {_spans('t', PART, 3)})")} as candidates",
     )
     based = found.selectExpr(f"`{id_col}`", "t", "array_sort(concat(assign, access, hex)) as base", "candidates")
     free = based.selectExpr(f"`{id_col}`", "t", "base", "filter(candidates, c -> not exists(base, b -> b.start < c.end and c.start < b.end)) as free")
@@ -109,7 +113,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         f"array_max(transform(array_sort(transform(tested, x -> x.test.p_text)), (p, i) -> if(p <= {FDR}D * (i + 1) / size(tested), p, -1D))) as cut",
     )
     passes = f"x.test.p_text <= cut and least(x.test.chi, x.test.runs, x.test.serial) >= {REJECT}D / 3"
-    return cut.selectExpr(f"`{id_col}`", "t as text", "base", f"transform(filter(tested, x -> {passes}), x -> x.span) as added")
+    passed = cut.selectExpr(f"`{id_col}`", "t as text", "base", f"transform(filter(tested, x -> {passes}), x -> x.span) as passed")
+    return passed.selectExpr(f"`{id_col}`", "text", "base", "filter(passed, x -> not exists(passed, y -> y.start <= x.start and x.end <= y.end and y <> x)) as added")
 
 
 def joined(spans: Column) -> Column:

@@ -300,3 +300,14 @@ def test_html_keeps_all_content_and_no_teasers():
     cards = "".join(f"<article class=card><h3>Card {i}</h3><span>Read</span></article>" for i in range(3))
     page = f"<body><main><article class=story><h1>Head</h1><p>{long * 3}</p><p>{long}</p><ul><li>Item</ul></article><section class=more>{cards}</section></main></body>"
     assert html_extract.main_text(page) == f"Head\n{(long * 3).strip()}\n{long.strip()}\nItem"
+
+
+def test_random_values_of_names_and_parts_of_paths(spark):
+    key = "kJ8xQ2vZ7mPfW4tYbR9sLcD1nHgA6uEo3TiVqXzB"
+    before = ["CLIENT_KEY=", "AWS_SECRET_ACCESS_KEY=", "https://x.org/a?user=me&sig=", "see internationalisation/of/nations/and/relations/"]
+    given = [(i, b + key + after) for i, (b, after) in enumerate(itertools.product(before, ("", " end", "&n=1", "== end")))]
+    found = secrets.scan_secrets(spark.createDataFrame(given, "doc_id long, text string"))
+    for r in found.collect():
+        at = given[r["doc_id"]][1].index(key)
+        assert any(s["start"] <= at and s["end"] >= at + len(key) for s in r["added"]), r
+        assert all(x["end"] <= y["start"] for x, y in itertools.pairwise(sorted(r["added"], key=lambda s: s["start"])))
