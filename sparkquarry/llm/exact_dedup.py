@@ -25,7 +25,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty, so nulls equal each other and empty texts. Null ids never become keep_id unless a group
     has no other; such a row is kept. Rows that repeat an id and its text are one document: all have the same flags.
-    ``digests`` adds the full hash for settled rows too, which reads their whole text. Other columns are ignored.
+    ``digests`` adds the full hash as a column. Every text is hashed whole without it too, as all rows join the groups by it.
+    Other columns are ignored.
     """
     norm = normalised(text_col)
     keyed = docs.select(
