@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,26 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-#: Entries of a generation that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
-CHUNKS, WORDS, PAIRS = 250_000, 150_000, 400_000
-
-
-class Recent(dict):
-    """A bounded table of two generations: entries that are looked up move to the new one, the others go with the old one."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.old[key]
-        return value
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
+#: Entries that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
+CHUNKS, WORDS, PAIRS = 400_000, 300_000, 400_000
+#: Bytes of a chunk or pre-token that is kept after its texts are done.
+LONG = 200
+#: Bytes of text whose new words make one trie; a text is not cut.
+TRIE_BYTES = 4_000_000
 
 #: Rank of merges that never happen.
 NEVER = 1 << 60
@@ -52,15 +39,32 @@ class TrieBpe:
         cut = len(end)
         self.final = {t[:-cut]: i for t, i in vocab.items() if t.endswith(end) and len(t) > cut} if end else {}
         self.inner = {t: i for t, i in vocab.items() if not (end and t.endswith(end) and len(t) > cut)}
-        self.longest_final, self.longest_inner = ({t[-3:]: len(t) for t in sorted(table, key=len) if len(t) > 2} for table in (self.final, self.inner))
+        self._automaton()
         self.strings = {i: t for t, i in vocab.items()}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by the first token's id << 20 | the second's
         self.pairs = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(merges)}
         self.parts = {vocab[a + b]: (vocab[a], vocab[b], i) for i, (a, b) in reversed([*enumerate(merges)])}
         self.spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         if any(self.parts.get(x, (0, 0, -1))[2] >= rank for a, b, rank in self.parts.values() for x in (a, b)):
             raise ValueError("a merge comes before the merges of its parts")
 
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens, an ended token's without its last symbol; failures lead to the longest proper suffix."""
+        self.prefixes, self.moves = [""], [{}]
+        for token, cut in [*((t, len(t)) for t in self.inner), *((t, len(t) - 1) for t in self.final)]:
+            state = 0
+            for i, char in enumerate(token[:cut]):
+                to = self.moves[state].get(char)
+                if to is None:
+                    to = self.moves[state][char] = len(self.prefixes)
+                    self.prefixes.append(token[: i + 1])
+                    self.moves.append({})
+                state = to
+        place = {p: i for i, p in enumerate(self.prefixes)}
+        self.fail = [next(place[p[i:]] for i in range(1, len(p) + 1) if p[i:] in place) if p else 0 for p in self.prefixes]
+        self.inner_ends: list[list[tuple[int, int]] | None] = [None] * len(self.prefixes)
+        self.endings: list[dict[str, list[tuple[int, int]]]] = [{} for _ in self.prefixes]
+
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
             body = token[: -len(self.end)]
@@ -98,7 +102,7 @@ class TrieBpe:
         Parts have lower ranks than what they form, so the edges on either side of the boundary change in order of rank;
         a merge across it happens if its rank comes up first. Of equal ranks the leftmost is first.
         """
-        known = self.apart.get((a, b))
+        known = self.apart.get(a << 20 | b)
         if known is None:
             if len(self.apart) > PAIRS:
                 self.apart.clear()
@@ -116,28 +120,54 @@ class TrieBpe:
                     i += 1
                 else:
                     j += 1
-            self.apart[a, b] = known
+            self.apart[a << 20 | b] = known
+        return known
+
+    def move(self, state: int, char: str) -> int:
+        """The automaton's state after one more symbol: the longest suffix of the path that begins a vocabulary token."""
+        to = self.moves[state].get(char)
+        if to is None:
+            # a failure state is shorter than its state, so this ends at the root
+            to = self.moves[state][char] = self.move(self.fail[state], char) if state else 0
+        return to
+
+    def suffixes(self, state: int, table: dict[str, int], last: str = "") -> list[tuple[int, int]]:
+        """(id, symbols) of the tokens of ``table`` that end the path at a state, or at ``last`` after it, longest first."""
+        text, add = self.prefixes[state] + last, len(last)
+        found = [(table[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in table]
+        if not found and add and last in table:
+            found = [(table[last], 1)]
+        return found
+
+    def ending(self, state: int, last: str) -> list[tuple[int, int]]:
+        known = self.endings[state].get(last)
+        if known is None:
+            known = self.endings[state][last] = self.suffixes(state, self.final, last)
         return known
 
-    def last_token(self, path: str, ended: bool, ids: list[int]) -> tuple[int, int]:
-        """(id, symbols) of the last token of the prefix ``path``, from the states of all shorter prefixes."""
-        d = len(path)
-        table, longest = (self.final, self.longest_final) if ended else (self.inner, self.longest_inner)
-        apart = self.apart.get
-        for n in range(min(d, longest.get(path[-3:], 2)), 0, -1):
-            token = table.get(path[d - n :])
-            if token is not None and (n == d or apart((ids[d - n], token)) or self.stay_apart(ids[d - n], token)):
+    def last_token(self, found: list[tuple[int, int]], d: int, ids: list[int]) -> tuple[int, int]:
+        """(id, symbols) of the last token of a prefix of ``d`` symbols: of the tokens that end it, the one that stays apart
+        from the last token of the prefix before it."""
+        apart = self.apart
+        for token, n in found:
+            if n == d:
+                return token, n
+            before = ids[d - n]
+            stays = apart.get(before << 20 | token)
+            if stays or (stays is None and self.stay_apart(before, token)):
                 return token, n
-        raise KeyError(path)
+        raise KeyError(d)
 
     def encode_words(self, words) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct non-empty words.
 
         In sorted order words are the leaves of their trie depth first, so a word starts from the states that it shares
-        with the one before, and only nodes that are new on the path get a state.
+        with the one before, and only nodes that are new on the path get a state: the last token of their prefix, and
+        where an automaton over the vocabulary is after it.
         """
         out: dict[str, tuple[int, ...]] = {}
-        ids, lengths, before = [0], [0], ""
+        ids, lengths, states, before = [0], [0], [0], ""
+        moves, move, inner, last_token = self.moves, self.move, self.inner_ends, self.last_token
         last = -1 if self.end else None
         for word in sorted(words):
             inside = word[:last]
@@ -146,15 +176,23 @@ class TrieBpe:
                 if a != b:
                     break
                 shared += 1
-            del ids[shared + 1 :], lengths[shared + 1 :]
-            for d in range(shared + 1, len(inside) + 1):
-                token, n = self.last_token(inside[:d], False, ids)
+            del ids[shared + 1 :], lengths[shared + 1 :], states[shared + 1 :]
+            state, d = states[shared], shared
+            for char in inside[shared:]:
+                to = moves[state].get(char)
+                state = move(state, char) if to is None else to
+                d += 1
+                found = inner[state]
+                if found is None:
+                    found = inner[state] = self.suffixes(state, self.inner)
+                token, n = last_token(found, d, ids)
                 ids.append(token)
                 lengths.append(n)
-            before, at, tokens = inside, len(inside), []
+                states.append(state)
+            before, at, tokens = inside, d, []
             if self.end:
-                token, n = self.last_token(word, True, ids)
-                at, tokens = len(word) - n, [token]
+                token, n = last_token(self.ending(state, word[-1]), d + 1, ids)
+                at, tokens = d + 1 - n, [token]
             while at > 0:
                 tokens.append(ids[at])
                 at -= lengths[at]
@@ -175,8 +213,8 @@ class TextEncoder:
 
     #: Chunks of printable ASCII and composed Latin-1 letters, which normalisation only lower-cases character by character.
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    #: PATTERN for such chunks in lower case.
-    PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: PATTERN for such chunks in lower case, and the line feeds between them.
+    PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
     #: The pre-tokenizer's own pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -193,51 +231,105 @@ class TextEncoder:
             raise ValueError("this encoder is for word-end BPE with the known pre-tokenizer, no decoder and verbatim added tokens")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.names = dict(self.trie.strings) | {i: t for t, i in self.added.items()}
-        self.chunks, self.words = Recent(CHUNKS), Recent(WORDS)
+        size = max(*self.trie.strings, *self.added.values()) + 1
+        self.numbers, self.names = [f"{i} " for i in range(size)], [""] * size
+        for i, token in (self.trie.strings | {i: t for t, i in self.added.items()}).items():
+            self.names[i] = token + " "
+        #: chunk -> (ids, tokens), each followed by a space; pre-token -> ids
+        self.chunks: dict[bytes, tuple[str, str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.alphabet = byte_alphabet()
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         """Pre-tokens in the vocabulary's alphabet, and ids of added tokens, of a chunk."""
         text, out = chunk.decode(), []
-        for part in self.split_added.split(text) if self.split_added and b"<|" in chunk else (text,):
+        for part in self.split_added.split(text) if self.split_added else (text,):
             if part in self.added:
                 out.append(self.added[part])
-            elif self.PLAIN.fullmatch(part):
-                found = self.PLAIN_WORDS.findall(part.lower())
-                out += found if part.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in found]
             elif part:
                 out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)) if p]
         return out
 
+    def plain_pieces(self, chunks: list[str]) -> list[list[str]]:
+        """Pre-tokens, not yet in the alphabet, of plain chunks, all at once."""
+        out: list[list[str]] = [[]]
+        add = out[0].append
+        for word in self.PLAIN_WORDS.findall("\n".join(chunks).lower()):
+            if word == "\n":
+                out.append([])
+                add = out[-1].append
+            else:
+                add(word)
+        return out
+
     def learn(self, chunks: set[bytes]) -> None:
-        self.chunks.turn()
-        self.words.turn()
-        words, old, names = self.words, self.words.old, self.names
-        pieces = {c: self.pieces(c) for c in chunks}
-        words.update(self.trie.encode_words({p for ps in pieces.values() for p in ps if p.__class__ is str and p not in words and p not in old}))
+        plain, texts, pieces = [], [], {}
+        match, added = self.PLAIN.fullmatch, bool(self.added)
+        for chunk in chunks:
+            text = chunk.decode()
+            if match(text) and not (added and b"<|" in chunk):
+                plain.append(chunk)
+                texts.append(text)
+            else:
+                pieces[chunk] = self.pieces(chunk)
+        words, other = self.words, {p for ps in pieces.values() for p in ps if p.__class__ is str}
+        if plain:
+            found = self.plain_pieces(texts)
+            new = {w for ps in found for w in ps}.difference(words)
+            spelled = {w: w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in new}
+            other.update(spelled.values())
+            pieces.update(zip(plain, found))
+        fresh = self.trie.encode_words(other.difference(words))
+        words.update(fresh)
+        if plain:
+            words.update({w: words[t] for w, t in spelled.items() if w is not t})
+        numbers, names, table = self.numbers.__getitem__, self.names.__getitem__, self.chunks
         for chunk, ps in pieces.items():
-            ids = [i for p in ps for i in ((p,) if p.__class__ is int else words[p])]
-            self.chunks[chunk] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
-
-    def learn_from(self, texts: list[list[bytes]]) -> None:
-        known, old = self.chunks, self.chunks.old
-        if new := {c for chunks in texts for c in chunks if c not in known and c not in old}:
+            ids = words[ps[0]] if len(ps) == 1 and ps[0].__class__ is str else [i for p in ps for i in ((p,) if p.__class__ is int else words[p])]
+            table[chunk] = ("".join(map(numbers, ids)), "".join(map(names, ids)))
+        if len(words) > WORDS:
+            words.clear()
+        for word in [w for w in fresh if len(w) > LONG]:
+            words.pop(word, None)
+
+    def know(self, chunks: set[bytes]) -> None:
+        """Put the chunks into the table; when it is full, only those of them that it has stay."""
+        new = chunks.difference(self.chunks)
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks = {c: self.chunks[c] for c in chunks.difference(new)}
+        if new:
             self.learn(new)
 
-    def look_up(self, chunks: list[bytes]) -> list[tuple[int, str, str]]:
-        try:
-            return [e for e in map(self.chunks.__getitem__, chunks) if e[0]]
-        except KeyError:
-            self.learn_from([chunks])
-            return [e for e in map(self.chunks.__getitem__, chunks) if e[0]]
+    def encode_split(self, texts: list[list[bytes]]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids joined by a space, and tokens joined by a space, which is what decoding without a decoder
+        gives, of texts as chunks. The new chunks of all texts make one trie, or of as many as fit in the table."""
+        out, at = [], 0
+        while at < len(texts):
+            wanted, upto = set(texts[at][:CHUNKS]), at + 1
+            while upto < len(texts) and len(wanted) + len(texts[upto]) < CHUNKS:
+                wanted.update(texts[upto])
+                upto += 1
+            self.know(wanted)
+            out += map(self.encode_chunks, texts[at:upto])
+            for chunk in [c for c in wanted if len(c) > LONG]:
+                self.chunks.pop(chunk, None)
+            at = upto
+        return out
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[int, str, str]:
+        ids, tokens = [], []
+        for at in range(0, len(chunks), CHUNKS):  # in steps, so that the chunks of any text fit in the table
+            part = chunks[at : at + CHUNKS]
+            if at:
+                self.know(set(part))
+            found = [*zip(*map(self.chunks.__getitem__, part))]
+            ids.append("".join(found[0]))
+            tokens.append("".join(found[1]))
+        ids, tokens = "".join(ids), "".join(tokens)
+        return ids.count(" "), ids[:-1], tokens[:-1]
 
     def encode(self, text: bytes) -> tuple[int, str, str]:
-        """Number of tokens, ids joined by a space, and tokens joined by a space, which is what decoding without a decoder gives."""
-        chunks = text.split()
-        # in steps, so that the chunks of any text fit in the table
-        found = [e for at in range(0, len(chunks), CHUNKS // 2) for e in self.look_up(chunks[at : at + CHUNKS // 2])]
-        return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+        return self.encode_split([text.split()])[0]
 
 
 @lru_cache(maxsize=2)
@@ -245,6 +337,28 @@ def encoder_of(file: str) -> TextEncoder:
     return TextEncoder(file)
 
 
+def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    """A row a row of docs: its id, and the columns that ``columns`` makes of encoded texts."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        encoder = encoder_of(file)
+        for batch in batches:
+            texts, at = batch.column(1), 0
+            while at < len(texts):
+                part, size = [], 0
+                while at + len(part) < len(texts) and (size < TRIE_BYTES or not part):
+                    text = texts[at + len(part)].as_py().encode()
+                    size += len(text)
+                    part.append(text.split())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns(encoder.encode_split(part))], names=names)
+                at += len(part)
+
+    names = ["id", *(c.split()[0] for c in schema.split(", "))]
+    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
+
+
 def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decoded) of each row: decimal ids joined by a space, and their decoding.
 
@@ -252,26 +366,21 @@ def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
     library does. Null or empty text has no tokens and decodes to the empty text. Repeated rows and null ids give a row
     each, an empty table none; other columns are ignored. One narrow pass without shuffle; tables in a worker are bounded.
     """
-    small_batches(docs.sparkSession)
 
-    def run(batches):
-        encoder = encoder_of(file)
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 64):
-                part = texts[at : at + 64]
-                if sum(map(len, part)) < 8 * CHUNKS:  # the chunks of these texts fit in the table: one trie for them
-                    encoder.learn_from([*map(bytes.split, part)])
-                rows = [encoder.encode(t) for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 64), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                    names=["id", "n_tokens", "ids", "decoded"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids string, decoded string")
-    return out.withColumnRenamed("id", id_col)
-
-
-def encoding_digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def columns(rows):
+        return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+
+    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids string, decoded string", columns)
+
+
+def encoding_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row: digests of what encode_texts gives, worked out where it arises.
+
+    Nulls, empty and long texts, repeats, null ids, empty tables and other columns are as there.
+    """
+
+    def columns(rows):
+        digests = [[sha256(r[i].encode()).hexdigest() for r in rows] for i in (1, 2)]
+        return [pa.array([r[0] for r in rows], pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
+
+    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)

@@ -69,9 +69,9 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_trie import encode_texts, encoding_digests
+    from .bpe_trie import encoding_digests
 
-    return encoding_digests(encode_texts(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+    return encoding_digests(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
