@@ -38,7 +38,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a document: number of tokens, and digests of its ids and of what they decode to."""
-    return bpe_trie.encoding_digests(bpe_trie.encode_texts(docs, tokenizer_file("word_bpe_49k.json")))
+    return bpe_trie.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES = [
