@@ -41,11 +41,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, with Spark's own subfolder.
 
-    The session's setting is used; only where it is unset (tests on one machine) a temporary folder is made.
+    The session's setting is used. Where it is unset, a session on one machine (tests) gets a temporary folder; on a
+    cluster that would lose data, so it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return context.getCheckpointDir()
 
 
@@ -60,6 +64,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that shared_folder() named."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Remove the files of a frame that checkpointed() gave; it can't be read any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        removed(df.sparkSession, file.get())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, for loops.
 

@@ -1,542 +1,524 @@
-"""Bigram language model with Katz backoff over words.
+"""Trigram language model with Katz backoff over words, counted in tables that are partitioned by n-gram.
 
-Counts are of all training documents, and each word has its own bigrams. The most frequent words, the core, have symbols
-that are known everywhere; all others, the tail, go by hash, and what is known of them is joined by it. The size of the core
-decides how bigrams are stored, not what they count. Bigrams with small counts are discounted by Good-Turing; what they lose goes to successors that were never seen, in proportion to their unigram probabilities, by a
-weight that makes the probabilities of each history sum to one exactly. Unigrams are discounted alike for words never seen.
+Texts are packed into blocks. A block asks for each of its distinct n-grams once, with its own training count; buckets, each
+a range of n-gram hashes, add the counts up and answer every block that asked, so a frequent n-gram is one row a block, and
+no table of words goes to the driver or to all workers. From the answers, blocks make each history's sums of discounted counts,
+an n-gram at one block alone, which buckets add up likewise. Then a block has all that its texts' probabilities need, and
+works them out order by order: that of a seen n-gram is its discounted share of the history, that of another the history's
+backoff weight times the shorter n-gram's. Weights make the probabilities after each history sum to one exactly.
+
+Small counts are discounted by Good-Turing at all three orders. Discounted counts are whole multiples of 1 / UNIT, so sums of
+them don't depend on the order of adding.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remainder, shared_folder, small_batches, text_or_empty
+from .common import checkpointed, forgotten, remainder, removed, shared_folder, small_batches, text_or_empty
 
-#: Words of the core vocabulary, hence rows of the tables that are broadcast: some 4 MB.
-CORE = 1 << 18
-#: Symbols besides the core: end of text (also the history of a first word) and, in tables, the tail as a whole. In texts a
-#: word of the tail is its hash, which is negative.
-END, TAIL, FIRST = 0, 1, 2
+#: Keys of the start, which is only ever a history, and of the end of a text.
+START, END = 1, 2
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-KEPT = 400_000
-#: Bytes of text in a block, whose bigrams are packed together, and rows of packed bigrams that a bucket should get.
-BLOCK, BUCKET = 12_000_000, 1_500_000
+UNIT = 1 << 16
+#: Words whose keys a worker keeps; tokens of a block; bytes of a text that are taken at once; n-grams that a bucket should get.
+KEPT, BLOCK, SLICE, BUCKET = 300_000, 2_500_000, 4_000_000, 3_000_000
+#: Numbers that a bucket reports by order: types, tokens, and types of each count from one on.
+REPORTED = 2 + DISCOUNTED + 1
+SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def learns_from(id_col: str = "doc_id") -> Column:
     return remainder(id_col, 7) != 2
 
 
-def word_key(word: bytes) -> int:
-    import xxhash
-
-    return (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()  # of bytes: A-Z and ASCII white space alone
-
-
-def discounts(numbers: dict[int, int]) -> list[float]:
-    """Good-Turing discount of counts 0..DISCOUNTED (index 0 unused) from numbers of types by count.
-
-    Katz's form; where the numbers are too few or irregular for it (a discount outside of (0, 1]), 1 - 1 / (2 * count) instead,
-    which too leaves something for what was never seen.
-    """
-    k, out = DISCOUNTED, [1.0]
-    n = [0, *(numbers.get(r, 0) for r in range(1, k + 2))]
-    common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    for r in range(1, k + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common != 1 else 0.0
-        out.append(d if 0 < d <= 1 and (r > 1 or d < 1) else 1 - 1 / (2 * r))
-    return out
-
-
-@dataclass(frozen=True)
-class Unigrams:
-    """keys: sorted hashes of core words; symbol: of each key; p: probability of each symbol; unseen: of all words that never
-    occur; discount, scale: what a word's share of the tokens is multiplied by, by its count and for all words."""
-
-    keys: np.ndarray
-    symbols: np.ndarray
-    counts: np.ndarray
-    p: np.ndarray
-    unseen: float
-    discount: np.ndarray
-    scale: float
-    tokens: int
-    types: int
-    documents: int
-
-
-class Symbols(dict):
-    """word -> symbol, or hash if it has none; for a bounded number of words."""
-
-    def __init__(self, unigrams: Unigrams):
-        super().__init__()
-        self.keys_, self.symbols_ = unigrams.keys, unigrams.symbols
+class WordKeys(dict):
+    """word -> 64-bit key; for a bounded number of short words."""
 
     def __missing__(self, word: bytes) -> int:
+        import xxhash
+
         if len(self) > KEPT:
             self.clear()
-        key = word_key(word)
-        at = int(np.searchsorted(self.keys_, key))
-        value = self[word] = int(self.symbols_[at]) if at < len(self.keys_) and self.keys_[at] == key else key
-        return value
+        key = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 100:
+            self[word] = key
+        return key
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n) of each word's hash in all texts; tasks count first, so a frequent word is one row a task."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches):
-        counts: Counter = Counter()
-
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array([*map(word_key, counts)], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["key", "n"])
-            counts.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > KEPT:
-                yield from flush()
-        yield from flush()
-
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit_unigrams(words: DataFrame, documents: int, core: int = CORE) -> Unigrams:
-    """Unigram table from (key, n). What reaches the driver is the core and the numbers of types by small count."""
-    totals = words.agg(F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    numbers = {r["n"]: r["types"] for r in words.where(f"n <= {DISCOUNTED + 1}").groupBy("n").agg(F.count(F.lit(1)).alias("types")).collect()}
-    top = words.orderBy(F.desc("n"), "key").limit(core).toPandas()
-    types, tokens = totals["types"] + (documents > 0), totals["n"] + documents  # the end is a token and a type
-    n = np.r_[documents, 0, top["n"].to_numpy(np.int64)]
-    d = np.array(discounts(numbers))
-    lost = sum(r * (numbers.get(r, 0) + (documents == r)) * (1 - d[r]) for r in range(1, DISCOUNTED + 1))
-    unseen, scale, least = lost / tokens if tokens else 1.0, 1.0, 1 / (tokens + 1)  # something is left for words that were never seen
-    if unseen < least:
-        unseen, scale = least, (1 - least) / (1 - unseen)
-    share = np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n / max(tokens, 1) * scale
-    share[TAIL] = 1 - share.sum()
-    if not documents:
-        share[:FIRST] = unseen = 0.5
-    order = np.argsort(top["key"].to_numpy(np.int64), kind="stable")
-    symbols = (np.arange(len(top)) + FIRST)[order]
-    return Unigrams(top["key"].to_numpy(np.int64)[order], symbols, n, share, float(unseen), d, scale, int(tokens), int(types), documents)
 
+def longer(history: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Keys of the n-grams of an order from those of their histories and last words."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(history ^ np.uint64(0x9E3779B97F4A7C15 * order % (1 << 64))) + word)
 
-@dataclass(frozen=True)
-class Bigrams:
-    """By symbol of the history: log10 of what a seen successor's discounted count is multiplied by, and of the backoff weight."""
 
-    seen: np.ndarray
-    backoff: np.ndarray
-    discount: np.ndarray
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place among them of each key, an example's position for each)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[new], place, order[new]
 
 
 def _packed(x: np.ndarray) -> bytes:
+    """Compressed byte planes: of small numbers most planes are empty."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def _unpacked(x: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(x) or b"", kind)
-
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where equal values of sorted x begin."""
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
+# Blocks
 
-#: ``rare_`` are bigrams with a word of the tail.
-PACKED = "bucket int, pairs binary, owners binary, counts binary, rare_histories binary, rare_words binary, rare_owners binary, rare_counts binary, docs array<long>, block long"
-COUNTED = "bucket int, pairs binary, owners binary, counts binary, totals binary, rare_histories binary, rare_words binary, rare_owners binary, rare_counts binary, rare_totals binary, rare_sizes binary, docs array<long>, block long"
 
+def words_of(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of bounded size."""
+    data, at = text.encode().lower(), 0  # of bytes: A-Z and ASCII white space alone
+    while len(data) - at > SLICE and (cut := SPACES.search(data, at + SLICE)):
+        yield data[at : cut.start()].split()
+        at = cut.end()
+    yield data[at:].split()
 
-def _rows(schema: str, values: list) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-    names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([x], kinds[k]) for x, (_, k) in zip(values, names)], names=[n for n, _ in names])
 
+BLOCKS = "block long, rows array<long>, words binary, tokens binary, lengths array<int>, contexts array<int>, learned array<boolean>"
 
-def _counted(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the keys, sorted by the last key first, and how often each occurs."""
-    order = np.lexsort(keys)
-    keys = [x[order] for x in keys]
-    at = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)]) if len(order) else order
-    return [x[at] for x in keys], np.diff(np.r_[at, len(order)]).astype(np.uint32)
 
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Packed texts: sorted word keys of a block, and its tokens as places among them; a segment is a text or a slice of one.
 
-def pack(docs: DataFrame, shared, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """A block's bigrams, by bucket: sorted pairs of symbols (as differences), the documents that have them (twice the place
-    in ``docs``, plus one if nothing is learned from the document), and how often; the same of bigrams with a word of the
-    tail, whose histories (as differences) and words are symbols or hashes; ``block`` names the block.
-
-    A bucket holds whole histories, but for frequent ones, which are dealt to several by successor.
+    A segment begins with its context, which is not predicted: the start, or the last two tokens of the slice before.
     """
 
     def run(batches):
-        unigrams = shared.value
-        symbols = Symbols(unigrams)
-        spread = (unigrams.counts // (BUCKET // 2) + 1).astype(np.uint64)
-        texts: list[np.ndarray] = []
-        ids: list[int] = []
-
-        def flush():
-            owner = np.repeat((np.arange(len(ids)) << 1) | np.array(held), [len(s) - 1 for s in texts])
-            history, word = np.concatenate([s[:-1] for s in texts]), np.concatenate([s[1:] for s in texts])
-            with np.errstate(over="ignore"):
-                parts = np.where(history < 0, np.uint64(1), spread[np.maximum(history, 0)])
-                deal = (word.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % parts
-                bucket = ((history.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + deal * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets)
-            rare = (history < 0) | (word < 0)
-            core = ~rare
-            (own, pair, at), count = _counted(owner[core], history[core] << 20 | word[core], bucket[core])
-            (far_own, far_word, far_history, far_at), far_count = _counted(owner[rare], word[rare], history[rare], bucket[rare])
-            block = word_key(repr(ids).encode())
-            for b in np.union1d(at, far_at):
-                x, y = (slice(*np.searchsorted(k, [b, b + np.uint64(1)])) for k in (at, far_at))
-                here = np.unique(np.r_[own[x], far_own[y]] >> 1)
-                place, far_place = ((np.searchsorted(here, k >> 1) << 1 | (k & 1)).astype(np.uint32) for k in (own[x], far_own[y]))
-                parts = (np.diff(pair[x], prepend=0), place, count[x], np.diff(far_history[y], prepend=0), far_word[y], far_place, far_count[y])
-                yield _rows(PACKED, [int(b), *map(_packed, parts), [ids[i] for i in here], block])
-            texts.clear()
-            ids.clear()
-            held.clear()
-
-        held: list[int] = []
+        keys, number = WordKeys(), TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
         size = 0
-        for batch in batches:
-            for row, learned, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                w = words_of(text)
-                s = np.zeros(len(w) + 2, np.int64)
-                s[1:-1] = np.fromiter(map(symbols.__getitem__, w), np.int64, len(w))
-                texts.append(s)
-                ids.append(row)
-                held.append(int(not learned))
-                size += len(text) + 100
-                if size > BLOCK:
-                    yield from flush()
-                    size = 0
-        if ids:
-            yield from flush()
-
-    source = docs.select(F.col(id_col).cast("long").alias("row"), learns_from(id_col).alias("learned"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, PACKED)
-
-
-def counted(packed: DataFrame, buckets: int) -> DataFrame:
-    """The packed rows, with ``totals``: each pair's count in all training documents; and a row a bucket without documents,
-    whose pairs are all pairs of training documents there.
-
-    Rare bigrams of histories in the tail also get ``rare_sizes``: the history's tokens, and its types of each count that is
-    discounted. Hashes stay where a bigram was never seen in training, and are needed no more where it was.
-    """
 
-    def run(batches):
-        def close():
-            pair, n = np.concatenate([p for p, _ in sums]), np.concatenate([n for _, n in sums])
-            pair, n = _reduced(pair, n)
-            far = [(np.cumsum(_unpacked(r[4], np.int64)), _unpacked(r[5], np.int64), _unpacked(r[6], np.uint32), _unpacked(r[7], np.uint32)) for r in rows]
-            history, word, owner, times = map(np.concatenate, zip(*far))
-            order = np.lexsort((word, history))
-            h, w = history[order], word[order]
-            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else order
-            group = np.empty(len(h), np.int64)
-            group[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(h)]))
-            h, w, t = h[starts], w[starts], np.bincount(group, np.where(owner & 1, 0, times), len(starts)).astype(np.int64)
-            first = _runs(h)
-            place = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-            sizes = np.array([np.bincount(place, x, len(first)) for x in (t, *(t == r for r in range(1, DISCOUNTED + 1)))]).astype(np.uint32)
-            begin = 0
-            for row, (own_h, own_w, *_) in zip(rows, far):
-                own = np.cumsum(_unpacked(row[1], np.int64))
-                at = np.minimum(np.searchsorted(pair, own), max(0, len(pair) - 1))
-                total = np.where(pair[at] == own, n[at], 0) if len(pair) else np.zeros(len(own), np.int64)
-                g = group[begin : begin + len(own_h)]
-                begin += len(own_h)
-                seen = t[g] > 0
-                kept = (np.where(seen & (own_h < 0), -1, own_h), np.where(seen, 0, own_w))
-                yield [bucket, *row[1:4], _packed(total.astype(np.int64)), *map(_packed, kept), *row[6:8], _packed(t[g]), _packed(sizes[:, place[g[own_h < 0]]]), row[8], row[9]]
-            if len(pair) or t.any():
-                seen = t > 0
-                yield [bucket, _packed(np.diff(pair, prepend=0)), None, None, _packed(n), _packed(h[seen]), _packed(w[seen]), None, None, _packed(t[seen]), None, None, None]
-            rows.clear()
-            sums.clear()
-
-        bucket, rows, sums, waiting = None, [], [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket is not None and row[0] != bucket:
-                    yield from (_rows(COUNTED, x) for x in close())
-                    waiting = 0
-                bucket = row[0]
-                rows.append(row)
-                pair, owner, count = np.cumsum(_unpacked(row[1], np.int64)), _unpacked(row[2], np.uint32), _unpacked(row[3], np.uint32)
-                learned = (owner & 1) == 0
-                sums.append(_reduced(pair[learned], count[learned].astype(np.int64)))
-                waiting += len(sums[-1][0])
-                if waiting > 2 * BUCKET:
-                    sums[:] = [_reduced(np.concatenate([p for p, _ in sums]), np.concatenate([n for _, n in sums]))]
-                    waiting = 0
-        if rows:
-            yield from (_rows(COUNTED, x) for x in close())
-
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, COUNTED)
-
-
-def _reduced(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(pair):
-        return pair, n
-    order = np.argsort(pair, kind="stable")
-    pair, n = pair[order], n[order]
-    at = _runs(pair)
-    return pair[at], np.add.reduceat(n, at)
-
-
-def count_numbers(table: DataFrame) -> dict[int, int]:
-    """How many bigrams have each small count."""
+        def row():
+            ids, rows, parts, contexts, learned = zip(*held)
+            words, tokens, _ = distinct(np.concatenate(parts))
+            values = [number, rows, _packed(words), _packed(tokens.astype(np.uint32)), [*map(len, parts)], contexts, learned, ids]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(kind)]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*(c.split()[0] for c in BLOCKS.split(", ")), "ids"])
 
-    def run(batches):
-        out = np.zeros(DISCOUNTED + 2, np.int64)
         for batch in batches:
-            for n in (_unpacked(x, np.int64) for c in batch.columns for x in c.to_pylist()):
-                out += np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int64()), pa.array(out)], names=["n", "types"])
-
-    rows = table.where("docs is null").select("totals", "rare_totals").mapInArrow(run, "n long, types long").groupBy("n").agg(F.sum("types").alias("types")).collect()
-    return {r["n"]: r["types"] for r in rows if r["n"]}
-
-
-def word_probability(n: Column, unigrams: Unigrams) -> Column:
-    """Unigram probability of a word with so many occurrences in training; null or none for a word that was never seen."""
-    d = F.array(*map(F.lit, [*unigrams.discount.tolist(), 1.0]))
-    p = n * F.element_at(d, F.least(n, F.lit(DISCOUNTED + 1)).cast("int") + 1) * (unigrams.scale / max(unigrams.tokens, 1))
-    return F.when(F.coalesce(n, F.lit(0)) > 0, p).otherwise(unigrams.unseen)
-
-
-def rare_sums(table: DataFrame, words: DataFrame, unigrams: Unigrams, d: np.ndarray, shared) -> DataFrame:
-    """(history, n, kept, covered) of bigrams with a word of the tail, over all histories; for those in the tail, ``covered``
-    has all their successors. Words meet their counts by key."""
-
-    def pairs(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                history, word, n = (_unpacked(x, np.int64) for x in row)
-                history, word, n = (x[word < 0] for x in (history, word, n))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (history, word, n, n * d[np.minimum(n, DISCOUNTED + 1)])], names=["history", "word", "n", "kept"])
-
-    def known(batches):
-        p = shared.value.p
-        for batch in batches:
-            for histories, words in zip(*(c.to_pylist() for c in batch.columns)):
-                history, word = _unpacked(histories, np.int64), _unpacked(words, np.int64)
-                history, word = history[word >= 0], word[word >= 0]
-                at = _runs(history)
-                covered = np.add.reduceat(p[word], at) if len(at) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(history[at]), pa.array(covered)], names=["history", "covered"])
-
-    rows = table.where("docs is null")
-    tail = rows.select("rare_histories", "rare_words", "rare_totals").mapInArrow(pairs, "history long, word long, n long, kept double")
-    looked = tail.join(words.withColumnRenamed("n", "times"), F.col("word") == F.col("key"), "left").select("history", "n", "kept", word_probability(F.col("times"), unigrams).alias("covered"))
-    core = rows.select("rare_histories", "rare_words").mapInArrow(known, "history long, covered double").select("history", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("kept"), "covered")
-    return looked.unionByName(core).groupBy("history").agg(*(F.sum(c).alias(c) for c in ("n", "kept", "covered")))
-
-
-def bigram_discounts(table: DataFrame) -> np.ndarray:
-    return np.array([*discounts(count_numbers(table)), 1.0])
-
+            kind = batch.column(0).type
+            for own, at, learned, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tail, slices = np.array([START], np.uint64), words_of(text)
+                words = next(slices)
+                while words is not None:
+                    after = next(slices, None)
+                    if words or after is None:
+                        part = np.r_[tail, np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)), np.array([END] if after is None else [], np.uint64)]
+                        held.append((own, at, part, len(tail), learned))
+                        tail = part[-2:]
+                        size += len(part)
+                    if size > BLOCK:
+                        yield row()
+                        number += 1
+                        held.clear()
+                        size = 0
+                    words = after
+        if held:
+            yield row()
+
+    source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), learns_from(id_col).alias("learned"), text_or_empty(text_col).alias("text"))
+    return source.mapInArrow(run, f"{BLOCKS}, ids array<{docs.schema[id_col].dataType.simpleString()}>")
+
+
+class Grams:
+    """The distinct n-grams of a block and their own training counts.
+
+    ``keys``, ``counts``: by order. ``first``, ``last``: words of each bigram; ``history``, ``suffix``: bigrams of each trigram;
+    ``of``: at each token, the n-gram of each order that ends there.
+    """
 
-def fit_bigrams(table: DataFrame, unigrams: Unigrams, shared, d: np.ndarray | None = None, rare: DataFrame | None = None) -> Bigrams:
-    """Backoff weights of the core's histories from the bigram table, and the sums of ``rare`` bigrams. What reaches the
-    driver has a row for each symbol of the core at most."""
-    d = bigram_discounts(table) if d is None else d
+    def __init__(self, words: bytes, tokens: bytes, lengths: list[int], contexts: list[int], learned: list[bool]):
+        keys, token, size = _unpacked(words, np.uint64), _unpacked(tokens, np.uint32).astype(np.int64), np.array(lengths, np.int64)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        context, learns = np.repeat(contexts, size), np.repeat(learned, size)
+        self.segment = np.repeat(np.arange(len(size)), size)
+        self.predicted = place >= context
+        counted = learns & self.predicted
+        at2, at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        word, pair = keys[token], np.zeros(len(token), np.uint64)
+        pair[1:] = longer(word[:-1], word[1:], 2)
+        keys2, place2, example2 = distinct(pair[at2])
+        keys3, place3, example3 = distinct(longer(pair[at3 - 1], word[at3], 3))
+        self.keys, self.of = [keys, keys2, keys3], [token, np.full(len(token), -1), np.full(len(token), -1)]
+        self.of[1][at2], self.of[2][at3] = place2, place3
+        example2, example3 = at2[example2], at3[example3]
+        self.first, self.last = token[example2 - 1], token[example2]
+        self.history, self.suffix = self.of[1][example3 - 1], self.of[1][example3]
+        starts = learns & (place == 0) & (context == 1)
+        taken = (counted | starts, counted & (place >= 1), counted & (place >= 2))
+        self.counts = [np.bincount(self.of[o][taken[o]], minlength=len(self.keys[o])).astype(np.uint64) for o in range(3)]
+
+
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+
+def _dealt(keys: list[np.ndarray], columns: list[list[np.ndarray]], edges: np.ndarray) -> Iterator[tuple]:
+    """(bucket, sizes by order, packed keys, packed columns) of sorted keys by order, and of columns beside them."""
+    cuts = [np.r_[0, np.searchsorted(k, edges), len(k)] for k in keys]
+    for bucket in np.flatnonzero(sum(np.diff(c) for c in cuts)):
+        parts = [slice(c[bucket], c[bucket + 1]) for c in cuts]
+        steps = np.concatenate([np.diff(k[p], prepend=np.uint64(0)) for k, p in zip(keys, parts)])
+        yield int(bucket), [p.stop - p.start for p in parts], _packed(steps), *(_packed(np.concatenate([c[p] for c, p in zip(column, parts)])) for column in columns)
+
+
+def _gathered(packets: list, sizes: int, column: int, keys: bool = False) -> tuple[list[np.ndarray], list[list[int]]]:
+    """A column of packets by order, and the packets' sizes by order."""
+    out: list[list[np.ndarray]] = [[] for _ in packets[0][sizes]]
+    for packet in packets:
+        values, at = _unpacked(packet[column], np.uint64), 0
+        for o, n in enumerate(packet[sizes]):
+            part = values[at : at + n]
+            out[o].append(np.cumsum(part, dtype=np.uint64) if keys else part)
+            at += n
+    return [np.concatenate(x) for x in out], [list(x) for x in zip(*(p[sizes] for p in packets))]
+
+
+def _by_packet(values: list[np.ndarray], sizes: list[list[int]]) -> Iterator[bytes]:
+    """The inverse of _gathered: each packet's part."""
+    ends = [np.cumsum(s) for s in sizes]
+    for i in range(len(sizes[0])):
+        yield _packed(np.concatenate([v[e[i] - s[i] : e[i]] for v, e, s in zip(values, ends, sizes)]))
+
+
+def _rows(names: str, rows: list[list]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    schema = [c.split() for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows), schema)], names=[n for n, _ in schema])
+
+
+def _by_bucket(packets: DataFrame, buckets: int, answer, schema: str) -> DataFrame:
+    """The rows that ``answer`` makes of all packets of a bucket."""
 
     def run(batches):
-        p = shared.value.p
+        held: list[list] = []
         for batch in batches:
-            for pairs, totals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pair, n = np.cumsum(_unpacked(pairs, np.int64)), _unpacked(totals, np.int64)
-                history = pair >> 20
-                at = _runs(history)
-                if not len(at):
-                    continue
-                sums = [np.add.reduceat(x, at) for x in (n, n * d[np.minimum(n, DISCOUNTED + 1)], p[pair & ((1 << 20) - 1)])]
-                yield pa.RecordBatch.from_arrays([pa.array(history[at]), *map(pa.array, sums)], names=["history", "n", "kept", "covered"])
-
-    sums = table.where("docs is null").select("pairs", "totals").mapInArrow(run, "history long, n long, kept double, covered double")
-    sums = sums if rare is None else sums.unionByName(rare.where("history >= 0"))
-    rows = sums.groupBy("history").agg(*(F.sum(c).alias(c) for c in ("n", "kept", "covered"))).toPandas()
-    seen, backoff = np.zeros(len(unigrams.p)), np.zeros(len(unigrams.p))
-    with np.errstate(divide="ignore"):
-        n = rows["n"].to_numpy(float)
-        kept, room = rows["kept"].to_numpy(float) / n, 1 - rows["covered"].to_numpy(float)
-        least = 1 / (n + 1)  # something is left for successors that were never seen
-        scale = np.where(room < 1e-9, 1 / kept, np.where(1 - kept < least, (1 - least) / kept, 1.0))
-        weight = np.where(room < 1e-9, 0.0, (1 - scale * kept) / np.maximum(room, 1e-9))
-        at = rows["history"].to_numpy(np.int64)
-        seen[at], backoff[at] = np.log10(scale / n), np.log10(weight)
-    return Bigrams(seen, backoff, d)
-
-
-def log_probabilities(unigrams: Unigrams, bigrams: Bigrams, pair: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """log10 of each bigram: discounted if it was seen, else the history's backoff weight times the unigram."""
-    history, word = pair >> 20, pair & ((1 << 20) - 1)
-    with np.errstate(divide="ignore"):
-        seen = bigrams.seen[history] + np.log10(bigrams.discount[np.minimum(total, DISCOUNTED + 1)] * total)
-        return np.where(total > 0, seen, bigrams.backoff[history] + np.log10(unigrams.p[word]))
-
-
-def rare_logs(unigrams: Unigrams, bigrams: Bigrams, history: np.ndarray, word: np.ndarray, total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of each bigram with a word of the tail, but for what unseen_parts() adds where it was never seen."""
-    d, tail = bigrams.discount, history < 0
-    seen, backoff = np.zeros(len(history)), np.zeros(len(history))
-    seen[~tail], backoff[~tail] = bigrams.seen[history[~tail]], bigrams.backoff[history[~tail]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        n = sizes[0].astype(float)
-        kept, least = 1 - sum(r * (1 - d[r]) * sizes[r] for r in range(1, DISCOUNTED + 1)) / n, 1 / (n + 1)
-        scale = np.where(1 - kept < least, (1 - least) / kept, 1.0)
-        seen[tail], backoff[tail] = np.log10(scale / n), np.where(n > 0, np.log10(1 - scale * kept), 0.0)
-        seen += np.log10(d[np.minimum(total, DISCOUNTED + 1)] * total)
-        return np.where(total > 0, seen, backoff + np.where(word < 0, 0.0, np.log10(unigrams.p[np.maximum(word, 0)])))
-
-
-def _rare(row) -> tuple:
-    """(history, word, owner, count, total, sizes) of a packet's rare bigrams."""
-    kinds = (np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint32)
-    *out, sizes = (_unpacked(x, k) for x, k in zip(row, kinds))
-    return *out, sizes.reshape(DISCOUNTED + 1, -1)
-
-
-RARE = ["rare_histories", "rare_words", "rare_owners", "rare_counts", "rare_totals", "rare_sizes"]
-
-
-def unseen_parts(table: DataFrame, words: DataFrame, unigrams: Unigrams, rare: DataFrame) -> DataFrame:
-    """(row, score): what bigrams never seen in training lack in block_scores(), as it needs a look-up by hash: the unigram
-    probability of a word of the tail, and the room that a history of the tail leaves to backoff."""
+            for packet in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != packet[0]:
+                    yield _rows(schema, answer(held))
+                    held = []
+                held.append(packet)
+        if held:
+            yield _rows(schema, answer(held))
 
-    def run(batches):
-        for batch in batches:
-            for *row, docs in zip(*(c.to_pylist() for c in batch.columns)):
-                history, word, owner, count, total, sizes = _rare(row)
-                known = np.zeros(len(history), bool)
-                known[history < 0] = sizes[0] > 0
-                for key, of, kept in ((word, 0, (total == 0) & (word < 0)), (history, 1, (total == 0) & known)):
-                    ids = pa.array([docs[i] for i in owner[kept] >> 1], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(key[kept]), pa.array(count[kept].astype(np.int64)), pa.array(np.full(len(ids), of))], names=["row", "key", "times", "of"])
+    return packets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
-    rows = table.where("docs is not null").select(*RARE, "docs").mapInArrow(run, "row long, key long, times long, of long")
-    of_words = rows.where("of = 0").join(words, "key", "left").select("row", (F.col("times") * F.log10(word_probability(F.col("n"), unigrams))).alias("score"))
-    rooms = rare.where("history < 0").select(F.col("history").alias("key"), "covered")
-    of_histories = rows.where("of = 1").join(rooms, "key", "left").select("row", (-F.col("times") * F.log10(1 - F.coalesce("covered", F.lit(0.0)))).alias("score"))
-    return of_words.unionByName(of_histories)
 
+# First exchange: counts
 
-def block_scores(table: DataFrame, shared, weights) -> DataFrame:
-    """(row, score): sums over a block's bigrams, by document. A packet of bigrams gives one row of sums, which meet by block
-    again; a block's packets are bounded by its text."""
+ASKED = "bucket int, block long, sizes array<int>, keys binary, counts binary"
+COUNTED = "block long, bucket int, sizes array<int>, totals binary, report array<long>"
 
-    def run(batches):
-        for batch in batches:
-            for pairs, owners, counts, totals, docs, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                logs = log_probabilities(shared.value, weights.value, np.cumsum(_unpacked(pairs, np.int64)), _unpacked(totals, np.int64))
-                sums = np.bincount(_unpacked(owners, np.uint32) >> 1, weights=logs * _unpacked(counts, np.uint32), minlength=len(docs))
-                history, word, owner, count, total, sizes = _rare(row)
-                sums = sums + np.bincount(owner >> 1, weights=rare_logs(shared.value, weights.value, history, word, total, sizes) * count, minlength=len(docs))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([docs], pa.list_(pa.int64())), pa.array([sums], pa.list_(pa.float64()))], names=["block", "docs", "sums"])
 
-    def add(packets: pa.Table) -> pa.Table:
-        docs, sums = packets.column("docs").combine_chunks().flatten(), packets.column("sums").combine_chunks().flatten()
-        return pa.table({"row": docs, "score": sums}).group_by("row").aggregate([("score", "sum")]).rename_columns(["row", "score"])
-
-    packets = table.where("docs is not null").select("pairs", "owners", "counts", "totals", "docs", "block", *RARE).mapInArrow(run, "block long, docs array<long>, sums array<double>")
-    return packets.groupBy("block").applyInArrow(add, "row long, score double")
-
-
-def base_rows(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """(row, core_score, n_tokens, n_known, tail): base score and known tokens of core words and the end; hashes of tail words."""
+def asked(packed: DataFrame, buckets: int) -> DataFrame:
+    edges = _edges(buckets)
 
     def run(batches):
-        unigrams = shared.value
-        symbols = Symbols(unigrams)
-        logs = np.log10((unigrams.counts + 1) / (unigrams.tokens + unigrams.types + 1))
         for batch in batches:
-            out = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                s = np.fromiter(map(symbols.__getitem__, words), np.int64, len(words))
-                tail = np.flatnonzero(s < 0)
-                out[0].append(float(logs[s[s >= 0]].sum() + logs[END]))
-                out[1].append(len(words) + 1)
-                out[2].append(len(words) - len(tail) + (unigrams.documents > 0))
-                out[3].append(s[tail])
-            kinds = (pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["row", "core_score", "n_tokens", "n_known", "tail"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("row"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, "row long, core_score double, n_tokens long, n_known long, tail array<long>")
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = Grams(*row)
+                for bucket, sizes, keys, counts in _dealt(grams.keys, [grams.counts], edges):
+                    yield _rows(ASKED, [[bucket, block, sizes, keys, counts]])
+
+    return packed.select("block", "words", "tokens", "lengths", "contexts", "learned").mapInArrow(run, ASKED)
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(answers in the order of the keys, totals, distinct keys): total << 2, 2 if one block alone asked, 1 for the block that
+    sums are left to, the first with a count of its own."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    if not len(new):
+        return counts, counts, keys
+    size = np.diff(np.r_[new, len(keys)])
+    totals = np.add.reduceat(counts, new)
+    group = np.repeat(np.arange(len(new)), size)
+    value = (totals << np.uint64(2) | (size == 1).astype(np.uint64) << np.uint64(1))[group]
+    own = np.flatnonzero(counts)
+    value[own[np.r_[True, group[own][1:] != group[own][:-1]]] if len(own) else own] |= np.uint64(1)
+    out = np.empty_like(value)
+    out[order] = value
+    return out, totals, keys[new]
+
+
+def _count(packets: list) -> list[list]:
+    (keys, sizes), (counts, _) = _gathered(packets, 2, 3, keys=True), _gathered(packets, 2, 4)
+    answers, report = [], []
+    for k, n in zip(keys, counts):
+        answer, totals, k = added(k, n)
+        answers.append(answer)
+        totals = totals[(totals > 0) & (k != np.uint64(START))]
+        report += [len(totals), int(totals.sum()), *np.bincount(totals[totals <= DISCOUNTED + 1].astype(np.int64), minlength=DISCOUNTED + 2)[1:].tolist()]
+    rows = [[p[1], p[0], p[2], x, None] for p, x in zip(packets, _by_packet(answers, sizes))]
+    return [*rows, [None, packets[0][0], None, None, report]]
+
+
+# Discounts
+
+
+def discounts(numbers: list[int]) -> list[int]:
+    """Discounted counts 0..DISCOUNTED, in units, from the numbers of types by count, from one on.
+
+    Good-Turing in Katz's form; where the numbers are too few or irregular for it (a discount outside of (0, 1]), a count r
+    loses a half instead, which too leaves something for what was never seen.
+    """
+    k, n = DISCOUNTED, [0, *numbers]
+    common, out = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0, [0]
+    for r in range(1, k + 1):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common != 1 else 0.0
+        d = d if 0 < d <= 1 and (r > 1 or d < 1) else 1 - 1 / (2 * r)
+        out.append(max(1, round(r * d * UNIT)))
+    return out
 
 
-def _removed(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@dataclass(frozen=True)
+class Model:
+    """What all blocks need: training tokens and their types, discounted counts by order, the probability of a word that was
+    never seen, and what those of others are multiplied by so that something is left for it."""
 
+    tokens: int
+    types: int
+    discounted: tuple[tuple[int, ...], ...]
+    unseen: float
+    scale: float
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document; see the module's account.
+    def kept(self, order: int, n: np.ndarray) -> np.ndarray:
+        """Discounted counts in units."""
+        small = np.array(self.discounted[order], np.int64)
+        return np.where(n <= DISCOUNTED, small[np.minimum(n, DISCOUNTED)], n * UNIT)
+
+
+def fit(report: list[int]) -> Model:
+    """The model's numbers from the buckets' reports, added up: a few dozen, whatever the corpus."""
+    by_order = [report[i : i + REPORTED] for i in range(0, 3 * REPORTED, REPORTED)]
+    small = tuple(tuple(discounts(r[2:])) for r in by_order)
+    types, tokens, *numbers = by_order[0]
+    lost = sum(n * (r * UNIT - small[0][r]) for r, n in enumerate(numbers[:DISCOUNTED], 1))
+    if not tokens:
+        return Model(0, 0, small, 0.5, 1.0)
+    unseen, scale, least = lost / (UNIT * tokens), 1.0, 1 / (tokens + 1)  # something is left for words that were never seen
+    if unseen < least:
+        unseen, scale = least, (1 - least) / (1 - unseen)
+    return Model(tokens, types, small, unseen, scale)
+
+
+# Second exchange: sums of histories
+
+SUMMED = "bucket int, block long, sizes array<int>, keys binary, kept binary, covered binary"
+TOLD = "block long, bucket int, sizes array<int>, kept binary, covered binary"
+
+
+class Counts:
+    """A block's n-grams with their counts in all training texts; and the sums of histories (words, then bigrams) over the
+    successors that are left to this block: of their discounted counts, and of those of the same words after the shorter history."""
+
+    def __init__(self, grams: Grams, answers: list, model: Model):
+        values, _ = _gathered(sorted(answers), 1, 2)
+        self.grams, self.model = grams, model
+        self.n = [(v >> np.uint64(2)).astype(np.int64) for v in values]
+        self.alone = [(v & np.uint64(2)) > 0 for v in values]
+        own2, own3 = ((v & np.uint64(1)) > 0 for v in values[1:])
+        self.sums = [[np.zeros(len(self.n[o]), np.int64) for _ in range(2)] for o in range(2)]
+        np.add.at(self.sums[0][0], grams.first[own2], model.kept(1, self.n[1][own2]))
+        np.add.at(self.sums[0][1], grams.first[own2], model.kept(0, self.n[0][grams.last[own2]]))
+        np.add.at(self.sums[1][0], grams.history[own3], model.kept(2, self.n[2][own3]))
+        np.add.at(self.sums[1][1], grams.history[own3], model.kept(1, self.n[1][grams.suffix[own3]]))
+        #: Histories that other blocks share.
+        self.shared = [np.flatnonzero((self.n[o] > 0) & ~self.alone[o]) for o in range(2)]
+
+    def packets(self, edges: np.ndarray) -> Iterator[tuple]:
+        keys = [self.grams.keys[o][at] for o, at in enumerate(self.shared)]
+        yield from _dealt(keys, [[self.sums[o][i][at].astype(np.uint64) for o, at in enumerate(self.shared)] for i in range(2)], edges)
+
+    def hear(self, told: list) -> None:
+        """Put the sums over all blocks in place of this block's."""
+        if told:
+            for i in range(2):
+                for o, values in enumerate(_gathered(sorted(told), 1, 2 + i)[0]):
+                    self.sums[o][i][self.shared[o]] = values.astype(np.int64)
+
+    def weights(self, order: int, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what a successor's share is multiplied by, backoff weight) of each history of an order; ``covered``: the
+        probability, after the shorter history, of all words that follow it."""
+        n = np.maximum(self.n[order], 1).astype(float)
+        kept, room, least = self.sums[order][0] / (UNIT * n), 1 - covered, 1 / (n + 1)  # something is left for other successors
+        with np.errstate(divide="ignore", invalid="ignore"):
+            full = room < 1e-12
+            scale = np.where(full, 1 / kept, np.where(1 - kept < least, (1 - least) / kept, 1.0))
+            backoff = np.where(full, 0.0, (1 - scale * kept) / np.maximum(room, 1e-12))
+        known = self.n[order] > 0
+        return np.where(known, scale, 1.0), np.where(known, backoff, 1.0)
+
+    def probabilities(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of the last word of each n-gram of an order, the histories' scale of the order below): by recursion."""
+        g, m, n = self.grams, self.model, self.n[order]
+        if order == 0:
+            share = m.kept(0, n) / (UNIT * max(m.tokens, 1)) * m.scale
+            return np.where(n > 0, share, m.unseen), np.ones(len(n))
+        shorter, scale = self.probabilities(order - 1)
+        history, suffix = (g.first, g.last) if order == 1 else (g.history, g.suffix)
+        if order == 1:
+            covered = self.sums[0][1] / (UNIT * max(m.tokens, 1)) * m.scale
+        else:
+            covered = scale[g.last] * (self.sums[1][1] / (UNIT * np.maximum(self.n[0][g.last], 1)))
+        scale, backoff = self.weights(order - 1, covered)
+        seen = scale[history] * (m.kept(order, n) / (UNIT * np.maximum(self.n[order - 1][history], 1)))
+        return np.where(n > 0, seen, backoff[history] * shorter[suffix]), scale
+
+
+def _with_answers(packed: DataFrame, answers: list[DataFrame], run, schema: str) -> DataFrame:
+    """``run(row, answers)`` of each block's row and its answers of each kind, which meet by block."""
+    columns = [c.split()[0] for c in TOLD.split(", ")]
+    right, kinds = None, len(answers)
+    for i, table in enumerate(answers):
+        part = table.where("block is not null").withColumnRenamed("totals", "kept").withColumn("covered", F.lit(None).cast("binary") if "covered" not in table.columns else F.col("covered"))
+        part = part.select(*columns, F.lit(i).alias("kind"))
+        right = part if right is None else right.unionByName(part)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        by_kind: list[list] = [[] for _ in range(kinds)]
+        for _, bucket, sizes, kept, covered, kind in zip(*(c.to_pylist() for c in right.columns)):
+            by_kind[kind].append((bucket, sizes, kept, covered))
+        out = [b for row in zip(*(c.to_pylist() for c in left.columns)) for b in run(row, by_kind)]
+        return pa.Table.from_batches(out) if out else None
+
+    return packed.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, schema)
+
+
+def summed(packed: DataFrame, counted: DataFrame, model: Model, buckets: int) -> DataFrame:
+    edges = _edges(buckets)
+
+    def run(row, answers):
+        block, _, *parts, _ = row
+        rows = [[bucket, block, *packet] for bucket, *packet in Counts(Grams(*parts), answers[0], model).packets(edges)]
+        yield _rows(SUMMED, rows) if rows else empty
+
+    empty = pa.RecordBatch.from_pylist([], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sizes", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("keys", "kept", "covered"))]))
+    return _with_answers(packed, [counted], run, SUMMED)
+
+
+def _sum(packets: list) -> list[list]:
+    keys, sizes = _gathered(packets, 2, 3, keys=True)
+    places = [distinct(k)[1] for k in keys]
+    columns = []
+    for column in (4, 5):
+        out = []
+        for place, values in zip(places, _gathered(packets, 2, column)[0]):
+            total = np.zeros(int(place.max()) + 1 if len(place) else 0, np.uint64)
+            np.add.at(total, place, values)
+            out.append(total[place])
+        columns.append(_by_packet(out, sizes))
+    return [[p[1], p[0], p[2], kept, covered] for p, kept, covered in zip(packets, *columns)]
+
+
+# Scores
+
+
+def scored(packed: DataFrame, answers: list[DataFrame], model: Model) -> DataFrame:
+    """(row, id, n_tokens, n_known, base, model) of each segment."""
+    id_kind = packed.schema["ids"].dataType.elementType.simpleString()
+
+    def run(row, answers):
+        _, rows, *parts, ids = row
+        grams = Grams(*parts)
+        counts = Counts(grams, answers[0], model)
+        counts.hear(answers[1])
+        p2, p3 = np.log10(counts.probabilities(1)[0]), np.log10(counts.probabilities(2)[0])
+        at = np.flatnonzero(grams.predicted)
+        word, pair, triple = (x[at] for x in grams.of)
+        logs = np.where(triple >= 0, p3[triple] if len(p3) else 0.0, p2[pair])
+        n = counts.n[0][word]
+        base = np.log10((n + 1) / (model.tokens + model.types + 1))
+        sums = [np.bincount(grams.segment[at], weights, len(rows)) for weights in (None, n > 0, base, logs)]
+        columns = [pa.array(rows, pa.int64()), id_array(ids), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_tokens", "n_known", "base", "model"])
+
+    def id_array(ids: list) -> pa.Array:
+        return pa.array(ids, kind)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(packed.schema["ids"].dataType.elementType)
+    return _with_answers(packed, answers, run, f"row long, id {id_kind}, n_tokens long, n_known long, base double, model double")
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    """Shuffle files go as soon as a table is written, not when the driver's memory is cleaned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; see the module's account.
 
     ``score`` is the model's log10 probability of the text: the sum over its words and the end. Words that were never seen
-    count as one. ``core`` is the number of words with symbols, on which scores don't depend.
+    count as one. ``base_score`` and the counts are of single words.
 
-    Null text counts as empty: it has the end alone. Null ids count for the split as the empty text and are one document;
-    rows that repeat an id are summed as one document. Without training documents scores are those of an empty model.
-    An empty table gives an empty one. Other columns are ignored. Texts are never shuffled: blocks pack their bigrams by
-    bucket, and the table of packed bigrams in the shared folder is removed when the scores, a row a document, are written.
+    Null or empty text has the end alone. Rows that repeat an id give a row each, and so do null ids, which count for the
+    split as the empty text. Without training documents a word and the end have a half each. An empty table gives an empty one.
+    Other columns are ignored. Long texts are taken in slices, each with the two tokens before it as context. Texts are never
+    shuffled: their blocks of token numbers are, once; the tables in the shared folder are removed when scores are written.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    words = checkpointed(word_counts(docs.where(learns_from(id_col)), text_col))
-    documents = docs.where(learns_from(id_col)).count()
-    unigrams = fit_unigrams(words, documents, core)
-    shared = spark.sparkContext.broadcast(unigrams)
-    buckets = max(12, math.ceil(unigrams.tokens / BUCKET))
-    folder = shared_folder(spark, "bigrams")
-    counted(pack(docs, shared, buckets, id_col, text_col), buckets).write.parquet(folder)
-    table = spark.read.parquet(folder)
-    d = bigram_discounts(table)
-    rare = checkpointed(rare_sums(table, words, unigrams, d, shared))
-    weights = spark.sparkContext.broadcast(fit_bigrams(table, unigrams, shared, d, rare))
-    parts = block_scores(table, shared, weights).unionByName(unseen_parts(table, words, unigrams, rare))
-    scores = checkpointed(parts.groupBy("row").agg(F.sum("score").alias("model")))
-    _removed(spark, folder)
-
-    unit = math.log10(1 / (unigrams.tokens + unigrams.types + 1))
-    split = base_rows(docs, shared, id_col, text_col).select("row", "core_score", "n_tokens", "n_known", F.posexplode_outer("tail").alias("at", "key"))
-    first = F.coalesce("at", F.lit(0)) == 0
-    split = split.select(
-        "row", *(F.when(first, F.col(c)).otherwise(0).alias(c) for c in ("core_score", "n_tokens", "n_known")),
-        F.col("at").isNotNull().alias("tail"), F.coalesce("key", F.xxhash64("row")).alias("key"),
-    )
-    looked = split.join(words, "key", "left").withColumn("n", F.when(F.col("tail"), F.coalesce("n", F.lit(0))))
-    base = looked.groupBy("row").agg(
-        F.sum(F.col("core_score") + F.when(F.col("tail"), F.log10(F.col("n") + 1.0) + unit).otherwise(0.0)).alias("base"),
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + (F.coalesce("n", F.lit(0)) > 0).cast("long")).alias("n_known"),
-    )
-    joined = base.join(scores.withColumnRenamed("row", "same"), F.col("row").eqNullSafe(F.col("same")), "left")
-    return joined.select(
-        F.col("row").alias(id_col), (~learns_from("row")).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.lit(unigrams.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
+    small_batches(spark, 32)
+    source = blocks(docs, id_col, text_col)
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    folders = [shared_folder(spark, name) for name in ("counts", "sums")]
+    with _shuffles_cleaned(spark):
+        packed = checkpointed(source.repartition(parallel, "block"))
+        asking = packed.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.lit(0)).alias("n")).first()["n"]
+        buckets = max(parallel, math.ceil(1.7 * asking / BUCKET))  # at most three n-grams a token are asked for, some 1.7 distinct ones
+        _by_bucket(asked(packed, buckets), buckets, _count, COUNTED).write.parquet(folders[0])
+        counted = spark.read.parquet(folders[0])
+        report = dict(counted.where("block is null").select(F.posexplode("report").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect())
+        model = fit([report.get(i, 0) for i in range(3 * REPORTED)])
+        _by_bucket(summed(packed, counted, model, buckets), buckets, _sum, TOLD).write.parquet(folders[1])
+        segments = scored(packed, [counted, spark.read.parquet(folders[1])], model)
+        sums = segments.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")))
+        scores = checkpointed(sums)
+    forgotten(packed)
+    for folder in folders:
+        removed(spark, folder)
+    return scores.select(
+        F.col("id").alias(id_col), (~learns_from("id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
     )

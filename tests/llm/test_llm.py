@@ -10,7 +10,7 @@ import zlib
 
 import pytest
 
-from sparkquarry.llm import bpe_trie, chat_format, decontaminate, exact_dedup, html_extract, katz, language_id, near_dedup, secrets, token_counts
+from sparkquarry.llm import bpe_trie, chat_format, decontaminate, exact_dedup, html_extract, language_id, near_dedup, secrets, token_counts
 from sparkquarry.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, id string, n long"
@@ -217,82 +217,6 @@ def test_html(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
-def test_katz(spark, docs, rows, empty):
-    got = {r["doc_id"]: r for r in katz.score_documents(docs).collect()}
-    counts, held = collections.Counter(), lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    for i, t, *_ in rows:
-        if not held(i):
-            counts.update([*(t or "").encode().lower().split(), None])
-    n, v = sum(counts.values()), len(counts)
-    for i, t, *_ in rows[:-1]:
-        if i == 3:  # repeated: summed
-            continue
-        tokens = [*(t or "").encode().lower().split(), None]
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n, held(i))
-        assert got[i]["score"] < 0
-    assert katz.score_documents(empty).count() == 0
-
-
-@pytest.mark.parametrize("core", [4, 1000])
-def test_katz_sums_to_one(spark, core):
-    texts = [(i, " ".join(random.Random(i).choices(["a", "b", "c", "d", "e", "f", "g", "h"], weights=[30, 20, 10, 5, 3, 2, 1, 1], k=40))) for i in range(30)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    words = katz.word_counts(docs)
-    unigrams = katz.fit_unigrams(words, 30, core)
-    assert unigrams.p.sum() == pytest.approx(1)
-    shared = spark.sparkContext.broadcast(unigrams)
-    table = katz.counted(katz.pack(docs, shared, 3, "doc_id", "text"), 3).persist()
-    weights = katz.fit_bigrams(table, unigrams, shared)
-    known = {}
-    for r in table.where("docs is null").collect():
-        pair = katz.np.cumsum(katz._unpacked(r["pairs"], katz.np.int64))
-        known.update(zip(pair.tolist(), katz._unpacked(r["totals"], katz.np.int64).tolist()))
-    for history in {p >> 20 for p in known}:
-        pair = katz.np.array([history << 20 | w for w in range(len(unigrams.p))])
-        logs = katz.log_probabilities(unigrams, weights, pair, katz.np.array([known.get(int(p), 0) for p in pair]))
-        assert (10**logs).sum() == pytest.approx(1)
-
-
-def katz_scores(texts, held):
-    """log10 of each text by the model over all words, from plain counts."""
-    words = {i: [*t.split(), None] for i, t in texts}
-    ones, twos = collections.Counter(), collections.Counter()
-    for i, w in words.items():
-        if not held(i):
-            ones.update(w)
-            twos.update(zip([None, *w], w))
-    d1, d2 = (katz.discounts(collections.Counter(c.values())) for c in ({w: n for w, n in ones.items() if w}, twos))
-    cut = lambda d, n: n * (d[n] if n <= katz.DISCOUNTED else 1)
-    tokens, share = sum(ones.values()), {w: cut(d1, n) / sum(ones.values()) for w, n in ones.items()}
-    unseen = max(1 - sum(share.values()), 1 / (tokens + 1))
-    factor = (1 - unseen) / sum(share.values())
-    p = lambda w: share[w] * factor if w in share else unseen
-    after = collections.defaultdict(dict)
-    for (h, w), n in twos.items():
-        after[h][w] = n
-
-    def log(h, w):
-        if h not in after:
-            return math.log10(p(w))
-        n, kept = sum(after[h].values()), sum(cut(d2, c) for c in after[h].values()) / sum(after[h].values())
-        scale = (1 - 1 / (n + 1)) / kept if 1 - kept < 1 / (n + 1) else 1
-        if w in after[h]:
-            return math.log10(scale * cut(d2, after[h][w]) / n)
-        return math.log10((1 - scale * kept) / (1 - sum(map(p, after[h]))) * p(w))
-
-    return {i: sum(itertools.starmap(log, zip([None, *w], w))) for i, w in words.items()}
-
-
-@pytest.mark.parametrize("core", [3, 40, 100_000])
-def test_katz_words_keep_their_counts_beyond_the_core(spark, core):
-    texts = [(i, " ".join(f"w{int(random.Random(100 * i + k).paretovariate(0.6))}" for k in range(40))) for i in range(60)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    got = {r["doc_id"]: r["score"] for r in katz.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), core=core).collect()}
-    want = katz_scores(texts, held)
-    assert got == {i: pytest.approx(s) for i, s in want.items()} and any(map(held, got))
-
-
 def test_html_keeps_all_content_and_no_teasers():
     long = "A sentence, with marks and words enough to be text. Another one follows, as it does in articles. "
     sections = f"<body><div id=content><section><h2>One</h2><p>{long}</p></section><section class=b><h2>Two</h2><p>{long * 2}</p></section></div></body>"
