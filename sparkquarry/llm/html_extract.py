@@ -31,12 +31,17 @@ BLOCK = frozenset(
 )
 #: Tags that an opening tag of the same kind closes, and what a paragraph's end is implied by.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Parts of a page that are never its article, by tag, role or words of class and id.
-NEVER_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input label menu dialog svg canvas object head".split())
+#: Parts of a page that are never its article, by tag or role; a header is, if it stands in an article or main element.
+NEVER_TAGS = frozenset("nav footer aside form script style noscript template iframe button select option textarea input label menu dialog svg canvas object head".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
-NEVER_WORDS = frozenset(
-    "nav navbar navigation menu menubar header masthead footer foot sidebar aside widget ad ads advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies consent notice gdpr popup modal overlay comment comments reply replies respond disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter tags toolbar skip".split()
+#: First or last words of a class or id that hint at such parts; and of those that hold what readers wrote. A hint does not count
+#: for an element that holds a first-level heading, nor (but for readers' words) for an article or main element.
+HINTS = frozenset(
+    "nav navbar navigation menu menubar header masthead footer foot sidebar aside widget ad ads advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies consent notice gdpr popup modal overlay share sharing social related recommended breadcrumb breadcrumbs pagination pager search login signup subscribe newsletter tags toolbar skip".split()
 )
+READERS = frozenset("comment comments reply replies respond disqus".split())
+#: Words before a hint that turn it into a remark on the element's surroundings.
+REMARKS = frozenset("has with no without is not hide show".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Share of the mean fused score at which a path is content, and the weights of neighbours when smoothing.
 THRESHOLD, KERNEL = 0.5, (0.25, 0.5, 0.25)
@@ -48,40 +53,57 @@ PAGE = frozenset(("html", "body"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     label: str
     never: bool
+    hint: bool
     article: bool
     key: int = 0
+    heads: bool = False
 
 
 @dataclass
 class Block:
     path: tuple[str, ...]
     keys: tuple[int, ...]
-    never: bool
+    nodes: tuple[Node, ...]
     article: int | None
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    def out(self) -> bool:
+        """Whether the block stands in a part of the page that is not its article."""
+        return any(n.never or (n.hint and not n.heads) for n in self.nodes)
+
+
+def _hinted(names: str, hints: frozenset[str]) -> bool:
+    for name in names.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if parts and parts[0] not in REMARKS and (parts[0] in hints or parts[-1] in hints):
+            return True
+    return False
+
 
 @lru_cache(maxsize=20_000)
-def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(label in paths, whether it is never part of an article, whether it marks one)."""
+def describe(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(label in paths, whether it is never part of an article, whether its names hint at that, whether it marks an article)."""
     values = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower()))
+    names = f"{values.get('class', '')} {values.get('id', '')}"
+    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
     role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    marks = tag in ARTICLE_TAGS or role in ("main", "article") or values.get("itemprop") == "articleBody"
-    never = tag in NEVER_TAGS or role in NEVER_ROLES or hidden or (bool(words & NEVER_WORDS) and tag not in ("html", "body"))
-    return tag + "".join(f".{w}" for w in sorted(words)), never, marks and not never
+    readers = _hinted(names, READERS)
+    marks = (tag in ARTICLE_TAGS or role in ("main", "article") or values.get("itemprop") == "articleBody") and not readers
+    never = tag in NEVER_TAGS or role in NEVER_ROLES or hidden
+    hint = tag not in PAGE and (readers or (not marks and _hinted(names, HINTS)))
+    return tag + "".join(f".{w}" for w in sorted(words)), never, hint, marks and not never
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Inline tags don't end a block, ``br`` is white space in it; unclosed tags end with their parent."""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", False, False, False)]
     blocks: list[Block] = []
     current: Block | None = None
     at, opened, links, size = 0, 0, 0, len(page)
@@ -91,9 +113,8 @@ def blocks_of(page: str) -> list[Block]:
         if not text or (current is None and not text.strip()):
             return
         if current is None:
-            never = any(n.never for n in stack)
             article = next((n.key for n in stack if n.article), None)
-            current = Block(tuple(n.label for n in stack[1:]), tuple(n.key for n in stack[1:]), never, article)
+            current = Block(tuple(n.label for n in stack[1:]), tuple(n.key for n in stack[1:]), tuple(stack[1:]), article)
             blocks.append(current)
         current.parts.append(text)
         if links:
@@ -130,7 +151,12 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             add(" ") if current is not None else None
             continue
-        label, never, article = describe(name, m[3])
+        label, never, hint, article = describe(name, m[3])
+        if name == "header":
+            never = never or not any(n.article for n in stack)
+        elif name == "h1" or (article and name == "main"):
+            for n in stack:
+                n.heads = True
         if name in BLOCK:
             current = None
             for i in range(len(stack) - 1, 0, -1):
@@ -139,11 +165,11 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i].tag in BLOCK and stack[i].tag not in ("p",):
                     break
-        elif never:
+        elif never or hint:
             current = None
-        if name not in VOID and not m[0].endswith("/>") and (name in BLOCK or never):
+        if name not in VOID and not m[0].endswith("/>") and (name in BLOCK or never or hint):
             opened += 1
-            stack.append(Node(name, label, never, article, opened))
+            stack.append(Node(name, label, never, hint, article, opened))
     return blocks
 
 
@@ -171,10 +197,8 @@ def path_scores(blocks: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tup
 
 
 def main_text(page: str) -> str:
-    kept: list[tuple[Block, str]] = []
-    for block in blocks_of(page):
-        if not block.never and (text := " ".join(html.unescape("".join(block.parts)).split())):
-            kept.append((block, text))
+    blocks = [(block, text) for block in blocks_of(page) if (text := " ".join(html.unescape("".join(block.parts)).split()))]
+    kept = [(b, t) for b, t in blocks if not b.out()]
     if not kept:
         return ""
     scores = path_scores([(b.path, len(t), len(PUNCTUATION.findall(t)), b.linked) for b, t in kept])
