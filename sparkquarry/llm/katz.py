@@ -33,7 +33,9 @@ START, END = 1, 2
 DISCOUNTED = 5
 UNIT = 1 << 16
 #: Words whose keys a worker keeps; tokens of a block; bytes of a text that are taken at once; n-grams that a bucket should get.
-KEPT, BLOCK, SLICE, BUCKET = 300_000, 2_500_000, 4_000_000, 3_000_000
+KEPT, BLOCK, SLICE, BUCKET = 300_000, 1_800_000, 4_000_000, 2_000_000
+#: A key of two or three words has so many bits more than the number of tokens: another n-gram has the same with chance 2 ** -24.
+SPARE = 24
 #: Numbers that a bucket reports by order: types, tokens, and types of each count from one on.
 REPORTED = 2 + DISCOUNTED + 1
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -64,10 +66,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def longer(history: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
-    """Keys of the n-grams of an order from those of their histories and last words."""
+def longer(history: np.ndarray, word: np.ndarray, order: int, idle: int) -> np.ndarray:
+    """Keys of the n-grams of an order from those of their histories and last words, with ``idle`` low bits of zero."""
     with np.errstate(over="ignore"):
-        return mixed(mixed(history ^ np.uint64(0x9E3779B97F4A7C15 * order % (1 << 64))) + word)
+        return mixed(mixed(history ^ np.uint64(0x9E3779B97F4A7C15 * order % (1 << 64))) + word) >> np.uint64(idle) << np.uint64(idle)
+
+
+def idle_bits(tokens: int) -> int:
+    return max(0, 64 - SPARE - max(1, tokens).bit_length())
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +81,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys = keys[order]
     new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return keys[new], place, order[new]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], place, order[new].astype(np.int32)
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -123,7 +129,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def row():
             ids, rows, parts, contexts, learned = zip(*held)
             words, tokens, _ = distinct(np.concatenate(parts))
-            values = [number, rows, _packed(words), _packed(tokens.astype(np.uint32)), [*map(len, parts)], contexts, learned, ids]
+            values = [number, rows, _packed(words), _packed(tokens), [*map(len, parts)], contexts, learned, ids]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(kind)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*(c.split()[0] for c in BLOCKS.split(", ")), "ids"])
 
@@ -159,19 +165,19 @@ class Grams:
     ``of``: at each token, the n-gram of each order that ends there.
     """
 
-    def __init__(self, words: bytes, tokens: bytes, lengths: list[int], contexts: list[int], learned: list[bool]):
-        keys, token, size = _unpacked(words, np.uint64), _unpacked(tokens, np.uint32).astype(np.int64), np.array(lengths, np.int64)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        context, learns = np.repeat(contexts, size), np.repeat(learned, size)
-        self.segment = np.repeat(np.arange(len(size)), size)
-        self.predicted = place >= context
+    def __init__(self, words: bytes, tokens: bytes, lengths: list[int], contexts: list[int], learned: list[bool], idle: int):
+        keys, token, size = _unpacked(words, np.uint64), _unpacked(tokens, np.int32), np.array(lengths, np.int32)
+        self.segment = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = np.arange(len(token), dtype=np.int32) - (np.cumsum(size, dtype=np.int32) - size)[self.segment]
+        context, learns = np.array(contexts, np.int32)[self.segment], np.array(learned, bool)[self.segment]
+        self.idle, self.predicted = idle, place >= context
         counted = learns & self.predicted
-        at2, at3 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        at2, at3 = (np.flatnonzero(place >= n).astype(np.int32) for n in (1, 2))
         word, pair = keys[token], np.zeros(len(token), np.uint64)
-        pair[1:] = longer(word[:-1], word[1:], 2)
+        pair[1:] = longer(word[:-1], word[1:], 2, idle)
         keys2, place2, example2 = distinct(pair[at2])
-        keys3, place3, example3 = distinct(longer(pair[at3 - 1], word[at3], 3))
-        self.keys, self.of = [keys, keys2, keys3], [token, np.full(len(token), -1), np.full(len(token), -1)]
+        keys3, place3, example3 = distinct(longer(pair[at3 - 1], word[at3], 3, idle))
+        self.keys, self.of = [keys, keys2, keys3], [token, *(np.full(len(token), -1, np.int32) for _ in range(2))]
         self.of[1][at2], self.of[2][at3] = place2, place3
         example2, example3 = at2[example2], at3[example3]
         self.first, self.last = token[example2 - 1], token[example2]
@@ -185,12 +191,14 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
 
-def _dealt(keys: list[np.ndarray], columns: list[list[np.ndarray]], edges: np.ndarray) -> Iterator[tuple]:
-    """(bucket, sizes by order, packed keys, packed columns) of sorted keys by order, and of columns beside them."""
+def _dealt(keys: list[np.ndarray], columns: list[list[np.ndarray]], edges: np.ndarray, idle: int) -> Iterator[tuple]:
+    """(bucket, sizes by order, packed keys, packed columns) of sorted keys by order, and of columns beside them.
+
+    Keys are packed as differences, those of more than a word without their idle bits."""
     cuts = [np.r_[0, np.searchsorted(k, edges), len(k)] for k in keys]
     for bucket in np.flatnonzero(sum(np.diff(c) for c in cuts)):
         parts = [slice(c[bucket], c[bucket + 1]) for c in cuts]
-        steps = np.concatenate([np.diff(k[p], prepend=np.uint64(0)) for k, p in zip(keys, parts)])
+        steps = np.concatenate([np.diff(k[p], prepend=np.uint64(0)) >> np.uint64(idle if o else 0) for o, (k, p) in enumerate(zip(keys, parts))])
         yield int(bucket), [p.stop - p.start for p in parts], _packed(steps), *(_packed(np.concatenate([c[p] for c, p in zip(column, parts)])) for column in columns)
 
 
@@ -201,7 +209,7 @@ def _gathered(packets: list, sizes: int, column: int, keys: bool = False) -> tup
         values, at = _unpacked(packet[column], np.uint64), 0
         for o, n in enumerate(packet[sizes]):
             part = values[at : at + n]
-            out[o].append(np.cumsum(part, dtype=np.uint64) if keys else part)
+            out[o].append(np.cumsum(part, dtype=np.uint64) if keys else part)  # without idle bits; only their order counts
             at += n
     return [np.concatenate(x) for x in out], [list(x) for x in zip(*(p[sizes] for p in packets))]
 
@@ -242,14 +250,14 @@ ASKED = "bucket int, block long, sizes array<int>, keys binary, counts binary"
 COUNTED = "block long, bucket int, sizes array<int>, totals binary, report array<long>"
 
 
-def asked(packed: DataFrame, buckets: int) -> DataFrame:
+def asked(packed: DataFrame, buckets: int, idle: int) -> DataFrame:
     edges = _edges(buckets)
 
     def run(batches):
         for batch in batches:
             for block, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                grams = Grams(*row)
-                for bucket, sizes, keys, counts in _dealt(grams.keys, [grams.counts], edges):
+                grams = Grams(*row, idle)
+                for bucket, sizes, keys, counts in _dealt(grams.keys, [grams.counts], edges, idle):
                     yield _rows(ASKED, [[bucket, block, sizes, keys, counts]])
 
     return packed.select("block", "words", "tokens", "lengths", "contexts", "learned").mapInArrow(run, ASKED)
@@ -361,7 +369,7 @@ class Counts:
 
     def packets(self, edges: np.ndarray) -> Iterator[tuple]:
         keys = [self.grams.keys[o][at] for o, at in enumerate(self.shared)]
-        yield from _dealt(keys, [[self.sums[o][i][at].astype(np.uint64) for o, at in enumerate(self.shared)] for i in range(2)], edges)
+        yield from _dealt(keys, [[self.sums[o][i][at].astype(np.uint64) for o, at in enumerate(self.shared)] for i in range(2)], edges, self.grams.idle)
 
     def hear(self, told: list) -> None:
         """Put the sums over all blocks in place of this block's."""
@@ -418,12 +426,12 @@ def _with_answers(packed: DataFrame, answers: list[DataFrame], run, schema: str)
     return packed.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, schema)
 
 
-def summed(packed: DataFrame, counted: DataFrame, model: Model, buckets: int) -> DataFrame:
+def summed(packed: DataFrame, counted: DataFrame, model: Model, buckets: int, idle: int) -> DataFrame:
     edges = _edges(buckets)
 
     def run(row, answers):
         block, _, *parts, _ = row
-        rows = [[bucket, block, *packet] for bucket, *packet in Counts(Grams(*parts), answers[0], model).packets(edges)]
+        rows = [[bucket, block, *packet] for bucket, *packet in Counts(Grams(*parts, idle), answers[0], model).packets(edges)]
         yield _rows(SUMMED, rows) if rows else empty
 
     empty = pa.RecordBatch.from_pylist([], pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("sizes", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("keys", "kept", "covered"))]))
@@ -447,13 +455,13 @@ def _sum(packets: list) -> list[list]:
 # Scores
 
 
-def scored(packed: DataFrame, answers: list[DataFrame], model: Model) -> DataFrame:
+def scored(packed: DataFrame, answers: list[DataFrame], model: Model, idle: int) -> DataFrame:
     """(row, id, n_tokens, n_known, base, model) of each segment."""
     id_kind = packed.schema["ids"].dataType.elementType.simpleString()
 
     def run(row, answers):
         _, rows, *parts, ids = row
-        grams = Grams(*parts)
+        grams = Grams(*parts, idle)
         counts = Counts(grams, answers[0], model)
         counts.hear(answers[1])
         p2, p3 = np.log10(counts.probabilities(1)[0]), np.log10(counts.probabilities(2)[0])
@@ -507,12 +515,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         packed = checkpointed(source.repartition(parallel, "block"))
         asking = packed.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.lit(0)).alias("n")).first()["n"]
         buckets = max(parallel, math.ceil(1.7 * asking / BUCKET))  # at most three n-grams a token are asked for, some 1.7 distinct ones
-        _by_bucket(asked(packed, buckets), buckets, _count, COUNTED).write.parquet(folders[0])
+        idle = idle_bits(asking)
+        _by_bucket(asked(packed, buckets, idle), buckets, _count, COUNTED).write.parquet(folders[0])
         counted = spark.read.parquet(folders[0])
         report = dict(counted.where("block is null").select(F.posexplode("report").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect())
         model = fit([report.get(i, 0) for i in range(3 * REPORTED)])
-        _by_bucket(summed(packed, counted, model, buckets), buckets, _sum, TOLD).write.parquet(folders[1])
-        segments = scored(packed, [counted, spark.read.parquet(folders[1])], model)
+        _by_bucket(summed(packed, counted, model, buckets, idle), buckets, _sum, TOLD).write.parquet(folders[1])
+        segments = scored(packed, [counted, spark.read.parquet(folders[1])], model, idle)
         sums = segments.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")))
         scores = checkpointed(sums)
     forgotten(packed)
