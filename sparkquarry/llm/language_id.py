@@ -6,6 +6,7 @@ ways to cut it into pieces, of the product of their probabilities (forward algor
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import remainder, small_batches
 
 MARK = "▁"
-#: Longest piece, and longest stretch of a word that is scored as one: longer words are cut, so that no product underflows.
-MOST, STRETCH = 10, 24
-#: Added to every piece's count, and words whose scores or pieces one Python worker keeps.
-SMOOTHING, KEPT = 0.5, 500_000
+#: Added to every piece's count; words whose scores or pieces one Python worker keeps, and characters of one that is kept.
+SMOOTHING, KEPT, LONG = 0.5, 500_000, 100
+#: Characters that are scored at a time, and positions after which a forward pass is scaled anew, so that no product underflows.
+SPAN, SCALED = 400_000, 16
 UNDETERMINED = "und"
 
 
@@ -32,7 +33,7 @@ def vocabulary(model_file: str):
 
     processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = [i for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_byte(i) or processor.is_unknown(i))]
-    return processor, {processor.id_to_piece(i): row for row, i in enumerate(plain) if len(processor.id_to_piece(i)) <= MOST}
+    return processor, {processor.id_to_piece(i): row for row, i in enumerate(plain)}
 
 
 def words_of(text: str) -> list[str]:
@@ -43,22 +44,17 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
-def stretches(word: str) -> list[str]:
-    word = MARK + word
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 class PieceTable:
     """Rows of many pieces at once: polynomial hashes of code points, looked up in two open tables without collisions left."""
 
     BITS, BASE, SPREAD = 20, np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
     def __init__(self, pieces: dict[str, int]):
-        self.missing = len(pieces) + 1
+        self.missing, self.longest = len(pieces) + 1, max(map(len, pieces), default=1)
         self.keys = np.zeros((2, 1 << self.BITS), np.uint64)
         self.rows = np.full((2, 1 << self.BITS), self.missing, np.int32)
         for piece, row in pieces.items():
-            key = self.hashes(np.array([[*map(ord, piece)]], np.uint64), len(piece))[0, 0]
+            key = self.hashes(self.prefixes(np.array([[*map(ord, piece)]], np.uint64)), len(piece))[0, 0]
             for t in range(2):
                 at = self.slot(key, t)
                 if self.rows[t, at] == self.missing:
@@ -71,17 +67,22 @@ class PieceTable:
         with np.errstate(over="ignore"):
             return (keys * self.SPREAD[t]) >> np.uint64(64 - self.BITS)
 
-    def hashes(self, points: np.ndarray, size: int) -> np.ndarray:
-        """Hash of each run of ``size`` code points in each row."""
-        n = points.shape[1] - size + 1
-        out = np.full((points.shape[0], n), size, np.uint64)
+    def prefixes(self, points: np.ndarray) -> np.ndarray:
+        """Hash of each prefix of each row's code points."""
+        out = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
         with np.errstate(over="ignore"):
-            for i in range(size):
-                out = out * self.BASE + points[:, i : i + n]
+            for i in range(points.shape[1]):
+                out[:, i + 1] = out[:, i] * self.BASE + points[:, i]
         return out
 
-    def find(self, points: np.ndarray, size: int) -> np.ndarray:
-        keys = self.hashes(points, size)
+    def hashes(self, prefixes: np.ndarray, size: int) -> np.ndarray:
+        """Hash of each run of ``size`` code points in each row."""
+        shift = np.uint64(pow(int(self.BASE), size, 1 << 64))
+        with np.errstate(over="ignore"):
+            return prefixes[:, size:] - prefixes[:, :-size] * shift + np.uint64(size) * shift
+
+    def find(self, prefixes: np.ndarray, size: int) -> np.ndarray:
+        keys = self.hashes(prefixes, size)
         out = np.full(keys.shape, self.missing, np.int32)
         for t in range(2):
             at = self.slot(keys, t)
@@ -94,9 +95,13 @@ def piece_table(model_file: str) -> PieceTable:
     return PieceTable(vocabulary(model_file)[1])
 
 
+#: Pieces of a character that no piece has, after the first.
+CONTINUED = frozenset(f"<0x{b:02X}>" for b in range(0x80, 0xC0))
+
+
 def _cut(word: str, pieces: dict[str, int], processor) -> list[int]:
     unknown = len(pieces)
-    return [pieces.get(p, unknown) for p in processor.encode(word, out_type=str)]
+    return [pieces.get(p, unknown) for p in processor.encode(word, out_type=str) if p not in CONTINUED]
 
 
 def piece_counts(labelled: DataFrame, model_file: str, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -158,39 +163,65 @@ class Scorer:
     def __init__(self, model: LanguageModel, pieces: PieceTable):
         self.model, self.pieces = model, pieces
         self.at: dict[str, int] = {}
+        self.used = 0
         self.logs = np.zeros((KEPT, len(model.langs)))
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """log of the summed probability of all segmentations, of words of one length."""
-        n = len(words[0])
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        found = {size: self.pieces.find(points, size) for size in range(1, min(n, MOST) + 1)}
-        found[1][found[1] == self.pieces.missing] = self.pieces.missing - 1  # a character that no piece has
-        alpha = np.zeros((n + 1, len(words), len(self.model.langs)))
-        alpha[0] = 1
-        for i in range(1, n + 1):
-            for size in range(1, min(i, MOST) + 1):
-                rows = found[size][:, i - size]
-                there = np.flatnonzero(rows != self.pieces.missing)
-                if len(there):
-                    alpha[i, there] += alpha[i - size, there] * self.model.probabilities[rows[there]]
-        return np.log(alpha[n])
+        """log of the summed probability of all segmentations of words of about one length.
+
+        Positions are taken in blocks; what pieces can reach back to is carried over, and scaled from time to time.
+        """
+        sizes, table, reach = np.array([*map(len, words)]), self.pieces, self.pieces.longest
+        n = int(sizes.max())
+        text = "".join(words if sizes.min() == n else [w.ljust(n, "\0") for w in words])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        shape, span = (len(words), len(self.model.langs)), min(n, max(2 * reach, SPAN // len(words)))
+        out, scale, alpha = np.zeros(shape), np.zeros(shape), np.zeros((reach + span + 1, *shape))
+        alpha[reach] = 1
+        for start in range(0, n, span):
+            end, low = min(n, start + span), max(0, start - reach + 1)
+            at = reach - start  # where alpha of a position lies
+            prefixes = table.prefixes(points[:, low:end].astype(np.uint64))
+            found = {size: table.find(prefixes, size) for size in range(1, min(end - low, reach) + 1)}
+            found[1][found[1] == table.missing] = table.missing - 1  # a character that no piece has
+            met = {size: (rows != table.missing).any(0).tolist() for size, rows in found.items()}
+            for i in range(start + 1, end + 1):
+                here = alpha[at + i]
+                here[:] = 0
+                for size in range(1, min(i, reach) + 1):
+                    if not met[size][i - size - low]:
+                        continue
+                    rows = found[size][:, i - size - low]
+                    there = np.flatnonzero(rows != table.missing) if size > 1 else slice(None)
+                    if size == 1 or len(there):
+                        here[there] += alpha[at + i - size, there] * self.model.probabilities[rows[there]]
+                if i % SCALED == 0:
+                    by = here.copy()
+                    alpha[max(0, at + i - reach) : at + i + 1] /= by
+                    scale += np.log(by)
+                ended = sizes == i
+                if ended.any():
+                    out[ended] = np.log(here[ended]) + scale[ended]
+            alpha[: reach + 1] = alpha[at + end - reach : at + end + 1].copy()
+        return out
 
     def learn(self, words: set[str], block: list[str]) -> None:
-        if len(self.at) + len(words) > KEPT:
+        if self.used + len(words) > KEPT:
             self.at.clear()
-            words = set(block)
-        by_length: dict[int, list[tuple[str, str]]] = {}
+            self.used, words = 0, set(block)
+        by_length: dict[int, list[str]] = {}
         for word in words:
-            for part in stretches(word) if has_letter(word) else ():
-                by_length.setdefault(len(part), []).append((word, part))
-        start = len(self.at)
+            if has_letter(word):
+                n = len(word)
+                by_length.setdefault(n if n < 32 else 32 + int(8 * math.log2(n / 32)), []).append(word)
+        start = self.used
+        self.used += len(words)
         self.at.update((w, start + i) for i, w in enumerate(words))
         self.logs[start : start + len(words)] = 0
-        for pairs in by_length.values():
-            for i in range(0, len(pairs), 20_000):
-                block = pairs[i : i + 20_000]
-                np.add.at(self.logs, [self.at[w] for w, _ in block], self.forward([p for _, p in block]))
+        for alike in by_length.values():
+            many = max(1, SPAN // max(map(len, alike)))
+            for i in range(0, len(alike), many):
+                self.logs[[self.at[w] for w in alike[i : i + many]]] = self.forward([MARK + w for w in alike[i : i + many]])
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Rows of summed logs of texts, a block of words at a time."""
@@ -205,6 +236,8 @@ class Scorer:
             mine = owner[i : i + KEPT // 2]
             starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
             out[mine[starts]] += np.add.reduceat(logs, starts, axis=0)
+            for word in {w for w in part if len(w) > LONG}:
+                self.at.pop(word, None)
         return out
 
 
@@ -212,7 +245,8 @@ def predict(docs: DataFrame, model: LanguageModel, model_file: str, id_col: str
     """(id, lang_pred, score) of each row from its whole text alone; score is the posterior under equal priors.
 
     Null text, text without a letter, and a model without languages give ``und`` and score 0. Ties go to the first
-    language in order. Repeated rows and null ids give a row each, an empty table none; other columns are ignored.
+    language in order. Repeated rows and null ids give a row each, an empty table none; other columns are ignored, also
+    if they are named lang, text or like the columns of the result. A word of any length is summed over all segmentations.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary size x languages

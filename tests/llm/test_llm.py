@@ -90,20 +90,63 @@ def test_language_id(spark, empty):
     assert language_id.predict(empty, model, file).count() == 0
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     file = tokenizer_file("piece_bpe_32k.model")
     pieces = language_id.vocabulary(file)[1]
     rates = language_id.np.random.default_rng(0).random((len(pieces) + 1, 2)) / 100
     scorer = language_id.Scorer(language_id.LanguageModel(("a", "b"), rates), language_id.piece_table(file))
+    longest = max(map(len, pieces))
+    assert "▁information" in pieces and longest == 16
 
     def total(w):
-        if not w:
-            return 1
-        cuts = [(w[:n], pieces.get(w[:n], len(pieces) if n == 1 else None)) for n in range(1, min(len(w), language_id.MOST) + 1)]
-        return sum(rates[row] * total(w[len(p) :]) for p, row in cuts if row is not None)
+        sums = [language_id.np.ones(2)]
+        for i in range(1, len(w) + 1):
+            cuts = [(n, pieces.get(w[i - n : i], len(pieces) if n == 1 else None)) for n in range(1, min(i, longest) + 1)]
+            sums.append(sum(rates[row] * sums[i - n] for n, row in cuts if row is not None))
+        return language_id.np.log(sums[-1])
+
+    words = ["▁there", "▁êtreß", "▁中a", "▁information", "▁" + "internationalisation" * 3, "▁" + "ab中" * 24]
+    for span in (language_id.SPAN, 1):
+        monkeypatch.setattr(language_id, "SPAN", span)
+        for word in words:
+            assert language_id.np.allclose(scorer.forward([word])[0], total(word)), word
+        assert language_id.np.allclose(scorer.forward(words), [*map(total, words)])
+
+
+def test_language_id_rows(spark):
+    """Whole rows against the definition: pieces counted by the library, all segmentations of each word summed."""
+    file, np = tokenizer_file("piece_bpe_32k.model"), language_id.np
+    draw, stems = random.Random(5), {"en": ["the", "information", "x" * 60, "of"], "de": ["der", "nicht", "ung中", "of"]}
+    texts = [(i, " ".join(draw.choices(stems[k], k=20)), k) for i in range(40) for k in stems]
+    learn = spark.createDataFrame([(t, k, 1) for _, t, k in texts], "text string, lang string, doc_id int")
+    model = language_id.fit(learn, file)
+    processor, pieces = language_id.vocabulary(file)
+    n = np.full((len(pieces) + 1, 2), language_id.SMOOTHING)
+    for _, t, k in texts:
+        for w in t.split():
+            for p in processor.encode(w, out_type=str):
+                if not re.match("<0x[89AB]", p):
+                    n[pieces.get(p, len(pieces)), model.langs.index(k)] += 1
+    rates = n / n.sum(0)
+    assert np.allclose(rates, model.probabilities)
 
-    for word in ("▁there", "▁êtreß", "▁中a"):
-        assert language_id.np.allclose(scorer.forward([word])[0], language_id.np.log(total(word)))
+    def total(w):
+        sums = [np.ones(2)]
+        for i in range(1, len(w) + 1):
+            sums.append(sum(rates[pieces.get(w[i - m : i], len(pieces))] * sums[i - m] for m in range(1, min(i, 16) + 1) if m == 1 or w[i - m : i] in pieces))
+        return np.log(sums[-1])
+
+    ask = [(1, "the of ung"), (1, "the of ung"), (2, "INFORMATION " + "x" * 60), (3, "of"), (4, "12 der !"), (None, "nicht " * 500)]
+    got = language_id.predict(spark.createDataFrame([(*r, "de", 0.1, "y") for r in ask], "doc_id long, text string, lang string, score double, lang_pred string"), model, file)
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    rows = {(r[0], r[1], round(r[2], 9)) for r in got.collect()}
+    want = set()
+    for i, t in ask:
+        logs = sum((total("▁" + w) for w in t.lower().split() if any(map(str.isalpha, w))), np.zeros(2))
+        want.add((i, model.langs[int(logs.argmax())], round(float(1 / np.exp(logs - logs.max()).sum()), 9)))
+    assert rows == want and got.count() == len(ask)
+    tie = language_id.LanguageModel(("b", "a"), np.full((len(pieces) + 1, 2), 0.001))
+    assert language_id.predict(spark.createDataFrame([(1, "the")], "doc_id long, text string"), tie, file).first()[1:] == ("b", 0.5)
 
 
 def test_secrets(docs, rows, empty):
