@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ START, END = 1, 2
 DISCOUNTED = 5
 UNIT = 1 << 16
 #: Words whose keys a worker keeps; tokens of a block; bytes of a text that are taken at once; n-grams that a bucket should get.
-KEPT, BLOCK, SLICE, BUCKET = 300_000, 1_800_000, 4_000_000, 2_000_000
+KEPT, BLOCK, SLICE, BUCKET = 300_000, 1_400_000, 4_000_000, 2_000_000
 #: A key of two or three words has so many bits more than the number of tokens: another n-gram has the same with chance 2 ** -24.
 SPARE = 24
 #: Numbers that a bucket reports by order: types, tokens, and types of each count from one on.
@@ -100,6 +101,22 @@ def _unpacked(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+    import ctypes.util
+
+    return ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def _returned() -> None:
+    """Give the memory of arrays that are done with back to the system; without the GNU library this does nothing."""
+    try:
+        _libc().malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 # Blocks
 
 
@@ -150,6 +167,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         number += 1
                         held.clear()
                         size = 0
+                        _returned()
                     words = after
         if held:
             yield row()
@@ -237,9 +255,12 @@ def _by_bucket(packets: DataFrame, buckets: int, answer, schema: str) -> DataFra
                 if held and held[0][0] != packet[0]:
                     yield _rows(schema, answer(held))
                     held = []
+                    _returned()
                 held.append(packet)
         if held:
             yield _rows(schema, answer(held))
+            held.clear()
+            _returned()
 
     return packets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
@@ -259,6 +280,8 @@ def asked(packed: DataFrame, buckets: int, idle: int) -> DataFrame:
                 grams = Grams(*row, idle)
                 for bucket, sizes, keys, counts in _dealt(grams.keys, [grams.counts], edges, idle):
                     yield _rows(ASKED, [[bucket, block, sizes, keys, counts]])
+                del grams
+                _returned()
 
     return packed.select("block", "words", "tokens", "lengths", "contexts", "learned").mapInArrow(run, ASKED)
 
@@ -421,6 +444,7 @@ def _with_answers(packed: DataFrame, answers: list[DataFrame], run, schema: str)
         for _, bucket, sizes, kept, covered, kind in zip(*(c.to_pylist() for c in right.columns)):
             by_kind[kind].append((bucket, sizes, kept, covered))
         out = [b for row in zip(*(c.to_pylist() for c in left.columns)) for b in run(row, by_kind)]
+        _returned()
         return pa.Table.from_batches(out) if out else None
 
     return packed.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, schema)
@@ -513,6 +537,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folders = [shared_folder(spark, name) for name in ("counts", "sums")]
     with _shuffles_cleaned(spark):
         packed = checkpointed(source.repartition(parallel, "block"))
+        spark.sparkContext._jvm.System.gc()  # a checkpoint's shuffle goes with the driver's last reference to it
         asking = packed.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.lit(0)).alias("n")).first()["n"]
         buckets = max(parallel, math.ceil(1.7 * asking / BUCKET))  # at most three n-grams a token are asked for, some 1.7 distinct ones
         idle = idle_bits(asking)
