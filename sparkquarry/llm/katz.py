@@ -508,11 +508,9 @@ def scored(packed: DataFrame, answers: list[DataFrame], model: Model, idle: int)
 
 
 @contextmanager
-def _shuffles_cleaned(spark: SparkSession):
-    """Shuffle files go as soon as a table is written, not when the driver's memory is cleaned."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -535,8 +533,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = blocks(docs, id_col, text_col)
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     folders = [shared_folder(spark, name) for name in ("counts", "sums")]
-    with _shuffles_cleaned(spark):
-        packed = checkpointed(source.repartition(parallel, "block"))
+    # shuffle files go as soon as a table is written, not when the driver's memory is cleaned
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with _setting(spark, "spark.sql.adaptive.enabled", "false"):  # so that the checkpoint's partitioning stays known, and blocks stay where they are
+            packed = checkpointed(source.repartition(parallel, "block"))
         spark.sparkContext._jvm.System.gc()  # a checkpoint's shuffle goes with the driver's last reference to it
         asking = packed.select(F.coalesce(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")), F.lit(0)).alias("n")).first()["n"]
         buckets = max(parallel, math.ceil(1.7 * asking / BUCKET))  # at most three n-grams a token are asked for, some 1.7 distinct ones
