@@ -104,3 +104,14 @@ def fits(df: DataFrame, rows: int) -> bool:
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df only if a count shows that it has at most ``rows`` rows; else the planner shuffles it."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, rows: int = 500_000) -> DataFrame:
+    """The rows of docs whose id is none of ``gone``, a frame of one column, with all their columns, whatever their names.
+
+    The ids are worked out first. Up to ``rows`` of them, by count, are broadcast, so that texts stay where they are;
+    beyond, both sides are shuffled by id. A null id is equal to a null id alone.
+    """
+    key = unused(docs, "gone")
+    ids = checkpointed(gone.toDF(key).distinct())
+    return docs.join(broadcast_if(ids, rows), F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_anti")
