@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if, checkpointed, lower_ascii, text_or_empty
+from .common import SPACE, broadcast_if, checkpointed, lower_ascii, text_or_empty, without
 
 WORDS = 5
 #: A document holds an item if 100 * shared >= CONTAINED * (shingles of the item).
@@ -77,6 +77,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    held = contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("__held")).distinct()
-    return docs.join(held, F.col(id_col) == F.col("__held"), "left_anti")
+    """The rows of docs that hold no item, with all their columns, whatever their names. Null ids and texts hold nothing and stay;
+    repeats, ties, empty tables (documents or items) and long texts are as in contaminated()."""
+    return without(docs, contaminated(docs, items, id_col, text_col).select(id_col), id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches
+from .common import remainder, small_batches, without
 
 MARK = "▁"
 #: Added to every piece's count; words whose scores or pieces one Python worker keeps, and characters of one that is kept.
@@ -272,6 +272,17 @@ def predict(docs: DataFrame, model: LanguageModel, model_file: str, id_col: str
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def drop_rejected(docs: DataFrame, model: LanguageModel, model_file: str, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs in a learned language, with all their columns, whatever their names.
+
+    A document goes if its text, by itself, has no letter (null and empty texts too) or no language with a posterior of
+    ``least``. Rows of one id are one document: it goes if one of them does. Ties, repeats, empty tables and long texts are
+    as in predict().
+    """
+    found = predict(docs, model, model_file, id_col, text_col)
+    return without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(id_col), id_col)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that the language model never learns from."""
     return remainder(id_col, 4) == 2

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, text_or_empty, written
+from .common import checkpointed, small_batches, text_or_empty, without, written
 
 WORDS = 5
 #: Linked if 100 * intersection >= SIMILAR * union.
@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs that near_duplicates() keeps, one document of each component, with all their columns, whatever their
+    names. Nulls, repeats, ties, empty tables and long texts are as there."""
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col)
+    return without(docs, gone, id_col)

@@ -233,6 +233,39 @@ def test_chat_layouts_and_round_trip(spark):
         assert out[conv]["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for r, t in own)) and out[conv]["loss_sha256"] == sha(loss) and out[conv]["loss_chars"] == len(loss)
 
 
+def test_chat_layouts_with_other_fields(spark):
+    records = [
+        '{"id": 7, "messages": [{"role": "User", "content": "q", "name": "n", "tool": {"a": 1, "b": [{"c": 1}]}}, {"role": "assistant", "content": "a", "calls": [{"id": "x", "f": {"n": 1}}]}], "meta": {"d": [1, 2]}}',
+        '{"messages": []}', '{"messages": [], "id": 1}', '{"date": "x", "question": "q?", "answer": "a!"}', '{"messages": [{"content": "c"}]}', "3", "[]",
+    ]
+    df = spark.createDataFrame([(i, r, 1, 2) for i, r in enumerate([*records, None])], "i int, r string, turns int, layout int").selectExpr("i", "parse_json(r) as v", "turns", "layout")
+    got = {r["i"]: (r["layout"], r["turns"]) for r in chat_format.canonical_turns(df, "v").collect()}
+    assert [got[i][0] for i in range(8)] == ["messages", "no_messages", "no_messages", "question_answer", None, None, None, None]
+    assert [tuple(t) for t in got[0][1]] == [("User", "q"), ("assistant", "a")] and got[1][1] == [] and got[4][1] is None
+    assert chat_format.canonical_turns(df.limit(0), "v").count() == 0
+
+
+def test_chat_query(spark, tmp_path):
+    from sparkquarry.llm.queries import PLANTED, op7_chat_formatting
+
+    rows = [(1, 1, "Assistant", "not under the mask", "x"), (1, 0, "user", None, "y"), (2, 0, "assistant", "a <b> #c: \\", None), (2, 1, None, "no role", None), (2, 2, "assistant", "", None), (None, 0, "assistant", "no id", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, layout string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in op7_chat_formatting(spark, str(tmp_path)).collect()}
+    turns = collections.defaultdict(list)
+    for c, _, r, t, _ in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        turns[c].append((r or "", t or ""))
+    turns[-7] = [("user", PLANTED), ("assistant", PLANTED)]
+    assert got.keys() == turns.keys()
+    for c, own in turns.items():
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)))
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
+        escaped = lambda t: "".join("\\\\" if x == "\\" else chat_format.ESCAPES.get(x, x) for x in t)
+        assert got[c]["formatted_chars"] == sum(len(chat_format.OPEN + escaped(r) + ": " + escaped(t) + chat_format.CLOSE) for r, t in own)
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r["conv_id"] for r in op7_chat_formatting(spark, f"{tmp_path}/none").collect()] == [-7]
+
+
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
 

@@ -39,3 +39,19 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs2 = stage(spark, docs.limit(0), FOLDER)
         assert docs2.columns == docs.columns and docs2.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Columns named like the operators' own, null and repeated ids, empty and null texts."""
+    extra = ["rejected", "__kept_id", "__gone", "__held", "gone", "GONE_", "id", "kept", "keep", "n", "full", "row", "item", "lang_pred", "score"]
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, "same words here", "en"), (None, "same words here", "en"), (1, None, None), (1, "", None), (900, "same words here", "en"), (901, "zwei", "de"), (901, "zwei", "de")], "doc_id long, text string, lang string")
+    docs = plain.select("doc_id", "text", "lang").unionByName(odd).selectExpr("*", *(f"cast(doc_id as string) as `{c}`" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns, name
+        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+        assert ids.count(901) == 2 and 0 < len(ids) <= docs.count(), name
+        assert (ids.count(None), ids.count(900)) == {"language_id": (2, 1), "exact_dedup": (0, 1), "near_dedup": (2, 1), "decontamination": (2, 1)}[name]
+    name, encode = corpus_pipeline.STAGES[-1]
+    assert encode(spark, docs, FOLDER).count() == docs.count()
