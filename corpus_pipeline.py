@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkquarry.llm import bpe_trie, common, decontaminate, exact_dedup, language_id, near_dedup
 from sparkquarry.llm.queries import tokenizer_file
@@ -16,28 +15,43 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text, by itself, is in a learned language; without letters, or unsure, they go."""
+    """Keeps documents whose text, by itself, is in a learned language, with all their columns, whatever their names.
+
+    Documents without letters (null and empty texts too), or with no language of posterior SURE, go. Ties go to the first
+    language in order. Rows of one id go together; null ids count as one. Without labelled documents there is no language,
+    and all go; an empty table gives an empty one; texts may have any length.
+    """
     file = tokenizer_file("piece_bpe_32k.model")
     model = language_id.fit(docs.where(~language_id.held_out()), file)
-    rejected = language_id.predict(docs, model, file).where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < SURE))
-    rejected = rejected.select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti")
+    return language_id.drop_rejected(docs, model, file, SURE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of documents with equal texts but for white space, that of the smallest id, with all columns, whatever their names.
+
+    Null text counts as empty. A null id goes if a document with an id has its text. Rows of one id stay together.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, of the smallest id, of each component of near duplicates, with all columns, whatever their names.
+
+    Texts without words and null ids are linked with nothing and stay. Rows of one id are one document.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no item of the benchmark table, with all columns, whatever their names.
+
+    Null texts and null ids hold nothing and stay; rows of one id go together; with an empty benchmark all stay.
+    """
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a document: number of tokens, and digests of its ids and of what they decode to."""
+    """One row a row: number of tokens, and digests of its ids and of what they decode to. Null text counts as empty."""
     return bpe_trie.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -51,12 +65,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each result is written to the shared folder and read again by the next stage, after
+    which the one before is removed. The last such table is what the result reads and stays."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = common.shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            common.removed(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
