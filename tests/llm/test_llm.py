@@ -311,3 +311,58 @@ def test_random_values_of_names_and_parts_of_paths(spark):
         at = given[r["doc_id"]][1].index(key)
         assert any(s["start"] <= at and s["end"] >= at + len(key) for s in r["added"]), r
         assert all(x["end"] <= y["start"] for x, y in itertools.pairwise(sorted(r["added"], key=lambda s: s["start"])))
+
+
+def kinds_of(spans):
+    return [(s["start"], s["end"]) for s in spans]
+
+
+def test_random_runs_of_all_lengths_and_places(spark):
+    draw = random.Random(11)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(draw.choices(alnum, k=40)) for _ in range(6)]
+    long = ["".join(draw.choices(a, k=n)) for a in (alnum, alnum + "+/", alnum + "-_", "0123456789abcdef") for n in (4000, 9000)]
+    given = [(keys[0], keys[0]), (f"AWS_ACCESS={keys[1]}", keys[1]), (f"https://x.org/a?sig={keys[2]}", keys[2]), (f"/usr/local/share/app/{keys[3]}", keys[3]), (f"see {keys[4]}== now", keys[4] + "=="), (f"中é {keys[5]}.", keys[5])]
+    given += [(f"blob {x} end", x) for x in long[:6]]
+    prose = ["internationalisation/of/nations/and/relations/of/peoples", "a-very-long-name-of-a-thing-in-kebab-case-letters", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA", "01234567890123456789012345678901234567890123456789"]
+    texts = [t for t, _ in given] + prose
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, base string, runs string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    for i, (t, key) in enumerate(given):
+        at = t.index(key)
+        assert (at, at + len(key)) in kinds_of(got[i]["added"]), (i, t[:80], kinds_of(got[i]["added"]))
+    assert all(not got[i]["added"] for i in range(len(given), len(texts)))
+
+
+def test_spans_against_loops(spark):
+    """Overlaps and containment, and texts of thousands of matches, against plain loops."""
+    draw = random.Random(2)
+    key = lambda: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    keys = met = 0
+    texts = [" ".join(draw.choice(["word", "token=abcdefgh1", "AKIA" + "A1" * 8, "0a" * 20, key(), "x" * 30, "password: " + key(), key() + "=" + key()]) for _ in range(n)) for n in (0, 1, 5, 50, 700, 6000)]
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    digests = {r["doc_id"]: r for r in secrets.secret_digests(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert [(s["start"], s["kind"], s["end"]) for s in got[i]["base"]] == sorted(base)
+        added = kinds_of(got[i]["added"])
+        assert len(set(added)) == len(added) and all(x[1] <= y[0] for x, y in itertools.pairwise(added))
+        covered = set(itertools.chain.from_iterable(range(s, e) for s, _, e in base))
+        assert not any(covered.intersection(range(s, e)) for s, e in added)
+        for m in re.finditer("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{40}(?![A-Za-z0-9+/_=-])", t):
+            if not covered.intersection(range(*m.span())) and len(set(m[0])) > 20:
+                keys += 1
+                met += m.span() in added
+        d = digests[i]
+        assert (d["n_assign"], d["n_access"], d["n_hex"], d["n_random"]) == (*(sum(k == x for _, k, _ in base) for x in range(3)), len(added))
+        assert d["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted([*base, *((s, 3, e) for s, e in added)]))
+    assert met > 0.97 * keys > 800, (met, keys)  # each test rejects a few keys by chance
+
+
+def test_false_discoveries_are_controlled_over_all_documents():
+    assert secrets._cut({}) == -1
+    assert secrets._cut({0: 10_000}) == -1
+    assert secrets._cut({0: 9_000, 400: 1_000}) == 10 ** (-400 / secrets.STEPS)
+    assert secrets._cut({0: 10_000, 150: 1}) == -1 and secrets._cut({150: 1}) == 10 ** (-150 / secrets.STEPS)  # alone a run passes that among many does not
