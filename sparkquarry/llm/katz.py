@@ -35,6 +35,8 @@ DISCOUNTED = 5
 UNIT = 1 << 16
 #: Words whose keys a worker keeps; tokens of a block; bytes of a text that are taken at once; n-grams that a bucket should get.
 KEPT, BLOCK, SLICE, BUCKET = 300_000, 1_400_000, 4_000_000, 2_000_000
+#: Bytes of input for a partition of blocks.
+PARTITION = 16_000_000
 #: A key of two or three words has so many bits more than the number of tokens: another n-gram has the same with chance 2 ** -24.
 SPARE = 24
 #: Numbers that a bucket reports by order: types, tokens, and types of each count from one on.
@@ -531,7 +533,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark, 32)
     source = blocks(docs, id_col, text_col)
-    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # partitions of blocks grow with the input, whose size only has to be about right here
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION, 100_000), 1)
     folders = [shared_folder(spark, name) for name in ("counts", "sums")]
     # shuffle files go as soon as a table is written, not when the driver's memory is cleaned
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
