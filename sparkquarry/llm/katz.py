@@ -533,9 +533,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark, 32)
     source = blocks(docs, id_col, text_col)
-    # partitions of blocks grow with the input, whose size only has to be about right here
+    # partitions of blocks grow with the input, by its estimated size, or where none is known by its own partitions
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION, 100_000), 1)
+    parts = size // PARTITION if size < 1 << 60 else docs.rdd.getNumPartitions()
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts, 1)
     folders = [shared_folder(spark, name) for name in ("counts", "sums")]
     # shuffle files go as soon as a table is written, not when the driver's memory is cleaned
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
