@@ -534,7 +534,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark, 32)
     source = blocks(docs, id_col, text_col)
     # partitions of blocks grow with the input, by its estimated size, or where none is known by its own partitions
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = size // PARTITION if size < 1 << 60 else docs.rdd.getNumPartitions()
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts, 1)
     folders = [shared_folder(spark, name) for name in ("counts", "sums")]
