@@ -45,4 +45,4 @@ def shared(name: str, sql: str, spark_sql: str | None = None, oracle: str | None
     query(plain)(run)
 
 
-from . import corpus, findings, graphs, relational, retrieval  # noqa: E402,F401  they register themselves
+from . import code, corpus, findings, graphs, relational, retrieval  # noqa: E402,F401  they register themselves

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import code as C
 from sparkquarry.functions import text as T
 from sparkquarry.operators import chunking, graph, intervals
 from sparkquarry.plans import pipeline
@@ -88,5 +89,5 @@ def test_text_functions(spark):
     start, end = T.location(F.col("loc"))
     assert [tuple(r) for r in df.select(start, end, T.severity_rank(F.col("severity"))).collect()] == [(3, 9, 3), (7, 7, 99), (None, None, 1)]
     code = spark.createDataFrame([("function f(uint a) external view returns (uint) { return g(a); }",)], "content string")
-    (row,) = T.functions_of(code).collect()
+    (row,) = C.functions(code).collect()
     assert (row["name"], row["visibility"], row["is_view"], row["is_payable"]) == ("f", "external", True, False)
