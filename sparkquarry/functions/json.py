@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .code import braces
+
+
+#: Ordered repairs of what isn't quite JSON.
+REPAIRS = (
+    (r"'", '"'), (r",\s*\]", "]"), (r",\s*\}", "}"), (r"([a-zA-Z_][a-zA-Z0-9_]*)(\s*:)", '"$1":'),
+    (r'(["}\]])(\s*)(["{\[]|\w+\s*:)', "$1,$2$3"), (r'"\s*\n\s*"', ""),
+)
+
 
 def repaired(text: Column) -> Column:
-    """Trailing commas go; bare keys and single-quoted strings get double quotes."""
-    text = F.regexp_replace(text, r",\s*([}\]])", "$1")
-    text = F.regexp_replace(text, r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
-    return F.regexp_replace(text, r"'([^'\"]*)'", '"$1"')
+    """Double quotes for single ones, no trailing commas, quoted names, commas between members, one line for texts over several.
+
+    An odd quotation mark is closed at the end.
+    """
+    for pattern, into in REPAIRS:
+        text = F.regexp_replace(text, pattern, into)
+    return F.when(F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 1, F.concat(text, F.lit('"'))).otherwise(text)
 
 
 def extracted(text: Column) -> Column:
-    """The text itself if it is JSON, else the fenced block, else from the first to the last brace or bracket, repaired if need be."""
+    """The text itself if it is JSON, else the fenced block, else from the first to the last brace or bracket, else the first
+    balanced object, else the text without the escapes of a text in a text; each repaired if need be."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare, listed = F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+    balanced = F.regexp_extract(text, f"({braces()})", 1)
     unescaped = F.replace(F.regexp_replace(text, r'^"|"$', ""), F.lit('\\"'), F.lit('"'))
-    candidates = [c for raw in (text, fenced, bare, listed, unescaped) for c in (raw, repaired(raw))]
+    candidates = [c for raw in (text, fenced, bare, listed, balanced, unescaped) for c in (raw, repaired(raw))]
     good = [F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]"), c) for c in candidates]
     return F.coalesce(*good)
 

@@ -31,6 +31,20 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
+def literal(value) -> str:
+    """A Python value in SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(literal, value)) + "]"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def relation(rows, columns: str) -> str:
+    """Inline rows as a relation of the oracle, for which a query gives createDataFrame() the same rows."""
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") v({columns}))"
+
+
 def shared(name: str, sql: str, spark_sql: str | None = None, oracle: str | None = None) -> None:
     """Register SQL over driver tables named in braces; both engines run the same text unless the dialects differ."""
     tables = {t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations") if f"{{{t}}}" in (spark_sql or sql)}
@@ -45,4 +59,4 @@ def shared(name: str, sql: str, spark_sql: str | None = None, oracle: str | None
     query(plain)(run)
 
 
-from . import code, corpus, findings, graphs, relational, retrieval  # noqa: E402,F401  they register themselves
+from . import code, corpus, facts, findings, graphs, relational, reports, retrieval  # noqa: E402,F401  they register themselves
