@@ -109,9 +109,6 @@ SELECT l_orderkey, l_linenumber, CAST(least(10.0, 5.0 + CASE WHEN l_returnflag =
 shared("union_findings", """
 SELECT type, severity, count(*) AS n FROM (SELECT event_type AS type, CAST(NULL AS STRING) AS severity FROM {events} UNION ALL SELECT 'order', o_orderpriority FROM {orders}) GROUP BY type, severity""")
 
-shared("set_difference", """
-SELECT p_partkey AS part FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_discount > 0.05""")
-
 shared("report_search_page", """
 SELECT o_orderkey, o_orderpriority FROM {orders} WHERE (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'f')) ORDER BY o_orderkey DESC LIMIT 12 OFFSET 12""")
 
