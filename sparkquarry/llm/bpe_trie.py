@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import memory_returned, small_batches, text_or_empty
 
 #: Entries that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
 CHUNKS, WORDS, PAIRS = 400_000, 300_000, 400_000
@@ -292,6 +292,12 @@ class TextEncoder:
         for word in [w for w in fresh if len(w) > LONG]:
             words.pop(word, None)
 
+    def forget(self) -> None:
+        """Empty the tables; what comes from the vocabulary stays."""
+        self.chunks.clear()
+        self.words.clear()
+        self.trie.apart.clear()
+
     def know(self, chunks: set[bytes]) -> None:
         """Put the chunks into the table; when it is full, only those of them that it has stay."""
         new = chunks.difference(self.chunks)
@@ -353,6 +359,8 @@ def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str
                     part.append(text.split())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns(encoder.encode_split(part))], names=names)
                 at += len(part)
+        encoder.forget()
+        memory_returned()
 
     names = ["id", *(c.split()[0] for c in schema.split(", "))]
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

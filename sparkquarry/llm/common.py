@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+    import ctypes.util
+
+    return ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def memory_returned() -> None:
+    """Give what a worker's arrays and tables held back to the system, as the worker lives on; nothing without the GNU library."""
+    try:
+        _libc().malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, with Spark's own subfolder.
 

@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forgotten, remainder, removed, shared_folder, small_batches, text_or_empty
+from .common import checkpointed, forgotten, memory_returned, remainder, removed, shared_folder, small_batches, text_or_empty
 
 #: Keys of the start, which is only ever a history, and of the end of a text.
 START, END = 1, 2
@@ -103,22 +102,6 @@ def _unpacked(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-@lru_cache(maxsize=1)
-def _libc():
-    import ctypes
-    import ctypes.util
-
-    return ctypes.CDLL(ctypes.util.find_library("c"))
-
-
-def _returned() -> None:
-    """Give the memory of arrays that are done with back to the system; without the GNU library this does nothing."""
-    try:
-        _libc().malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
 # Blocks
 
 
@@ -169,7 +152,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         number += 1
                         held.clear()
                         size = 0
-                        _returned()
+                        memory_returned()
                     words = after
         if held:
             yield row()
@@ -257,12 +240,12 @@ def _by_bucket(packets: DataFrame, buckets: int, answer, schema: str) -> DataFra
                 if held and held[0][0] != packet[0]:
                     yield _rows(schema, answer(held))
                     held = []
-                    _returned()
+                    memory_returned()
                 held.append(packet)
         if held:
             yield _rows(schema, answer(held))
             held.clear()
-            _returned()
+            memory_returned()
 
     return packets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
@@ -283,7 +266,7 @@ def asked(packed: DataFrame, buckets: int, idle: int) -> DataFrame:
                 for bucket, sizes, keys, counts in _dealt(grams.keys, [grams.counts], edges, idle):
                     yield _rows(ASKED, [[bucket, block, sizes, keys, counts]])
                 del grams
-                _returned()
+                memory_returned()
 
     return packed.select("block", "words", "tokens", "lengths", "contexts", "learned").mapInArrow(run, ASKED)
 
@@ -446,7 +429,7 @@ def _with_answers(packed: DataFrame, answers: list[DataFrame], run, schema: str)
         for _, bucket, sizes, kept, covered, kind in zip(*(c.to_pylist() for c in right.columns)):
             by_kind[kind].append((bucket, sizes, kept, covered))
         out = [b for row in zip(*(c.to_pylist() for c in left.columns)) for b in run(row, by_kind)]
-        _returned()
+        memory_returned()
         return pa.Table.from_batches(out) if out else None
 
     return packed.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, schema)

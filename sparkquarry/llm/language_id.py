@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, without
+from .common import memory_returned, remainder, small_batches, without
 
 MARK = "▁"
 #: Added to every piece's count; words whose scores or pieces one Python worker keeps, and characters of one that is kept.
@@ -130,6 +130,7 @@ def piece_counts(labelled: DataFrame, model_file: str, lang_col: str = "lang", t
             if sum(map(len, words.values())) > KEPT:
                 yield from flush()
         yield from flush()
+        memory_returned()
 
     source = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), text_col)
     return source.mapInArrow(run, "lang string, piece long, n long")
@@ -267,6 +268,8 @@ def predict(docs: DataFrame, model: LanguageModel, model_file: str, id_col: str
                 found.append(langs[best])
                 sure.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=["id", "lang_pred", "score"])
+        del scorer
+        memory_returned()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, text_or_empty, without, written
+from .common import checkpointed, memory_returned, small_batches, text_or_empty, without, written
 
 WORDS = 5
 #: Linked if 100 * intersection >= SIMILAR * union.
@@ -49,6 +49,11 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+def _done() -> None:
+    word_hashes().clear()
+    memory_returned()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -105,6 +110,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ],
                 names=["id", "n", "shape", "signatures"],
             )
+        _done()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n long, shape binary, signatures array<long>")
 
@@ -123,6 +129,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             columns = [[x.view(np.int64) for x in sets], [bitmap(x) for x in sets]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=["id", "shingles", "bits"])
+        _done()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
     return source.mapInArrow(run, "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"])

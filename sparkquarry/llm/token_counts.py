@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import memory_returned, small_batches, text_or_empty
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Merged segments that one Python worker keeps.
+#: Merged segments that one Python worker keeps during a task.
 KEPT = 400_000
+#: Characters of a segment that is kept.
+LONG = 100
 
 
 def independent(pieces: list[str]) -> bool:
@@ -48,11 +50,15 @@ class SegmentCounts(dict):
     def __missing__(self, segment: str) -> int:
         n = len(self.processor.encode(segment))
         if len(self) > KEPT:
-            self.clear()
-            self.update(self.whole)
-        self[segment] = n
+            self.forget()
+        if len(segment) <= LONG:
+            self[segment] = n
         return n
 
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.whole)
+
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -86,6 +92,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
         for batch in batches:
             n = [table.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        table.forget()
+        memory_returned()
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"))
