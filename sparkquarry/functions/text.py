@@ -96,11 +96,14 @@ def arrow_paths(text: Column) -> Column:
     return F.transform(lines, lambda x: F.transform(F.split(x, "->|→"), lambda y: F.trim(y)))
 
 
-def pattern_lines(texts: DataFrame, patterns: DataFrame, text_col: str, pattern_col: str = "pattern") -> DataFrame:
-    """One row for each line and pattern that matches it, whatever the case: line_no (from 1) and line."""
+def pattern_lines(texts: DataFrame, patterns: list[tuple[str, str]], text_col: str, name: str = "name") -> DataFrame:
+    """One row for each line and (name, pattern) that matches it, whatever the case: name, line_no (from 1) and line.
+
+    Patterns are literals of the plan, each compiled once a task.
+    """
     lines = texts.select(*[c for c in texts.columns if c != text_col], F.posexplode(F.split(text_col, "\n")).alias("at", "line")).withColumn("line_no", F.col("at") + 1).drop("at")
-    # a dimension of patterns against all lines; its size is that of the rule set
-    return lines.join(F.broadcast(patterns), F.expr(f"line rlike concat('(?i)', `{pattern_col}`)"))
+    met = F.array_compact(F.array(*(F.when(F.col("line").rlike(f"(?i){p}"), F.lit(n)) for n, p in patterns)))
+    return lines.withColumn(name, F.explode(met))
 
 
 def fenced_blocks(text: Column) -> Column:

@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the cluster names; a temporary one only where that setting is missing."""
+    """checkpoint() in the folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
-def reachable(edges: DataFrame, max_depth: int = 10, src: str = "src", dst: str = "dst") -> DataFrame:
+def reachable(edges: DataFrame, max_depth: int = 10, src: str = "src", dst: str = "dst", starts: DataFrame | None = None) -> DataFrame:
     """(src, dst, depth): nodes reachable in at most ``max_depth`` hops with their least depth, by a frontier that shrinks.
 
-    A node on a cycle reaches itself. Each hop joins only the pairs found last with the edges.
+    ``starts``, a frame of one column, are the nodes to start from; without it all are, and the result has a row for each
+    pair that is connected. A node on a cycle reaches itself. Each hop joins only the pairs found last with the edges.
     """
     edges = cut_lineage(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
     step = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
-    found = frontier = edges.withColumn("depth", F.lit(1))
+    first = edges if starts is None else edges.join(starts.toDF("src").distinct(), "src", "left_semi")
+    found = frontier = first.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
         fresh = frontier.select("src", F.col("dst").alias("via")).join(step, "via").select("src", F.col("next").alias("dst")).distinct()
         frontier = cut_lineage(fresh.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -34,15 +39,25 @@ def reachable(edges: DataFrame, max_depth: int = 10, src: str = "src", dst: str
 
 
 def simple_paths(edges: DataFrame, root: Column | str, max_depth: int = 6) -> DataFrame:
-    """(path): all simple paths from a root, as arrays of nodes; a node occurs once on a path."""
+    """(path): all simple paths from a root, as arrays of nodes; a node occurs once on a path. A level is worked out once."""
     here = edges.select(F.col("src"), F.col("dst")).distinct()
     level = edges.sparkSession.range(1).select(F.array(F.lit(root) if isinstance(root, str) else root).alias("path"))
     found = level
     for _ in range(max_depth):
-        level = level.join(here, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        level = cut_lineage(level.join(here, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+        if level.isEmpty():
+            break
         found = found.unionByName(level)
     return found
 
 
+def descendants(rows: DataFrame, id_col: str, parent_col: str, max_depth: int = 10) -> DataFrame:
+    """(root, id, depth) of a hierarchy given by a parent's id: everything under each row that has no parent, itincluded at 0."""
+    roots = rows.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("root"))
+    edges = rows.where(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("src"), F.col(id_col).alias("dst"))
+    below = reachable(edges, max_depth, starts=roots).select(F.col("src").alias("root"), F.col("dst").alias("id"), "depth")
+    return roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).unionByName(below)
+
+
 def exploitability(sink_score: Column, source_bonus: Column, variables: Column) -> Column:
     return F.least(F.lit(10.0), F.lit(5.0) + sink_score + source_bonus + F.least(variables * 0.5, F.lit(2.0)))

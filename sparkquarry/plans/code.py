@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C
-from ..operators import taint
+from ..operators import chunking, taint
 from .registry import query, table
 
 #: (file_id, content); negative ids, as those of parts are positive.
@@ -235,3 +235,28 @@ SELECT a.name, array_to_string(coalesce(list_sort(list(DISTINCT b.name) FILTER (
 def function_relationships(spark, sf_dir):
     own = C.functions(files(spark, sf_dir).where("file_id < 0")).select("name", F.col("whole").alias("content"))
     return taint.relationships(own).select("name", F.array_join("upstream", ",").alias("upstream"), F.array_join("downstream", ",").alias("downstream"))
+
+
+@query(f"""WITH {FUNCTIONS} SELECT file_id, (i - 1)::INT AS chunk_index, name, start_line, end_line::INT AS end_line, md5(whole) AS digest FROM functions""")
+def code_function_chunks(spark, sf_dir):
+    return chunking.function_chunks(files(spark, sf_dir)).select("file_id", "chunk_index", "name", "start_line", "end_line", F.md5("code").alias("digest"))
+
+
+@query(rf"""WITH {CONTRACTS}, {found('functions', FUNCTION, 'fname', 'parameters', 'attributes', 'fbody', source='(SELECT file_id, name, whole AS body FROM contracts WHERE len(whole) > 400)', columns='file_id, name, body', text='body')}
+SELECT file_id, 'full_contract' AS kind, md5(content) AS digest FROM files WHERE len(content) BETWEEN 1 AND 400
+UNION ALL SELECT c.file_id, 'contract', md5(whole) FROM contracts c JOIN files f USING (file_id) WHERE len(f.content) > 400 AND len(whole) <= 400
+UNION ALL SELECT file_id, 'contract_declaration', md5(substr(body, 1, strpos(body, whole) - 1)) FROM functions WHERE i = 1
+UNION ALL SELECT file_id, 'function', md5(whole) FROM functions WHERE len(whole) <= 400""")
+def code_hierarchical_chunks(spark, sf_dir):
+    """Whole files, contracts, declarations and functions within 400 characters; parts of longer functions are held against
+    loops in the tests."""
+    return chunking.hierarchical_chunks(files(spark, sf_dir), 400).where("kind <> 'function_part'").select("file_id", "kind", F.md5("code").alias("digest"))
+
+
+@query(f"""WITH {FUNCTIONS}, c AS (SELECT * FROM files WHERE file_id > 0) SELECT c.file_id, CASE WHEN len(c.content) <= 480 THEN 'contract' ELSE 'function' END AS kind, CASE WHEN len(c.content) > 480 THEN f.name END AS name, md5(CASE WHEN len(c.content) <= 480 THEN c.content ELSE f.whole END) AS digest
+FROM c JOIN functions f USING (file_id) WHERE len(c.content) > 480 OR f.i = 1""")
+def code_cascade_chunks(spark, sf_dir):
+    """Of the files made from parts, each a contract: whole within 480 characters, else its functions. Packed lines and what is
+    over the limit are held against loops in the tests."""
+    made = files(spark, sf_dir).where("file_id > 0")
+    return chunking.cascade_chunks(made, 480).select("file_id", "kind", "name", F.md5("code").alias("digest"))

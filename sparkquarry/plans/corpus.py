@@ -56,29 +56,29 @@ def complexity(spark, sf_dir):
 @query("""SELECT bias, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
   JOIN (VALUES ('anchoring', 'the '), ('anchoring', 'of '), ('authority', 'die '), ('framing', 'les? ')) p(bias, pattern) ON regexp_matches(line, '(?i)' || pattern) GROUP BY bias""".replace("\\\\", "\\"))
 def bias_patterns(spark, sf_dir):
-    patterns = spark.createDataFrame([("anchoring", r"the "), ("anchoring", r"of "), ("authority", r"die "), ("framing", r"les? ")], "bias string, pattern string")
-    hits = T.pattern_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text")
+    patterns = [("anchoring", r"the "), ("anchoring", r"of "), ("authority", r"die "), ("framing", r"les? ")]
+    hits = T.pattern_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text", "bias")
     return hits.groupBy("bias").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
-def _tfidf(docs, min_df: int = 2, max_df: float = 0.8):
-    """(doc_id, word, tf, idf): smoothed idf ln((1 + n) / (1 + df)) + 1 of words within the document frequency limits."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).where((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_df))  # one row
-    return words.join(df.select("word", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "word")
-
-
 @query("""WITH w AS (SELECT doc_id, w AS word, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2),
   n AS (SELECT count(*) AS n FROM documents), d AS (SELECT word, count(*) AS df FROM w GROUP BY word)
   SELECT word, round(sum(tf * (ln((1.0 + n) / (1.0 + df)) + 1.0)), 4) AS weight FROM w JOIN d USING (word) CROSS JOIN n WHERE df >= 2 AND df <= n * 0.8 GROUP BY word""".replace("\\\\", "\\"))
 def tfidf_terms(spark, sf_dir):
-    return _tfidf(table(spark, sf_dir, "documents")).groupBy("word").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("weight"))
+    """Weight of each word: smoothed idf, ln((1 + n) / (1 + df)) + 1, times its occurrences, within the document frequency limits.
+
+    As idf is the same in all documents, one aggregate by word is enough."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    by_word = words.groupBy("word").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).where("df >= 2 and df <= n * 0.8")  # one row
+    return by_word.select("word", F.round(F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0), 4).alias("weight"))
 
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    """Clusters of documents by TF-IDF: label and size, with their five top terms."""
+    """Clusters of documents by TF-IDF: label and size, with their five top terms. The 20000 terms of most documents are features,
+    a parameter of the feature and not a limit of the data."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover

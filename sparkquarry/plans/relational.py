@@ -11,9 +11,13 @@ shared("severity_counts_dense", """
 SELECT s.severity, coalesce(c.n, 0) AS n FROM (SELECT * FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NONE')) AS t(severity)) s
 LEFT JOIN (SELECT o_orderpriority AS p, count(*) AS n FROM {orders} GROUP BY o_orderpriority) c ON c.p = s.severity""")
 
-shared("severity_order", """
-SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 99 END, o_totalprice DESC, o_orderkey) AS place
-FROM {orders} ORDER BY place LIMIT 50""")
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 99 END, o_totalprice DESC, o_orderkey) AS place FROM orders""")
+def severity_order(spark, sf_dir):
+    """The place of every finding by severity, then weight."""
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).when(F.col("o_orderpriority") == "3-MEDIUM", 2).otherwise(99)
+    ordered = windows.global_rank(table(spark, sf_dir, "orders").withColumn("rank", rank), ["rank", F.desc("o_totalprice"), "o_orderkey"])
+    return ordered.select("o_orderkey", "place")
+
 
 shared("domain_rollup", """
 SELECT n.n_name AS domain, o.o_orderpriority AS severity, count(*) AS findings, count(DISTINCT o.o_custkey) AS files, count(DISTINCT o.o_orderstatus) AS states
@@ -112,13 +116,21 @@ SELECT type, severity, count(*) AS n FROM (SELECT event_type AS type, CAST(NULL
 shared("report_search_page", """
 SELECT o_orderkey, o_orderpriority FROM {orders} WHERE (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'f')) ORDER BY o_orderkey DESC LIMIT 12 OFFSET 12""")
 
-shared("severity_top_with_more", """
-SELECT o_orderpriority, o_orderkey, r AS place, n - 3 AS more FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r,
-  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM {orders}) WHERE r <= 3""")
+@query("""SELECT o_orderpriority, o_orderkey, r AS place, n - 3 AS more FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r,
+  count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE r <= 3""")
+def severity_top_with_more(spark, sf_dir):
+    found = windows.top_with_more(table(spark, sf_dir, "orders"), ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], 3)
+    return found.select("o_orderpriority", "o_orderkey", F.col("place").cast("long").alias("place"), "more")
+
+
+@query("""SELECT doc_id, tier FROM (SELECT doc_id, tier, min(tier) OVER () AS best FROM (
+  SELECT doc_id, CASE WHEN CAST(doc_id AS STRING) = 'token' THEN 1 WHEN contains(lower(text), 'token') THEN 2 WHEN contains(source, 'token') THEN 3 END AS tier FROM documents) WHERE tier IS NOT NULL) WHERE tier = best""")
+def tiered_search(spark, sf_dir):
+    """The rows of the best tier that any row is in; the best tier is one row."""
+    tier = F.when(F.col("doc_id").cast("string") == "token", 1).when(F.lower("text").contains("token"), 2).when(F.col("source").contains("token"), 3)
+    found = table(spark, sf_dir, "documents").select("doc_id", tier.alias("tier")).where("tier is not null")
+    return found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier", "left_semi")
 
-shared("tiered_search", """
-SELECT doc_id, tier FROM (SELECT doc_id, tier, min(tier) OVER () AS best FROM (
-  SELECT doc_id, CASE WHEN CAST(doc_id AS STRING) = 'token' THEN 1 WHEN contains(lower(text), 'token') THEN 2 WHEN contains(source, 'token') THEN 3 END AS tier FROM {documents}) WHERE tier IS NOT NULL) WHERE tier = best""")
 
 shared("quality_filter", """
 SELECT d.doc_id, d.lang FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE coalesce(l.quality, 0) > 0 AND l.toxic = 0""")

@@ -39,10 +39,35 @@ def gated_matches(spark, sf_dir):
     return _top(spark, sf_dir, 5).where("score >= 0.5").select("query_id", "vec_id", "score")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS s, list_sort(list_distinct(list(l_partkey % 50))) AS parts FROM lineitem GROUP BY l_suppkey)
-  SELECT a.s AS flow, b.s AS path, round(len(list_intersect(a.parts, b.parts)) / len(list_distinct(list_concat(a.parts, b.parts))), 6) AS similarity FROM p a JOIN p b ON a.s <> b.s AND a.s <= 3""")
+METADATA = "to_json(named_struct('label', label, 'kind', CASE WHEN vec_id % 2 = 0 THEN 'function' ELSE 'contract' END))"
+
+
+def _filtered(condition: str) -> str:
+    return TOP.format(k=20).replace("CROSS JOIN embeddings v)", f"CROSS JOIN (SELECT * FROM embeddings WHERE {condition}) v)")
+
+
+@query(f"SELECT 'and' AS how, * FROM ({_filtered('label = 3 AND vec_id % 2 = 0')}) UNION ALL SELECT 'or', * FROM ({_filtered('label = 3 OR vec_id % 2 = 0')})")
+def filtered_topk(spark, sf_dir):
+    """Search among vectors with the metadata asked for: all of it, or any."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("metadata", F.expr(METADATA))
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    wanted = {"label": 3, "kind": "function"}
+    found = [R.search(queries, vectors, 20, wanted, how).withColumn("how", F.lit(how)) for how in ("and", "or")]
+    return found[0].unionByName(found[1]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH m AS (SELECT t.query_id, t.score, 'threat' || e.label AS threat FROM ({TOP.format(k=10)}) t JOIN embeddings e USING (vec_id)) SELECT query_id, count(*) AS n, max(score) AS best,
+  (SELECT string_agg(threat, ',' ORDER BY score DESC, threat) FROM (SELECT * FROM m i WHERE i.query_id = m.query_id ORDER BY score DESC, threat LIMIT 5)) AS threats FROM m GROUP BY query_id""")
+def flow_threats(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("threat"), F.col("label").cast("string")).alias("threat"))
+    return R.threat_summary(_top(spark, sf_dir, 10).join(labels, "vec_id"), "query_id").withColumn("threats", F.array_join("threats", ","))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 500 AS item FROM lineitem), n AS (SELECT o, count(*) AS n FROM p GROUP BY o),
+  s AS (SELECT a.o AS flow, b.o AS path, count(*) AS n FROM p a JOIN p b USING (item) WHERE a.o % 100 = 0 GROUP BY ALL)
+  SELECT flow, path, round(s.n / (x.n + y.n - s.n), 6) AS similarity FROM s JOIN n x ON x.o = flow JOIN n y ON y.o = path WHERE s.n / (x.n + y.n - s.n) >= 0.25""")
 def path_similarity(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("parts"))
-    flows = parts.where("l_suppkey <= 3").select(F.col("l_suppkey").alias("flow"), F.col("parts").alias("fp"))
-    pairs = parts.join(F.broadcast(flows), F.col("flow") != F.col("l_suppkey"))  # three stated flows against all paths
-    return pairs.select("flow", F.col("l_suppkey").alias("path"), F.round(R.jaccard(F.col("fp"), F.col("parts")), 6).alias("similarity"))
+    """Paths, here orders with their parts, at least a quarter similar to a flow's; flows are the orders of ids divisible by 100."""
+    paths = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 500).alias("items"))
+    found = R.set_matches(paths.where("l_orderkey % 100 = 0"), paths, 0.25, "l_orderkey", "l_orderkey", "items")
+    return found.select(F.col("query_id").alias("flow"), F.col("row_id").alias("path"), F.round("similarity", 6).alias("similarity"))
