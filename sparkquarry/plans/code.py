@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..operators import chunking, taint
-from .registry import query, table
+from .base import query, table
 
 #: (file_id, content); negative ids, as those of parts are positive.
 WRITTEN = (

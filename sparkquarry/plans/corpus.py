@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import chunking
 from ..ship import to_workers
 from . import pipeline
-from .registry import query, table
+from .base import query, table
 
 
 @query("""SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs, round(avg(least(1000, n - k * 900)), 6) AS mean_size FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import flows as O
-from .registry import query, table
+from .base import query, table
 
 #: SQL that both engines read: flows with paths of two nodes, functions, surfaces and the like, from orders and line items.
 NODES = "SELECT l_orderkey % 50 AS file_id, l_orderkey AS flow_id, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'function' ELSE 'source' END AS type, concat('f', cast(l_partkey % 40 AS string)) AS name, CAST(l_quantity AS INT) AS start_line, CAST(l_quantity AS INT) + l_linenumber AS end_line FROM {lineitem} WHERE l_linenumber <= 3"

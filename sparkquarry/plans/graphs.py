@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph
-from .registry import query, shared, values
+from .base import query, shared, values
 
 EDGES = "('a','b'), ('b','c'), ('c','a'), ('c','d'), ('d','e'), ('x','y'), ('d','d'), ('b','d')"
 CODE = "(1, 'function f() { a.g(1); h ( 2 ); }'), (2, 'x = new Token(1); token.transfer(to, n);'), (3, 'none')"

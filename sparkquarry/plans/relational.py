@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows
-from .registry import query, shared, table
+from .base import query, shared, table
 
 shared("severity_counts_dense", """
 SELECT s.severity, coalesce(c.n, 0) AS n FROM (SELECT * FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NONE')) AS t(severity)) s

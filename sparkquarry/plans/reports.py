@@ -9,7 +9,7 @@ from ..functions import reports as R
 from ..functions import scalars as S
 from ..functions import text as T
 from .code import BLOCK
-from .registry import literal, query, relation, table
+from .base import literal, query, relation, table
 
 MARKDOWN = (
     (-1, "# Title #\n\nSome **bold** and *it* [link](http://x.org/a b) and ![pic](p.png), `code`.\n> quote\n1. one\n- two"),

@@ -71,15 +71,70 @@ def reader_for(kind: str):
     return {"json": json_items, "jsonl": jsonl, "csv": csv_documents, "source": files, "parquet": lambda spark, path: spark.read.parquet(path), "log": lambda spark, path: jsonl(spark, path, keep_bad=True), "vulnerabilities": lambda spark, path: vulnerability_items(json_items(spark, path))}[kind]
 
 
-def write_report(findings: DataFrame, path: str, kind: str = "json") -> None:
-    """Findings in severity order, as JSON lines or markdown lines, one part each."""
+def report_lines(findings: DataFrame, kind: str, title: str = "Report") -> DataFrame:
+    """(place, text) of a report: a title, counts by severity, and the findings in severity order; kind is ``md`` or ``html``."""
+    from ..functions.text import SEVERITIES, severity_rank
+
+    severity, description = F.coalesce("severity", F.lit("Low")), F.coalesce("description", F.lit(""))
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rank = severity_rank(F.col("severity")).cast("int")
+    if kind == "html":
+        heads = ("<h1>%s</h1>", "<p>%s: %s</p>")
+        lines = F.format_string("<li><b>%s</b> (%s): %s</li>", escape(F.col("title")), escape(severity), escape(description))
+    else:
+        heads = ("# %s", "- %s: %s")
+        lines = F.format_string("- **%s** (%s): %s", "title", severity, description)
+    spark = findings.sparkSession
+    counts = spark.createDataFrame([(i, s) for i, s in enumerate(SEVERITIES)], "n int, s string").join(findings.groupBy(severity.alias("s")).count(), "s", "left")
+    head = spark.range(1).select(F.struct(F.lit(0).alias("part"), F.lit(0).alias("rank"), F.lit("").alias("title")).alias("place"), F.lit(heads[0] % title).alias("text"))
+    middle = counts.select(F.struct(F.lit(1).alias("part"), F.col("n").alias("rank"), F.col("s").alias("title")).alias("place"), F.format_string(heads[1], "s", F.coalesce("count", F.lit(0))).alias("text"))
+    return head.unionByName(middle).unionByName(findings.select(F.struct(F.lit(2).alias("part"), rank.alias("rank"), F.col("title").alias("title")).alias("place"), lines.alias("text")))
+
+
+def write_report(findings: DataFrame, path: str, kind: str = "json", title: str = "Report") -> None:
+    """Findings (title, severity, description) in severity order, as JSON lines, markdown or html."""
     from ..functions.text import severity_rank
 
-    ordered = findings.orderBy(severity_rank(F.col("severity")), "title")
     if kind == "json":
-        ordered.write.json(path)
+        findings.orderBy(severity_rank(F.col("severity")), "title").write.json(path)
+    elif kind in ("md", "html"):
+        report_lines(findings, kind, title).orderBy("place").select("text").write.text(path)
     else:
-        ordered.select(F.format_string("- **%s** (%s): %s", "title", F.coalesce("severity", F.lit("Low")), F.coalesce("description", F.lit("")))).write.text(path)
+        raise ValueError(f"no report of kind {kind}")
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a markdown report of a folder: path, title (of its first heading), reported (time in its name), findings (number of its entries)."""
+    from ..functions.scalars import report_date
+
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return texts.select("path", F.regexp_extract("value", r"(?m)^#[ \t]+([^\n]+)", 1).alias("title"), report_date(F.col("path")).alias("reported"), F.size(F.regexp_extract_all("value", F.lit(r"(?m)^- \*\*"), F.lit(0))).alias("findings"))
+
+
+def directory_tree(paths: DataFrame, depth: int = 3, path_col: str = "path") -> DataFrame:
+    """(folder, level, files): folders of relative paths down to a depth, each with the number of files below it."""
+    parts = F.split(path_col, "/")
+    levels = F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(depth)))
+    folders = paths.where(F.size(parts) > 1).select(F.explode(F.transform(levels, lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder"), i.alias("level")))).alias("f"))
+    return folders.groupBy("f.folder", "f.level").agg(F.count(F.lit(1)).alias("files"))
+
+
+def prompts_by(prompts: DataFrame, name: str | None = None, kind: str | None = None, project: str | None = None) -> DataFrame:
+    """Prompts of a name, type and project; what is not given does not matter."""
+    for column, value in (("name", name), ("type", kind), ("project", project)):
+        if value is not None:
+            prompts = prompts.where(F.col(column) == value)
+    return prompts
+
+
+def export_prompts(prompts: DataFrame, path: str) -> None:
+    prompts.write.json(path)
+
+
+def import_prompts(existing: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Existing prompts with those of a JSON lines export put in place of those of the same keys."""
+    rows = existing.sparkSession.read.schema(existing.schema).json(path)
+    return upsert(existing, rows, keys)
 
 
 def write_families(docs: DataFrame, path: str, key: str, families: dict[str, list[str]]) -> None:

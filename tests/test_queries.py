@@ -27,6 +27,28 @@ def test_query_matches_sql(spark, name):
     assert sorted((rounded(r[c] for c in columns) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() >= 0
+def test_all_others_are_tested_here():
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans_clusters", "line_chunks"}
+
+
+def test_line_chunks(spark):
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall()
+    want = set()
+    for i, text in texts:
+        held, fresh, sizes = [], 0, []
+        for line in text.split("\n"):
+            if fresh and len("\n".join([*held, line])) > 1000:
+                sizes.append(len("\n".join(held)))
+                held, fresh = held[-2:], 0
+            held.append(line)
+            fresh += 1
+        sizes.append(len("\n".join(held)))
+        want |= {(i, n, size) for n, size in enumerate(sizes)}
+    assert {tuple(r) for r in registry.QUERIES["line_chunks"](spark, FOLDER).select("doc_id", "chunk_index", "size").collect()} == want
+
+
+def test_kmeans_clusters(spark):
+    rows = registry.QUERIES["kmeans_clusters"](spark, FOLDER).collect()
+    texts = " ".join(t.lower() for (t,) in duckdb.sql(f"SELECT text FROM '{FOLDER}/documents.parquet'").fetchall())
+    assert sum(r["n"] for r in rows) == 200 and 1 < len(rows) <= 4 and len({r["label"] for r in rows}) == len(rows)
+    assert all(len(set(r["terms"])) == 5 and all(t in texts for t in r["terms"]) for r in rows)
