@@ -10,21 +10,20 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import memory_returned, small_batches, text_or_empty
+from .common import held, memory_returned, small_batches, text_or_empty
 
 #: Entries that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
-CHUNKS, WORDS, PAIRS = 400_000, 300_000, 400_000
+CHUNKS, WORDS, PAIRS = 300_000, 200_000, 300_000
 #: Bytes of a chunk or pre-token that is kept after its texts are done.
 LONG = 200
 #: Bytes of text whose new words make one trie; a text is not cut.
-TRIE_BYTES = 4_000_000
+TRIE_BYTES = 2_000_000
 
 #: Rank of merges that never happen.
 NEVER = 1 << 60
@@ -63,7 +62,7 @@ class TrieBpe:
         place = {p: i for i, p in enumerate(self.prefixes)}
         self.fail = [next(place[p[i:]] for i in range(1, len(p) + 1) if p[i:] in place) if p else 0 for p in self.prefixes]
         self.inner_ends: list[list[tuple[int, int]] | None] = [None] * len(self.prefixes)
-        self.endings: list[dict[str, list[tuple[int, int]]]] = [{} for _ in self.prefixes]
+        self.endings: dict[tuple[int, str], list[tuple[int, int]]] = {}
 
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -140,9 +139,9 @@ class TrieBpe:
         return found
 
     def ending(self, state: int, last: str) -> list[tuple[int, int]]:
-        known = self.endings[state].get(last)
+        known = self.endings.get((state, last))
         if known is None:
-            known = self.endings[state][last] = self.suffixes(state, self.final, last)
+            known = self.endings[state, last] = self.suffixes(state, self.final, last)
         return known
 
     def last_token(self, found: list[tuple[int, int]], d: int, ids: list[int]) -> tuple[int, int]:
@@ -338,9 +337,8 @@ class TextEncoder:
         return self.encode_split([text.split()])[0]
 
 
-@lru_cache(maxsize=2)
 def encoder_of(file: str) -> TextEncoder:
-    return TextEncoder(file)
+    return held(("bpe", file), lambda: TextEncoder(file))
 
 
 def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:

@@ -39,6 +39,18 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_HELD: dict = {}
+
+
+def held(name: tuple, make):
+    """What ``make`` gives, kept in this process under the name; one such object at a time, that of the operator at work, as
+    workers live on from one operator to the next."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 @lru_cache(maxsize=1)
 def _libc():
     import ctypes
@@ -102,13 +114,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, for loops.
+def written(df: DataFrame, made: list[str]) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, for loops; ``made`` gets the folder, for its removal.
 
     A checkpoint keeps its plan's estimated size, for a join the product of both sides: over rounds a number of ever more
     digits, until the driver's memory is full. A table has the size of its files.
     """
     folder = shared_folder(df.sparkSession, "round")
+    made.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -42,7 +42,7 @@ def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     """
     sets = items.select(F.col(id_col).alias("item"), F.array_sort(F.array_distinct(shingles(text_or_empty(text_col)))).alias("shingles"))
     sets = sets.where(F.size("shingles") > 0).withColumn("n", F.size("shingles").cast("long"))
-    sets = sets.withColumn("part", F.floor(F.log(GROWTH, F.col("n"))).cast("int"))
+    sets = checkpointed(sets.withColumn("part", F.floor(F.log(GROWTH, F.col("n"))).cast("int")))  # items are hashed once
     return sets, sets.select("item", "part", F.explode(F.slice("shingles", 1, SKETCH)).alias("hash"))
 
 

@@ -9,14 +9,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import memory_returned, remainder, small_batches, without
+from .common import held, memory_returned, remainder, small_batches, without
 
 MARK = "▁"
 #: Added to every piece's count; words whose scores or pieces one Python worker keeps, and characters of one that is kept.
@@ -26,14 +25,26 @@ SPAN, SCALED = 400_000, 16
 UNDETERMINED = "und"
 
 
-@lru_cache(maxsize=2)
+def loaded(model_file: str):
+    """The processor, piece -> row, and the table of pieces; the row after the last is for characters that no piece has."""
+
+    def load():
+        import sentencepiece
+
+        processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        plain = [i for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_byte(i) or processor.is_unknown(i))]
+        pieces = {processor.id_to_piece(i): row for row, i in enumerate(plain)}
+        return processor, pieces, PieceTable(pieces)
+
+    return held(("language", model_file), load)
+
+
 def vocabulary(model_file: str):
-    """The processor, and piece -> row; the row after the last is for characters that no piece has."""
-    import sentencepiece
+    return loaded(model_file)[:2]
 
-    processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    plain = [i for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_byte(i) or processor.is_unknown(i))]
-    return processor, {processor.id_to_piece(i): row for row, i in enumerate(plain)}
+
+def piece_table(model_file: str) -> PieceTable:
+    return loaded(model_file)[2]
 
 
 def words_of(text: str) -> list[str]:
@@ -90,11 +101,6 @@ class PieceTable:
         return out
 
 
-@lru_cache(maxsize=2)
-def piece_table(model_file: str) -> PieceTable:
-    return PieceTable(vocabulary(model_file)[1])
-
-
 #: Pieces of a character that no piece has, after the first.
 CONTINUED = frozenset(f"<0x{b:02X}>" for b in range(0x80, 0xC0))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, memory_returned, small_batches, text_or_empty, without, written
+from .common import checkpointed, forgotten, memory_returned, removed, small_batches, text_or_empty, without, written
 
 WORDS = 5
 #: Linked if 100 * intersection >= SIMILAR * union.
@@ -135,15 +135,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
     return source.mapInArrow(run, "id long, shingles array<long>, bits array<long>").dropDuplicates(["id"])
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, made: list[str]) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), by spreading the least label and jumping to labels' labels."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), made)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), made)
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("heard"))
         nearer = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("before"), F.least("root", "heard").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        after = written(nearer.join(jump, "root").select("node", "before", F.least("root", "beyond").alias("root")))
+        after = written(nearer.join(jump, "root").select("node", "before", F.least("root", "beyond").alias("root")), made)
         settled = after.where("before <> root").isEmpty()
         labels = after.select("node", "root")
         if settled:
@@ -191,9 +191,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words are linked with nothing, and so are rows of null id, which have a null component and stay.
     Equal sets are one class from the start; classes are compared by representatives, which loses no link. Rows that
     repeat an id are one document. Ids are integers; other columns are ignored; an empty table gives an empty one.
-    Per document 2 * M signatures are shuffled, shared ones once more; shingle sets only of documents with a shared key.
+    What is worked out on the way is removed from the shared folder. Per document 2 * M signatures are shuffled, shared ones once more; shingle sets only of documents with a shared key.
     """
     small_batches(docs.sparkSession)
+    made: list[str] = []
     signed = checkpointed(_signed(docs, id_col, text_col))
     filled = signed.where("n > 0 and id is not null")
     classes = filled.groupBy("shape").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signatures").alias("signatures"))
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = crossed.select("id", "n", F.xxhash64("f", "s").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1")
     tables = checkpointed(keyed.join(sizes, "key"))
-    labels = written(tables.groupBy("id").agg(F.min("n").alias("n"), F.min("least").alias("least")).withColumn("component", F.col("id")))
+    labels = written(tables.groupBy("id").agg(F.min("n").alias("n"), F.min("least").alias("least")).withColumn("component", F.col("id")), made)
     sets = checkpointed(_sets(docs, id_col, text_col, labels))
     sized = labels.select("id", "n")
 
@@ -219,11 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(f"100 * common >= {SIMILAR} * (na + nb - common)").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
     def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        edges = written(edges.distinct())
+        edges = written(edges.distinct(), made)
         if edges.isEmpty():
             return labels
-        roots = connected(edges).withColumnRenamed("node", "component")
-        return written(labels.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
+        roots = connected(edges, made).withColumnRenamed("node", "component")
+        return written(labels.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), made)
 
     leads = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("id").alias("cb"))
     first = labels.where("least < id").select(F.col("id").alias("a"), F.col("least").alias("b"), F.col("id").alias("ca"), F.col("n").alias("na")).join(leads, "b")
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Rows of the keys whose members are still in two components or more."""
         placed = tables.select("key", "id", "n", "members").join(labels.select("id", "component"), "id")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return written(placed.join(keys, "key", "left_semi"))
+        return written(placed.join(keys, "key", "left_semi"), made)
 
     # rounds of one comparison a document at most: with one of the leads of its open keys, drawn anew each round
     for draw in range(DRAWS):
@@ -247,25 +248,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # then every pair of an open key that is in two components and that no bound rules out, pivots by slices that grow
     able = _able(open_tables(labels).select("id", "component", "n").distinct(), sets)
-    rows = written(_rows(both, able.join(sets.select("id", "bits"), "id")))
+    rows = written(_rows(both, able.join(sets.select("id", "bits"), "id")), made)
     most, low, high = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0, 0, 4
     while low < most:
         placed = rows.join(labels.select("id", "component"), "id")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        placed = written(placed.join(keys, "key", "left_semi").withColumn("place", _place("id")))
+        placed = written(placed.join(keys, "key", "left_semi").withColumn("place", _place("id")), made)
         if placed.isEmpty():
             break
         # slices are of places, the same in every key, so that a pair is met in one round alone: that of its pivot
         slice_ = f"place * {most} >= {low}" + (f" and place * {most} < {high}" if high < most else "")
         pairs = _unruled(placed.alias("a"), placed.where(slice_).alias("b"))
-        labels = merged(labels, confirmed(written(pairs)))
+        labels = merged(labels, confirmed(written(pairs, made)))
         low, high = high, high * GROWTH
 
     members = signed.join(classes.select("shape", "rep"), "shape", "left")
     found = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = checkpointed(found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
+    for df in (signed, both, tables, sets):
+        forgotten(df)
+    for folder in made:
+        removed(docs.sparkSession, folder)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

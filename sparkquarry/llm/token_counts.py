@@ -9,13 +9,12 @@ a dictionary lookup; only the other distinct segments are merged, by the library
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import memory_returned, small_batches, text_or_empty
+from .common import held, memory_returned, small_batches, text_or_empty
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -69,14 +68,16 @@ class SegmentCounts(dict):
         return sum(map(self.__getitem__, segments))
 
 
-@lru_cache(maxsize=2)
 def counts_of(model_file: str) -> SegmentCounts:
-    import sentencepiece
+    def load() -> SegmentCounts:
+        import sentencepiece
 
-    processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    if not independent([processor.id_to_piece(i) for i in range(processor.get_piece_size())]):
-        raise ValueError("pieces with U+2581 after another character: segments do not encode independently")
-    return SegmentCounts(processor)
+        processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if not independent([processor.id_to_piece(i) for i in range(processor.get_piece_size())]):
+            raise ValueError("pieces with U+2581 after another character: segments do not encode independently")
+        return SegmentCounts(processor)
+
+    return held(("tokens", model_file), load)
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
