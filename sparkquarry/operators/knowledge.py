@@ -50,8 +50,8 @@ def index_rows(docs: DataFrame, existing: DataFrame | None = None, embed=None, i
 
 def search_texts(questions: DataFrame, store: DataFrame, k: int, embed=None, patterns: list[str] | None = None, path_col: str | None = None, id_col: str = "id") -> DataFrame:
     """(query_id, vec_id, score, rank) of questions (query_id, text) among the store's rows (id, embedding), of paths that match one of the patterns where they are given."""
-    if patterns and path_col:
-        store = store.where(F.exists(F.array(*map(F.lit, patterns)), lambda p: F.col(path_col).rlike(p)))
+    if patterns is not None and path_col:
+        store = store.where(F.greatest(F.lit(False), F.lit(False), *(F.col(path_col).rlike(p) for p in patterns)))
     asked = embedded(questions, embed).select("query_id", F.col("embedding").alias("query"))
     return cosine_top_k(asked, store, k, vec_id=id_col)
 
