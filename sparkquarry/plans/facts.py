@@ -120,7 +120,7 @@ def workflow_flows(spark, sf_dir):
     return out.select("contract", "workflow", F.array_join("members", ",").alias("members"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
-FLOWS = "SELECT o_custkey AS contract, concat('f', cast(o_orderkey % 6 AS string)) AS function, CASE o_orderkey % 7 WHEN 0 THEN 'value_transfer' WHEN 1 THEN 'external_call' WHEN 2 THEN 'storage_write' WHEN 3 THEN 'authorization' WHEN 4 THEN 'cross_contract' WHEN 5 THEN 'other' END AS type, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 10 / 10.0 END AS confidence FROM {orders}"
+FLOWS = "SELECT o_custkey AS contract, concat('f', cast(o_orderkey % 6 AS string)) AS function, CASE o_orderkey % 7 WHEN 0 THEN 'value_transfer' WHEN 1 THEN 'external_call' WHEN 2 THEN 'storage_write' WHEN 3 THEN 'authorization' WHEN 4 THEN 'cross_contract' WHEN 5 THEN 'other' END AS type, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 8 / 8.0 END AS confidence FROM {orders}"
 
 
 @query(f"""SELECT contract, sum(k)::BIGINT AS n, string_agg(type || '=' || k, ',' ORDER BY type || '=' || k) AS types, (sum(c) / sum(k))::DOUBLE AS average_confidence FROM (SELECT contract, coalesce(type, 'unknown') AS type, count(*) AS k, sum(coalesce(confidence, 0)) AS c FROM ({_duck(FLOWS)}) GROUP BY 1, 2) GROUP BY contract""")
