@@ -152,9 +152,13 @@ def response_parts(spark, sf_dir):
     return paths.unionByName(rows.select("id", F.explode(T.fenced_blocks(F.col("text"))).alias("b")).select("id", F.col("b.language").alias("kind"), F.col("b.code").alias("value")))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'critical|severe|high') THEN 'High' WHEN regexp_matches(t, 'low|minor|info') THEN 'Low' ELSE 'Medium' END AS severity FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE regexp_matches(t, 'vulnerability|exploit|attack|bug|issue|reentrancy|overflow|underflow|unsafe')""")
+RESULTS = ((-1, "A critical Reentrancy bug"), (-2, "minor issue in the info text"), (-3, "an unsafe cast"), (-4, "all is well"), (-5, "Low and HIGH exploit"))
+
+
+@query(r"""SELECT id, CASE WHEN regexp_matches(t, 'critical|severe|high') THEN 'High' WHEN regexp_matches(t, 'low|minor|info') THEN 'Low' ELSE 'Medium' END AS severity FROM (SELECT id, lower(text) AS t FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM """ + relation(RESULTS, "id, text") + r""")) WHERE regexp_matches(t, 'vulnerability|exploit|attack|bug|issue|reentrancy|overflow|underflow|unsafe')""")
 def gated_findings(spark, sf_dir):
-    return R.gated_findings(table(spark, sf_dir, "documents")).select("doc_id", "severity")
+    results = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(list(RESULTS), "id long, text string"))
+    return R.gated_findings(results).select("id", "severity")
 
 
 OUTPUTS = ((1, '======= a.sol =======\n{"x": 1}\n\n======= b/c.sol =======\n[1, 2]\n'), (2, "no sections"), (3, "=== bad ===\nnot json\n=== ok ===\n{}"))
