@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
+
 NONE = "array<string>"
 
 
@@ -206,3 +208,33 @@ def found_or_created(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     # one row: the greatest id so far
     numbered = missing.withColumn("n", F.rank().over(Window.orderBy("name", "type"))).crossJoin(F.broadcast(top))
     return nodes.select("id", "name", "type").unionByName(numbered.select((F.col("top") + F.col("n")).cast(nodes.schema["id"].dataType).alias("id"), "name", "type"))
+
+
+def calls_of(functions: DataFrame, calls: DataFrame, id_col: str = "function_id") -> DataFrame:
+    """(function, call_id): calls that a function makes or takes, once each; two equality joins, not one on a disjunction."""
+    made = functions.select(id_col).join(calls.select(F.col("caller_id").alias(id_col), "call_id"), id_col)
+    taken = functions.select(id_col).join(calls.select(F.col("callee_id").alias(id_col), "call_id"), id_col)
+    return made.unionByName(taken).distinct()
+
+
+def shared_lines(left: DataFrame, right: DataFrame, key: str, start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """(key, lines): lines that intervals of both sides have, sorted, once each; keys without one go."""
+    lines = lambda df: df.select(key, F.explode(F.sequence(start, end)).alias("line")).distinct()
+    return lines(left).join(lines(right), [key, "line"]).groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+
+def variables_at_risk(flows: DataFrame, key: str, least: float = 7.0) -> DataFrame:
+    """(key, variables): variables of flows that are exploitable enough, sorted, once each."""
+    return flows.where(F.col("exploitability") >= least).select(key, F.explode("variables").alias("v")).groupBy(key).agg(F.sort_array(F.collect_set("v")).alias("variables"))
+
+
+def findings_with_flows(findings: DataFrame, flows: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings (keys, start_line, end_line) with the sorted ids of the flows (keys, flow_id, f_start, f_end) whose lines overlap theirs, none for some."""
+    met = overlap_join(findings, flows, keys, "start_line", "end_line", "f_start", "f_end").groupBy(*findings.columns).agg(F.sort_array(F.collect_set("flow_id")).alias("flows"))
+    return findings.join(met, findings.columns, "left")
+
+
+def severity_summary(findings: DataFrame, key: str) -> DataFrame:
+    """(key, total, high, medium, low) of findings, by severity whatever the case."""
+    of = lambda s: F.count_if(F.lower("severity") == s).alias(s)
+    return findings.groupBy(key).agg(F.count(F.lit(1)).alias("total"), of("high"), of("medium"), of("low"))

@@ -151,3 +151,21 @@ def append_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows, replaced by new ones of the same keys."""
     return existing.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+
+
+def repository(spark: SparkSession, clone: str, pattern: str = "*.sol", exclude: list[str] = ()) -> DataFrame:
+    """Files of a repository that was cloned to shared storage beforehand; what git keeps for itself is left out."""
+    return files(spark, clone, pattern, [r"/\.git/", *exclude])
+
+
+def issues(spark: SparkSession, path: str, labels: list[str] | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Issues of exported pages of an issue tracker's JSON lists: number, title, state, labels, body, updated_at, is_pull; the last
+    updated first, of all the labels and not before ``since`` where they are given."""
+    schema = "number long, title string, state string, body string, updated_at string, labels array<struct<name:string>>, pull_request struct<url:string>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).where("number is not null").select("number", "title", "state", F.col("labels.name").alias("labels"), "body", "updated_at", F.col("pull_request").isNotNull().alias("is_pull"))
+    if labels:
+        rows = rows.where(F.size(F.array_except(F.array(*map(F.lit, labels)), "labels")) == 0)
+    if since:
+        rows = rows.where(F.col("updated_at") >= since)
+    rows = rows.orderBy(F.desc("updated_at"), "number")
+    return rows.limit(limit) if limit is not None else rows

@@ -181,3 +181,26 @@ def test_texts(spark):
     assert one(R.rendered("{{#each xs}}<{{this}}{{#if on}}!{{/if}}>{{/each}}{{#if off}}no{{/if}} {{n}}", {"on": F.lit(True), "off": F.lit(""), "n": F.lit(3)}, lists)) == "<p!><q!> 3"
     with pytest.raises(ValueError):
         R.rendered("{{#if a}}", {})
+
+
+def test_facts(spark, tmp_path):
+    calls = spark.createDataFrame([(1, 10, 11), (2, 11, 10), (3, 12, 12)], "call_id int, caller_id int, callee_id int")
+    functions = spark.createDataFrame([(10,), (12,), (13,)], "function_id int")
+    assert {tuple(r) for r in flows.calls_of(functions, calls).collect()} == {(10, 1), (10, 2), (12, 3)}
+    a = spark.createDataFrame([("f", 1, 5), ("g", 1, 1)], "file string, start_line int, end_line int")
+    b = spark.createDataFrame([("f", 4, 9), ("f", 2, 2), ("g", 2, 3)], "file string, start_line int, end_line int")
+    assert [tuple(r) for r in flows.shared_lines(a, b, "file").collect()] == [("f", [2, 4, 5])]
+    risky = spark.createDataFrame([("f", 8.0, ["x", "y"]), ("f", 7.0, ["x"]), ("f", 6.9, ["z"]), ("g", 1.0, ["q"])], "file string, exploitability double, variables array<string>")
+    assert [tuple(r) for r in flows.variables_at_risk(risky, "file").collect()] == [("f", ["x", "y"])]
+    paths = spark.createDataFrame([("f", 7, 5, 6), ("f", 8, 6, 9), ("f", 9, 2, 3)], "file string, flow_id int, f_start int, f_end int")
+    assert {(r["file"], tuple(r["flows"] or ())) for r in flows.findings_with_flows(a, paths, ["file"]).collect()} == {("f", (7, 9)), ("g", ())}
+    assert [tuple(r) for r in flows.severity_summary(spark.createDataFrame([("p", "High"), ("p", "low"), ("p", None)], "p string, severity string"), "p").collect()] == [("p", 3, 1, 0, 1)]
+    page = [{"number": 1, "title": "a", "state": "open", "body": None, "updated_at": "2024-01-02", "labels": [{"name": "bug"}, {"name": "x"}]}, {"number": 2, "title": "b", "updated_at": "2024-01-03", "labels": [], "pull_request": {"url": "u"}}]
+    (tmp_path / "page1.json").write_text(json.dumps(page))
+    got = readers.issues(spark, str(tmp_path))
+    assert [(r["number"], r["is_pull"]) for r in got.collect()] == [(2, True), (1, False)]
+    assert readers.issues(spark, str(tmp_path), ["bug", "x"]).count() == 1 and readers.issues(spark, str(tmp_path), since="2024-01-03", limit=5).count() == 1
+    (tmp_path / "r" / ".git").mkdir(parents=True)
+    (tmp_path / "r" / "a.sol").write_text("contract A {}")
+    (tmp_path / "r" / ".git" / "b.sol").write_text("x")
+    assert readers.repository(spark, f"{tmp_path}/r").count() == 1
