@@ -68,7 +68,7 @@ def stored(cache: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def recovered(table: DataFrame, required: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a store: good ones have all required fields and the latest of their id by position of writing, bad ones don't."""
+    """(good, bad) rows of a store: good ones have all required fields, one row of each id; bad ones lack some."""
     whole = None
     for c in required:
         test = F.col(c).isNotNull()
