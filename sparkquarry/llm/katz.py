@@ -35,7 +35,7 @@ UNIT = 1 << 16
 #: Words whose keys a worker keeps; tokens of a block; bytes of a text that are taken at once; n-grams that a bucket should get.
 KEPT, BLOCK, SLICE, BUCKET = 300_000, 1_400_000, 4_000_000, 2_000_000
 #: Bytes of input for a partition of blocks.
-PARTITION = 16_000_000
+PARTITION = 4_000_000
 #: A key of two or three words has so many bits more than the number of tokens: another n-gram has the same with chance 2 ** -24.
 SPARE = 24
 #: Numbers that a bucket reports by order: types, tokens, and types of each count from one on.
