@@ -17,6 +17,7 @@ def braces(depth: int = DEPTH) -> str:
     return r"\{[^{}]*+\}" if depth == 1 else rf"\{{[^{{}}]*+(?:{braces(depth - 1)}[^{{}}]*+)*+\}}"
 
 
+#: How the language writes functions, modifiers, events and contracts.
 FUNCTION = r"\bfunction\s+(\w+)\s*\(([^)]*)\)([^{};]*)(" + braces() + ")"
 MODIFIER = r"\bmodifier\s+(\w+)\s*\(([^)]*)\)\s*(" + braces() + ")"
 EVENT = r"\bevent\s+(\w+)\s*\(([^)]*)\)\s*;"

@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Levels of risk, how a report names its rating, and words that hint at a weakness, a high and a low one.
+RATING = r"(?i)(?:risk|security)\s+(?:rating|assessment|level|score):\s*([A-Za-z]+)"
+WEAKNESS, GRAVE, SLIGHT = "vulnerability|exploit|attack|bug|issue|reentrancy|overflow|underflow|unsafe", "critical|severe|high", "low|minor|info"
 LEVELS = ("Critical", "High", "Medium", "Low")
 
 
@@ -39,7 +42,7 @@ def conclusion(text: Column) -> Column:
 
 def risk_rating(text: Column) -> Column:
     """The named rating if it is a known one, else the first level that the text calls overall or a risk, else Medium."""
-    named = F.initcap(F.regexp_extract(text, r"(?i)(?:risk|security)\s+(?:rating|assessment|level|score):\s*([A-Za-z]+)", 1))
+    named = F.initcap(F.regexp_extract(text, RATING, 1))
     low = F.lower(text)
     mentioned = [F.when(low.contains(f"overall {x.lower()}") | low.contains(f"{x.lower()} risk"), F.lit(x)) for x in LEVELS]
     return F.coalesce(F.when(named.isin(*LEVELS, "Informational"), named), *mentioned, F.lit("Medium"))
@@ -48,8 +51,8 @@ def risk_rating(text: Column) -> Column:
 def gated_findings(results: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text hints at a weakness, with a severity by its words: high before low, else Medium."""
     low = F.lower(text_col)
-    kept = results.where(low.rlike("vulnerability|exploit|attack|bug|issue|reentrancy|overflow|underflow|unsafe"))
-    return kept.withColumn("severity", F.when(low.rlike("critical|severe|high"), "High").when(low.rlike("low|minor|info"), "Low").otherwise("Medium"))
+    kept = results.where(low.rlike(WEAKNESS))
+    return kept.withColumn("severity", F.when(low.rlike(GRAVE), "High").when(low.rlike(SLIGHT), "Low").otherwise("Medium"))
 
 
 HEADED = r"(?m)^#{1,3}[ \t]+([^\n(]+?)[ \t]*\((?:Severity|Priority):[ \t]*([^)\n]+)\)"
