@@ -166,7 +166,7 @@ class TrieBpe:
         """
         out: dict[str, tuple[int, ...]] = {}
         ids, lengths, states, before = [0], [0], [0], ""
-        moves, move, inner, last_token = self.moves, self.move, self.inner_ends, self.last_token
+        moves, move, inner, last_token, apart = self.moves, self.move, self.inner_ends, self.last_token, self.apart
         last = -1 if self.end else None
         for word in sorted(words):
             inside = word[:last]
@@ -184,7 +184,9 @@ class TrieBpe:
                 found = inner[state]
                 if found is None:
                     found = inner[state] = self.suffixes(state, self.inner)
-                token, n = last_token(found, d, ids)
+                token, n = found[0]
+                if n != d and not apart.get(ids[d - n] << 20 | token):
+                    token, n = last_token(found, d, ids)
                 ids.append(token)
                 lengths.append(n)
                 states.append(state)
@@ -234,9 +236,11 @@ class TextEncoder:
         self.numbers, self.names = [f"{i} " for i in range(size)], [""] * size
         for i, token in (self.trie.strings | {i: t for t, i in self.added.items()}).items():
             self.names[i] = token + " "
-        #: chunk -> (ids, tokens), each followed by a space; pre-token -> ids
-        self.chunks: dict[bytes, tuple[str, str]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Ids and tokens, each followed by a space, of chunks and of pre-tokens; a line feed stands for itself between chunks.
+        self.chunk_ids: dict[bytes, str] = {}
+        self.chunk_tokens: dict[bytes, str] = {}
+        self.word_ids: dict[str, str] = {"\n": "\n"}
+        self.word_tokens: dict[str, str] = {"\n": "\n"}
         self.alphabet = byte_alphabet()
 
     def pieces(self, chunk: bytes) -> list[str | int]:
@@ -249,59 +253,56 @@ class TextEncoder:
                 out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)) if p]
         return out
 
-    def plain_pieces(self, chunks: list[str]) -> list[list[str]]:
-        """Pre-tokens, not yet in the alphabet, of plain chunks, all at once."""
-        out: list[list[str]] = [[]]
-        add = out[0].append
-        for word in self.PLAIN_WORDS.findall("\n".join(chunks).lower()):
-            if word == "\n":
-                out.append([])
-                add = out[-1].append
-            else:
-                add(word)
-        return out
+    def spell(self, words: dict[str, str]) -> None:
+        """Learn new words, given with their spelling in the alphabet."""
+        numbers, names = self.numbers.__getitem__, self.names.__getitem__
+        encoded = self.trie.encode_words(set(words.values()))
+        for word, spelling in words.items():
+            ids = encoded[spelling]
+            self.word_ids[word] = "".join(map(numbers, ids))
+            self.word_tokens[word] = "".join(map(names, ids))
 
     def learn(self, chunks: set[bytes]) -> None:
-        plain, texts, pieces = [], [], {}
+        plain, texts, other = [], [], {}
         match, added = self.PLAIN.fullmatch, bool(self.added)
         for chunk in chunks:
             text = chunk.decode()
-            if match(text) and not (added and b"<|" in chunk):
+            if match(text) and not (added and "<|" in text):
                 plain.append(chunk)
                 texts.append(text)
             else:
-                pieces[chunk] = self.pieces(chunk)
-        words, other = self.words, {p for ps in pieces.values() for p in ps if p.__class__ is str}
-        if plain:
-            found = self.plain_pieces(texts)
-            new = {w for ps in found for w in ps}.difference(words)
-            spelled = {w: w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in new}
-            other.update(spelled.values())
-            pieces.update(zip(plain, found))
-        fresh = self.trie.encode_words(other.difference(words))
-        words.update(fresh)
-        if plain:
-            words.update({w: words[t] for w, t in spelled.items() if w is not t})
-        numbers, names, table = self.numbers.__getitem__, self.names.__getitem__, self.chunks
-        for chunk, ps in pieces.items():
-            ids = words[ps[0]] if len(ps) == 1 and ps[0].__class__ is str else [i for p in ps for i in ((p,) if p.__class__ is int else words[p])]
-            table[chunk] = ("".join(map(numbers, ids)), "".join(map(names, ids)))
-        if len(words) > WORDS:
-            words.clear()
-        for word in [w for w in fresh if len(w) > LONG]:
-            words.pop(word, None)
+                other[chunk] = self.pieces(chunk)
+        if plain:  # all at once: line feeds part the chunks before and after
+            flat = self.PLAIN_WORDS.findall("\n".join(texts).lower())
+            self.spell({w: w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in set(flat).difference(self.word_ids)})
+            self.chunk_ids.update(zip(plain, "".join(map(self.word_ids.__getitem__, flat)).split("\n")))
+            self.chunk_tokens.update(zip(plain, "".join(map(self.word_tokens.__getitem__, flat)).split("\n")))
+        # spelled pre-tokens are kept under a mark, as a plain word of the same letters is spelled otherwise
+        self.spell({"\n" + p: p for p in {p for ps in other.values() for p in ps if p.__class__ is str} if "\n" + p not in self.word_ids})
+        for chunk, ps in other.items():
+            self.chunk_ids[chunk] = "".join([self.numbers[p] if p.__class__ is int else self.word_ids["\n" + p] for p in ps])
+            self.chunk_tokens[chunk] = "".join([self.names[p] if p.__class__ is int else self.word_tokens["\n" + p] for p in ps])
+        if len(self.word_ids) > WORDS:
+            self.forget_words()
+
+    def forget_words(self) -> None:
+        for table in (self.word_ids, self.word_tokens):
+            table.clear()
+            table["\n"] = "\n"
 
     def forget(self) -> None:
         """Empty the tables; what comes from the vocabulary stays."""
-        self.chunks.clear()
-        self.words.clear()
+        self.forget_words()
+        self.chunk_ids.clear()
+        self.chunk_tokens.clear()
         self.trie.apart.clear()
 
     def know(self, chunks: set[bytes]) -> None:
         """Put the chunks into the table; when it is full, only those of them that it has stay."""
-        new = chunks.difference(self.chunks)
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks = {c: self.chunks[c] for c in chunks.difference(new)}
+        new = chunks.difference(self.chunk_ids)
+        if len(self.chunk_ids) + len(new) > CHUNKS:
+            kept = chunks.difference(new)
+            self.chunk_ids, self.chunk_tokens = ({c: table[c] for c in kept} for table in (self.chunk_ids, self.chunk_tokens))
         if new:
             self.learn(new)
 
@@ -316,8 +317,13 @@ class TextEncoder:
                 upto += 1
             self.know(wanted)
             out += map(self.encode_chunks, texts[at:upto])
-            for chunk in [c for c in wanted if len(c) > LONG]:
-                self.chunks.pop(chunk, None)
+            long = [c for c in wanted if len(c) > LONG]
+            for chunk in long:
+                self.chunk_ids.pop(chunk, None)
+                self.chunk_tokens.pop(chunk, None)
+            if long:
+                for word in [w for w in self.word_ids if len(w) > LONG]:
+                    del self.word_ids[word], self.word_tokens[word]
             at = upto
         return out
 
@@ -327,9 +333,8 @@ class TextEncoder:
             part = chunks[at : at + CHUNKS]
             if at:
                 self.know(set(part))
-            found = [*zip(*map(self.chunks.__getitem__, part))]
-            ids.append("".join(found[0]))
-            tokens.append("".join(found[1]))
+            ids.append("".join(map(self.chunk_ids.__getitem__, part)))
+            tokens.append("".join(map(self.chunk_tokens.__getitem__, part)))
         ids, tokens = "".join(ids), "".join(tokens)
         return ids.count(" "), ids[:-1], tokens[:-1]
 
