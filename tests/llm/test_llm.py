@@ -366,3 +366,18 @@ def test_false_discoveries_are_controlled_over_all_documents():
     assert secrets._cut({0: 10_000}) == -1
     assert secrets._cut({0: 9_000, 400: 1_000}) == 10 ** (-400 / secrets.STEPS)
     assert secrets._cut({0: 10_000, 150: 1}) == -1 and secrets._cut({150: 1}) == 10 ** (-150 / secrets.STEPS)  # alone a run passes that among many does not
+
+
+def test_bpe_of_random_texts():
+    """Ids and decoding of texts of odd characters, by the library and by the trie."""
+    from tokenizers import Tokenizer
+
+    file = tokenizer_file("word_bpe_49k.json")
+    encoder, library, draw = bpe_trie.TextEncoder(file), Tokenizer.from_file(file), random.Random(5)
+    pool = [chr(c) for c in (*range(32, 127), 9, 10, 13, 0xA0, 0x85, 0xE9, 0xC9, 0xDF, 0x130, 0x131, 0x300, 0x1E9E, 0x4E2D, 0x2028, 0x3000, 0x1F600, 0x200D, 0xFB01, 0x2160, 0x660, 0xAD, 0x0, 0x1C)] + ["'s", "'ll", "<|endoftext|>", "the ", "ing "]
+    texts = ["".join(draw.choices(pool, k=draw.randrange(40))) for _ in range(5000)] + ["x" * 5000, "ab " * 50000, ""]
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        for text, (n, ids, decoded) in zip(part, encoder.encode_split([t.encode().split() for t in part]), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
