@@ -54,9 +54,8 @@ def held(name: tuple, make):
 @lru_cache(maxsize=1)
 def _libc():
     import ctypes
-    import ctypes.util
 
-    return ctypes.CDLL(ctypes.util.find_library("c"))
+    return ctypes.CDLL(None)  # what this process has loaded
 
 
 def memory_returned() -> None:
