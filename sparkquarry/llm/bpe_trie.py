@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from .common import held, memory_returned, small_batches, text_or_empty
 
 #: Entries that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
-CHUNKS, WORDS, PAIRS = 300_000, 200_000, 300_000
+CHUNKS, WORDS, PAIRS = 250_000, 160_000, 200_000
 #: Bytes of a chunk or pre-token that is kept after its texts are done.
 LONG = 200
 #: Bytes of text whose new words make one trie; a text is not cut.
-TRIE_BYTES = 2_000_000
+TRIE_BYTES = 1_000_000
 
 #: Rank of merges that never happen.
 NEVER = 1 << 60
@@ -34,7 +34,6 @@ class TrieBpe:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.vocab, self.end = vocab, end
-        self.rank = {tuple(m): i for i, m in enumerate(merges)}
         cut = len(end)
         self.final = {t[:-cut]: i for t, i in vocab.items() if t.endswith(end) and len(t) > cut} if end else {}
         self.inner = {t: i for t, i in vocab.items() if not (end and t.endswith(end) and len(t) > cut)}
@@ -72,9 +71,10 @@ class TrieBpe:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The plain merges, lowest rank first, leftmost of equals."""
-        rank, out = self.rank, list(symbols)
+        vocab, out = self.vocab, list(symbols)
+        rank = lambda a, b: self.pairs.get((vocab.get(a), vocab.get(b)), NEVER)
         while len(out) > 1:
-            best, at = min((rank.get((a, b), NEVER), i) for i, (a, b) in enumerate(zip(out, out[1:])))
+            best, at = min((rank(a, b), i) for i, (a, b) in enumerate(zip(out, out[1:])))
             if best == NEVER:
                 break
             out[at : at + 2] = [out[at] + out[at + 1]]
@@ -352,7 +352,7 @@ def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str
 
     def run(batches):
         encoder = encoder_of(file)
-        for batch in batches:
+        for number, batch in enumerate(batches, 1):
             texts, at = batch.column(1), 0
             while at < len(texts):
                 part, size = [], 0
@@ -362,6 +362,8 @@ def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str
                     part.append(text.split())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns(encoder.encode_split(part))], names=names)
                 at += len(part)
+            if number % 8 == 0:
+                memory_returned()
         encoder.forget()
         memory_returned()
 
