@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 from ..ship import to_workers
 
@@ -135,6 +136,26 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def _width(name: str, kind: DataType) -> Column:
+    """Bytes of a column's values, those of nested values too."""
+    col, text = F.col(f"`{name}`"), (StringType, BinaryType)
+    if isinstance(kind, text):
+        own = F.octet_length(col)
+    elif isinstance(kind, ArrayType):
+        own = F.aggregate(col, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 8) if isinstance(kind.elementType, text) else F.size(col) * 8
+    else:
+        own = F.lit(0)
+    return F.coalesce(own, F.lit(0)).cast("long") + 16
+
+
+def broadcast_small(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """Broadcast df, made of plain values, strings and arrays of them, only if it is counted to have at most ``rows`` rows and
+    ``size`` bytes in all; else the planner shuffles it. Reads no more than ``rows`` plus one rows."""
+    width = sum((_width(f.name, f.dataType) for f in df.schema), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, rows: int = 500_000) -> DataFrame:
     """The rows of docs whose id is none of ``gone``, a frame of one column, with all their columns, whatever their names.
 

@@ -98,11 +98,70 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    docs = common.table(spark, sf_dir, "documents")
+    return merkle.verified_rows(docs, common.remainder("doc_id", 2) == 0, ["doc_id", "source", "lang", "n_chars", "text"])
+
+
+#: CRC-32 of a decimal number by its digits, bit by bit, and the rows' leaves and trees level by level.
+OP12_SQL = r"""
+WITH RECURSIVE field_rows AS (
+  SELECT doc_id, source, coalesce('s' || source, '-') AS tree, text,
+    [coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+     coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')] AS head,
+    list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')],
+      lambda a, c: list_reduce([xor(a, c)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, b: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, tree, sha256(array_to_string(head, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 2 = 0
+      THEN sha256(array_to_string(head, '') || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM field_rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+own AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM own WHERE n > 1 GROUP BY tree, level, idx // 3),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM own WHERE n = 1),
+top AS (
+  SELECT 0 AS level, idx, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, idx // 3),
+sides AS (
+  SELECT p.doc_id, p.tree, p.leaf, p.idx AS pos, o.level,
+    coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx < p.idx // (3 ** o.level)::BIGINT), '') AS l,
+    coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx > p.idx // (3 ** o.level)::BIGINT), '') AS r
+  FROM placed p JOIN own o ON o.tree = p.tree AND o.n > 1 AND o.idx // 3 = p.idx // (3 ** (o.level + 1))::BIGINT GROUP BY ALL),
+top_sides AS (
+  SELECT s.tree, t.level,
+    coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx < s.idx // (3 ** t.level)::BIGINT), '') AS l,
+    coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx > s.idx // (3 ** t.level)::BIGINT), '') AS r
+  FROM subroots s JOIN top t ON t.n > 1 AND t.idx // 3 = s.idx // (3 ** (t.level + 1))::BIGINT GROUP BY ALL),
+paths AS (
+  SELECT p.tree, p.idx, any_value(p.doc_id) AS doc_id, any_value(p.leaf) AS leaf, any_value(p.changed) AS changed,
+    list({'l': x.l, 'r': x.r} ORDER BY x.level) FILTER (x.level IS NOT NULL) AS proof
+  FROM placed p LEFT JOIN (
+    SELECT tree, pos, level, l, r FROM sides
+    UNION ALL
+    SELECT q.tree, q.idx, 1000 + t.level, t.l, t.r FROM placed q JOIN top_sides t ON t.tree = q.tree) x ON x.tree = p.tree AND x.pos = p.idx
+  GROUP BY p.tree, p.idx),
+folds AS (
+  SELECT tree, idx, doc_id, leaf, coalesce(proof, []) AS proof, coalesce(changed, leaf) AS h, 1 AS i FROM paths
+  UNION ALL
+  SELECT tree, idx, doc_id, leaf, proof, sha256(proof[i].l || h || proof[i].r), i + 1 FROM folds WHERE i <= len(proof))
+SELECT f.doc_id, f.leaf, s.subroot, r.h AS root, sha256(array_to_string([x.l || x.r FOR x IN f.proof], '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM folds f JOIN subroots s USING (tree), (SELECT h FROM top WHERE n = 1) r WHERE f.i > len(f.proof)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_exact_dedup, op3_language_id, op4_secret_scan, op5_near_dedup,
         op6_decontamination, op7_chat_formatting, op8_bpe_encoding, op9_html_extraction, op10_lm_scoring,
+        op12_merkle_manifest,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op12_merkle_manifest": OP12_SQL}
