@@ -98,6 +98,36 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    index = lexical.build(common.table(spark, sf_dir, "documents"))
+    try:
+        return lexical.ranked(common.table(spark, sf_dir, "benchmark"), index)
+    finally:
+        lexical.forget(index)
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+total AS (SELECT count(*)::BIGINT AS nn, sum(len(words))::BIGINT AS ll FROM d WHERE len(words) > 0),
+p AS (SELECT doc, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+i AS (
+  SELECT DISTINCT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term, nn),
+s AS (
+  SELECT item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), total GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
@@ -161,7 +191,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_exact_dedup, op3_language_id, op4_secret_scan, op5_near_dedup,
         op6_decontamination, op7_chat_formatting, op8_bpe_encoding, op9_html_extraction, op10_lm_scoring,
-        op12_merkle_manifest,
+        op11_lexical_search, op12_merkle_manifest,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
