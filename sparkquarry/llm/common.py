@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,25 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session's setting for the time of a block; what it was comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def shuffles_removed(spark: SparkSession):
+    """For the time of a block, shuffle files go with the query that wrote them rather than when the driver collects garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 _HELD: dict = {}
 
 
@@ -61,6 +81,9 @@ def _libc():
 
 def memory_returned() -> None:
     """Give what a worker's arrays and tables held back to the system, as the worker lives on; nothing without the GNU library."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         _libc().malloc_trim(0)
     except (AttributeError, OSError):

@@ -83,7 +83,7 @@ def test_blocks(spark, monkeypatch):
     docs = [(i, text(rng, 20)) for i in range(100)]
     whole = lexical._Block(0)
     for i, t in docs:
-        whole.add(i, terms(t))
+        whole.add(i, lexical.terms_of(t))
     import pyarrow as pa
 
     lists = pa.list_(pa.int32())
