@@ -186,12 +186,64 @@ FROM folds f JOIN subroots s USING (tree), (SELECT h FROM top WHERE n = 1) r WHE
 """
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.licence_digests(licences.scan(common.table(spark, sf_dir, "documents")))
+
+
+def op13_sql() -> str:
+    """Words by unnesting, phrases by looking ahead, notices by counts of all pairs of a file's and a notice's places."""
+    from . import licences as L
+
+    listed = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    templates = listed((i, n.label, at, w) for i, n in enumerate(L.NOTICES) for at, w in enumerate(L.words_of(n.text)))
+    mandatory = listed((i, " " + " ".join(L.words_of(p)) + " ") for i, n in enumerate(L.NOTICES) for p in n.mandatory)
+    phrases = listed((" ".join(L.words_of(p)), label, len(L.words_of(p))) for p, label in L.PHRASES)
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+w AS MATERIALIZED (SELECT doc, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
+phrase(phrase, label, size) AS (VALUES {phrases}),
+base AS (
+  SELECT doc, pos, label FROM (
+    SELECT doc, pos, word || ' ' || CASE WHEN lead(pos, 2) OVER o = pos + 2 THEN lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o END AS three,
+      CASE WHEN lead(pos, 3) OVER o = pos + 3 THEN lead(word, 3) OVER o END AS fourth
+    FROM w WHERE word IN (SELECT unnest(string_split(phrase, ' ')) FROM phrase) WINDOW o AS (PARTITION BY doc ORDER BY pos)
+  ) JOIN phrase ON phrase = CASE WHEN size = 3 THEN three ELSE three || ' ' || fourth END),
+template(t, label, nth, word) AS (VALUES {templates}),
+mandatory(t, phrase) AS (VALUES {mandatory}),
+df AS (SELECT word, count(DISTINCT doc) AS df FROM w WHERE word IN (SELECT word FROM template) GROUP BY word),
+rare AS (
+  SELECT t, word, floor(1000 * ln((2 * (SELECT count(*) FROM d) + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT DISTINCT t, word FROM template) JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, word) <= {L.RARE}),
+postings AS (SELECT t, label, nth, word, weight FROM template JOIN rare USING (t, word)),
+totals AS (SELECT t, sum(weight) AS total FROM postings GROUP BY t),
+lined AS (
+  SELECT doc, t, label, sum(weight) AS lined FROM (
+    SELECT DISTINCT doc, t, label, shift, (pos - nth + {L.BASE} + shift) // {L.SLACK} AS bin, nth, weight FROM w JOIN postings USING (word), (VALUES (0), ({L.SLACK // 2})) s(shift))
+  GROUP BY doc, t, label, shift, bin),
+able AS MATERIALIZED (SELECT doc, t, label, max(lined / total) AS share FROM lined JOIN totals USING (t) WHERE total > 0 AND lined / total >= {L.LEAST} GROUP BY doc, t, label),
+lacking AS (
+  SELECT doc, t FROM (SELECT doc, ' ' || array_to_string(words, ' ') || ' ' AS line FROM d WHERE doc IN (SELECT doc FROM able)) JOIN able USING (doc) JOIN mandatory USING (t)
+  WHERE NOT contains(line, phrase)),
+found AS (SELECT doc, label, max(share) AS share FROM able a WHERE NOT EXISTS (SELECT 1 FROM lacking l WHERE l.doc = a.doc AND l.t = a.t) GROUP BY doc, label),
+b AS (SELECT doc, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label ORDER BY label) AS labels FROM base GROUP BY doc),
+f AS (SELECT doc, list(DISTINCT label ORDER BY label) AS labels, max(share) AS share FROM found GROUP BY doc)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ',') AS labels, greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc) LEFT JOIN f USING (doc)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_exact_dedup, op3_language_id, op4_secret_scan, op5_near_dedup,
         op6_decontamination, op7_chat_formatting, op8_bpe_encoding, op9_html_extraction, op10_lm_scoring,
-        op11_lexical_search, op12_merkle_manifest,
+        op11_lexical_search, op12_merkle_manifest, op13_license_scan,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_license_scan": op13_sql()}
