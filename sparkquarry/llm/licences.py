@@ -7,6 +7,7 @@ mandatory phrases are looked for in the file.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from .common import broadcast_small, lower_ascii, removed, text_or_empty, writte
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Indexed words of a template, and share of their weight that must line up.
-RARE, LEAST = 12, 0.6
+#: Most indexed words of a template, least tenths of its greatest weight that they have, and share of their weight that must line up.
+RARE, TENTHS, LEAST = 12, 4, 0.6
 #: Words by which parts of a notice may be shifted against each other (up to half of it always counts as lined up).
 SLACK = 8
 #: Added to relative positions, so that they aren't negative: more than the words of any template.
@@ -75,21 +76,23 @@ def _listed(values) -> str:
 
 def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
     """Number of rows that have each of the words; a number a word of the templates goes to the driver."""
-    own = docs.select(words(text_or_empty(F.col(f"`{text_col}`"))).alias("w")).select(F.explode(F.expr(f"array_distinct(filter(w, x -> x in ({_listed(vocabulary)})))")).alias("word"))
+    own = docs.select(words(text_or_empty(F.col(f"`{text_col}`"))).alias("w")).select(F.explode(F.expr(f"array_intersect(w, array({_listed(vocabulary)}))")).alias("word"))
     return {r["word"]: r["count"] for r in own.groupBy("word").count().collect()}
 
 
 def index_of(notices: tuple[Notice, ...], df: dict[str, int], n: int) -> list[tuple[str, int, int, int]]:
     """Postings (word, template, position, weight) of each template's RARE words of highest weight among those that the corpus
-    has, ties by word. The weight is the inverse document frequency in thousandths."""
-    import math
-
+    has, ties by word, without such as have less than TENTHS of the greatest. The weight is the inverse document frequency in
+    thousandths. A template with a mandatory word that no file has is in no file, and has no postings.
+    """
     out = []
     for number, notice in enumerate(notices):
         own = words_of(notice.text)
-        rare = sorted({w for w in own if df.get(w)}, key=lambda w: (df[w], w))[:RARE]
-        weight = {w: math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) for w in rare}
-        out += [(w, number, at, weight[w]) for at, w in enumerate(own) if w in weight]
+        if all(df.get(w) for p in notice.mandatory for w in words_of(p)):
+            rare = sorted({w for w in own if df.get(w)}, key=lambda w: (df[w], w))[:RARE]
+            weight = {w: math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) for w in rare}
+            most = max(weight.values(), default=0)
+            out += [(w, number, at, weight[w]) for at, w in enumerate(own) if 10 * weight.get(w, -1) >= TENTHS * most]
     return out
 
 
@@ -119,7 +122,9 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col: str = "
     postings = index_of(notices, df, docs.count())
     phrases = sorted({" ".join(words_of(p)) for n in notices for p in n.mandatory})
     indexed = sorted({p[0] for p in postings})
-    hits = f"filter(transform(w, (x, i) -> if(x in ({_listed(indexed)}), struct(x as word, i as pos), null)), x -> x is not null)" if indexed else "cast(array() as array<struct<word:string,pos:int>>)"
+    none = "cast(array() as array<struct<word:string,pos:int>>)"
+    places = f"filter(transform(w, (x, i) -> if(x in ({_listed(indexed)}), struct(x as word, i as pos), null)), x -> x is not null)"
+    hits = f"if(size(array_intersect(w, array({_listed(indexed)}))) = 0, {none}, {places})" if indexed else none
     held = f"filter(array({_listed(phrases)}), p -> contains(concat(' ', array_join(w, ' '), ' '), concat(' ', p, ' ')))" if phrases else "cast(array() as array<string>)"
     base = f"array_sort(concat({', '.join(_places(p, i) for i, (p, _) in enumerate(PHRASES))}))"
     facts = F.expr(f"transform(array(w), w -> struct(size(w) as n_words, {base} as base, transform(array({hits}), h -> struct(h as hits, if(size(h) > 0, {held}, null) as phrases))[0] as h))[0]")

@@ -218,7 +218,9 @@ mandatory(t, phrase) AS (VALUES {mandatory}),
 df AS (SELECT word, count(DISTINCT doc) AS df FROM w WHERE word IN (SELECT word FROM template) GROUP BY word),
 rare AS (
   SELECT t, word, floor(1000 * ln((2 * (SELECT count(*) FROM d) + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
-  FROM (SELECT DISTINCT t, word FROM template) JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, word) <= {L.RARE}),
+  FROM (SELECT DISTINCT t, word FROM template) JOIN df USING (word)
+  WHERE t NOT IN (SELECT t FROM (SELECT t, unnest(string_split(trim(phrase), ' ')) AS word FROM mandatory) WHERE word NOT IN (SELECT word FROM df))
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, word) <= {L.RARE} AND 10 * weight >= {L.TENTHS} * max(weight) OVER (PARTITION BY t)),
 postings AS (SELECT t, label, nth, word, weight FROM template JOIN rare USING (t, word)),
 totals AS (SELECT t, sum(weight) AS total FROM postings GROUP BY t),
 lined AS (

@@ -21,9 +21,12 @@ def plain(docs, notices=L.NOTICES):
     indexes = []
     for notice in notices:
         own = L.words_of(notice.text)
+        if not all(df[w] for p in notice.mandatory for w in L.words_of(p)):
+            indexes.append([])
+            continue
         rare = sorted({w for w in own if df[w]}, key=lambda w: (df[w], w))[: L.RARE]
         weight = {w: math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * df[w] + 1))) for w in rare}
-        indexes.append([(w, at, weight[w]) for at, w in enumerate(own) if w in weight])
+        indexes.append([(w, at, weight[w]) for at, w in enumerate(own) if w in weight and 10 * weight[w] >= L.TENTHS * max(weight.values())])
     out = []
     for i, ws in files:
         line, base, found = f" {' '.join(ws)} ", [], {}
