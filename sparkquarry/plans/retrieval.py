@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import vectorindex as V
 from .base import query, table
 
 TOP = """SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
@@ -71,3 +72,31 @@ def path_similarity(spark, sf_dir):
     paths = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 500).alias("items"))
     found = R.set_matches(paths.where("l_orderkey % 100 = 0"), paths, 0.25, "l_orderkey", "l_orderkey", "items")
     return found.select(F.col("query_id").alias("flow"), F.col("row_id").alias("path"), F.round("similarity", 6).alias("similarity"))
+
+
+def _indexed(spark, sf_dir, **search):
+    """Each hundredth vector against an index of all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = V.build(vectors)
+    if not search:
+        search = {"nprobe": V.probes_for(queries, index, 10)}
+    return V.search(queries, index, 10, **search).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def ivf_topk(spark, sf_dir):
+    """The nearest lists alone, as many as a sample of the queries needs; the tests hold recall to 0.9 of the exact rows."""
+    return _indexed(spark, sf_dir)
+
+
+@query(TOP.format(k=10))
+def ivf_exact_topk(spark, sf_dir):
+    """Few lists at first, then those that the bounds leave."""
+    return _indexed(spark, sf_dir, nprobe=4, exact=True)
+
+
+@query(TOP.format(k=10).replace("CROSS JOIN embeddings v)", "CROSS JOIN (SELECT * FROM embeddings WHERE label = 3 OR label > 7) v)"))
+def ivf_filtered_topk(spark, sf_dir):
+    """Of some labels: the condition is applied by the scan of the lists."""
+    return _indexed(spark, sf_dir, nprobe=4, exact=True, condition="label = 3 OR label > 7")
