@@ -8,47 +8,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Depth of braces that a body's pattern follows.
-DEPTH = 6
-
-
-def braces(depth: int = DEPTH) -> str:
-    """Pattern of a block with balanced braces, nested at most so deep."""
-    return r"\{[^{}]*+\}" if depth == 1 else rf"\{{[^{{}}]*+(?:{braces(depth - 1)}[^{{}}]*+)*+\}}"
-
+from .structure import headed, masked, newlines, spans
 
 #: How the language writes functions, modifiers, events and contracts.
-FUNCTION = r"\bfunction\s+(\w+)\s*\(([^)]*)\)([^{};]*)(" + braces() + ")"
-MODIFIER = r"\bmodifier\s+(\w+)\s*\(([^)]*)\)\s*(" + braces() + ")"
+FUNCTION = r"\bfunction\s+(\w+)\s*\(([^)]*)\)([^{};]*)"
+MODIFIER = r"\bmodifier\s+(\w+)\s*\(([^)]*)\)\s*"
 EVENT = r"\bevent\s+(\w+)\s*\(([^)]*)\)\s*;"
-CONTRACT = r"\b(contract|interface|library)\s+(\w+)(?:\s+is\s+([^{]*?))?\s*(" + braces() + ")"
-
-
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+CONTRACT = r"\b(contract|interface|library)\s+(\w+)(?:\s+is\s+([^{;]*?))?\s*"
 
 
-def matches(text: Column, pattern: str, *names: str) -> Column:
-    r"""Array of (ordinal, start_line, end_line, whole, groups by name) of the leftmost non-overlapping matches.
-
-    ``\G`` ties each match to the one before, so that gaps and matches cover the text and line feeds add up to line numbers.
-    """
-    whole = r"\G(?s:(.*?))(" + pattern + ")"
-    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias(n) for i, n in enumerate(["gap", "whole", *names], 1)))
-    row = "struct<ordinal:int,start_line:int,end_line:int,whole:string," + ",".join(f"{n}:string" for n in names) + ">" if names else "struct<ordinal:int,start_line:int,end_line:int,whole:string>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["line"] + newlines(x["gap"])
-        found = F.struct(F.size(acc["out"]).alias("ordinal"), start.alias("start_line"), (start + newlines(x["whole"])).alias("end_line"), x["whole"].alias("whole"), *(x[n].alias(n) for n in names))
-        return F.struct((start + newlines(x["whole"])).alias("line"), F.concat(acc["out"], F.array(found).cast(f"array<{row}>")).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(1).alias("line"), F.array().cast(f"array<{row}>").alias("out")), step, lambda acc: acc["out"])
+def rows_of(files: DataFrame, text_col: str, pattern: str, *names: str, scan: Column | None = None) -> DataFrame:
+    """One row a match in ``scan``, the text by default: ordinal, start_line, end_line, whole, groups by name, beside the columns
+    of files but the text."""
+    kept = [c for c in files.columns if c != text_col]
+    found = spans(F.col(text_col) if scan is None else scan, pattern, *names)
+    return files.select(*kept, F.posexplode(found).alias("ordinal", "m")).select(*kept, "ordinal", "m.start_line", "m.end_line", "m.whole", *(f"m.{n}" for n in names))
 
 
-def rows_of(files: DataFrame, text_col: str, pattern: str, *names: str) -> DataFrame:
-    """One row a match, beside the columns of files but the text: ordinal, start_line, end_line, whole, groups by name."""
+def blocks_of(files: DataFrame, text_col: str, header: str, *names: str) -> DataFrame:
+    """One row a header with its block, at any depth, beside the columns of files but the text."""
     kept = [c for c in files.columns if c != text_col]
-    return files.select(*kept, F.explode(matches(F.col(text_col), pattern, *names)).alias("m")).select(*kept, "m.*")
+    found = files.select(*kept, F.explode(headed(F.col(text_col), header, *names)).alias("m"))
+    return found.select(*kept, "m.ordinal", "m.start_line", "m.end_line", "m.whole", *(f"m.{n}" for n in names), "m.body")
 
 
 # Functions
@@ -75,15 +56,15 @@ def signature(name: Column, parameters: Column, attributes: Column) -> Column:
 
 def functions(files: DataFrame, text_col: str = "content") -> DataFrame:
     """One row a function: name, parameters, attributes, body, lines, visibility (public by default), flags of its attributes,
-    is_empty, loc and signature. Bodies are whole, with nested braces."""
-    rows = rows_of(files, text_col, FUNCTION, "name", "parameters", "attributes", "body")
+    is_empty, loc and signature. Bodies are whole, at any depth; what stands in strings and comments isn't code."""
+    rows = blocks_of(files, text_col, FUNCTION, "name", "parameters", "attributes")
     visibility = F.coalesce(F.nullif(F.regexp_extract("attributes", r"\b(public|private|internal|external)\b", 1), F.lit("")), F.lit("public"))
     flags = {f"is_{w}": F.col("attributes").contains(w) for w in ("view", "pure", "payable")}
     return rows.withColumns({"visibility": visibility, **flags, "is_empty": is_empty_function(F.col("whole")), "loc": lines_of_code(F.col("whole")), "signature": signature(F.col("name"), F.col("parameters"), F.col("attributes"))})
 
 
 def modifiers(files: DataFrame, text_col: str = "content") -> DataFrame:
-    return rows_of(files, text_col, MODIFIER, "name", "parameters", "body").withColumn("parameters", F.trim("parameters"))
+    return blocks_of(files, text_col, MODIFIER, "name", "parameters").withColumn("parameters", F.trim("parameters"))
 
 
 def indexed_parameters(parameters: Column) -> Column:
@@ -93,12 +74,12 @@ def indexed_parameters(parameters: Column) -> Column:
 
 
 def events(files: DataFrame, text_col: str = "content") -> DataFrame:
-    return rows_of(files, text_col, EVENT, "name", "parameters").withColumn("indexed", indexed_parameters(F.col("parameters"))).withColumn("parameters", F.trim("parameters"))
+    return rows_of(files, text_col, EVENT, "name", "parameters", scan=masked(F.col(text_col))).withColumn("indexed", indexed_parameters(F.col("parameters"))).withColumn("parameters", F.trim("parameters"))
 
 
 def contracts(files: DataFrame, text_col: str = "content") -> DataFrame:
     """One row a contract, interface or library: kind, name, parents (array), body, lines."""
-    rows = rows_of(files, text_col, CONTRACT, "kind", "name", "bases", "body")
+    rows = blocks_of(files, text_col, CONTRACT, "kind", "name", "bases")
     parents = F.filter(F.transform(F.split(F.coalesce("bases", F.lit("")), ","), lambda p: F.regexp_extract(p, r"\w+", 0)), lambda p: p != "")
     return rows.withColumn("parents", parents).drop("bases")
 
@@ -131,9 +112,9 @@ def lines(files: DataFrame, text_col: str = "content") -> DataFrame:
 
 def comments(files: DataFrame, text_col: str = "content") -> DataFrame:
     """One row a comment: kind (block, inline or natspec), text, start_line, end_line. A ``///`` line gives an inline and a
-    natspec row; ``//`` inside a block, or after ``:`` as in an address, opens none."""
+    natspec row; ``//`` or ``/*`` inside a block or a string, or after ``:`` as in an address, opens none."""
     pattern = r"/\*(?s:(.*?))\*/|(?<!:)//(/?)([^\n]*)"
-    rows = rows_of(files, text_col, pattern, "block", "third", "inline")
+    rows = rows_of(files, text_col, pattern, "block", "third", "inline", scan=masked(F.col(text_col), comments=False))
     block = rows.where("whole like '/*%'").select("*", F.when(F.col("whole").startswith("/**"), "natspec").otherwise("block").alias("kind"), F.regexp_replace(F.regexp_replace("block", r"(?m)^\s*\*+ ?", ""), r"^\s+|\s+$", "").alias("text"))
     line = rows.where("whole like '//%'").select("*", F.explode(F.when(F.col("third") == "/", F.array(F.lit("inline"), F.lit("natspec"))).otherwise(F.array(F.lit("inline")))).alias("kind"), F.trim("inline").alias("text"))
     return block.unionByName(line).drop("block", "third", "inline", "whole", "ordinal")

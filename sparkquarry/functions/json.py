@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .code import braces
+from .structure import blocks, bound, masked
 
 
 #: Ordered repairs of what isn't quite JSON.
@@ -30,7 +30,8 @@ def extracted(text: Column) -> Column:
     balanced object, else the text without the escapes of a text in a text; each repaired if need be."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare, listed = F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    balanced = F.regexp_extract(text, f"({braces()})", 1)
+    outer = lambda code: F.filter(blocks(code), lambda b: b["depth"] == 1)
+    balanced = bound(F.get(outer(masked(text, comments=False)), F.lit(0)), lambda b: F.substr(text, b["open"] + 1, b["close"] - b["open"] + 1))
     unescaped = F.replace(F.regexp_replace(text, r'^"|"$', ""), F.lit('\\"'), F.lit('"'))
     candidates = [c for raw in (text, fenced, bare, listed, balanced, unescaped) for c in (raw, repaired(raw))]
     good = [F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]"), c) for c in candidates]

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.structure import ESCAPED, LITERAL, headed
 from ..ship import to_workers
 
 
@@ -56,37 +57,38 @@ def split_at_delimiters(text: str, limit: int, delimiters: str = "\n;}") -> list
     return [*pieces, text[at:]] if at < len(text) else pieces
 
 
-SCOPE = re.compile(r"\b(contract|interface|library)\s+(\w+)[^{;]*\{")
+SCOPE = r"\b(contract|interface|library)\s+(\w+)[^{;]*"
 
 
-def balanced(text: str, opening: int) -> int:
-    """Offset after the brace that closes the one at ``opening``; the end of the text if none does."""
+def hidden(text: str) -> str:
+    """The text with blanks for strings and comments, as functions/structure.masked() gives it for a column."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    return re.sub(LITERAL.replace(r"\z", r"\Z"), blank, re.sub(ESCAPED, "  ", text))
+
+
+def balanced(code: str, opening: int) -> int:
+    """Offset after the brace that closes the one at ``opening`` of masked code; the end of the text if none does."""
     depth = 0
-    for m in re.compile(r"[{}]").finditer(text, opening):
+    for m in re.compile(r"[{}]").finditer(code, opening):
         depth += 1 if m[0] == "{" else -1
         if depth == 0:
             return m.end()
-    return len(text)
+    return len(code)
 
 
 def scopes(text: str) -> list[tuple[str, str, int, int, str]]:
-    """(kind, name, start_line, end_line, code) of each scope, by balanced braces."""
-    out = []
-    for m in SCOPE.finditer(text or ""):
-        end = balanced(text, m.end() - 1)
+    """(kind, name, start_line, end_line, code) of each scope, by balanced braces outside of strings and comments."""
+    out, code = [], hidden(text or "")
+    for m in re.finditer(SCOPE + r"\{", code):
+        end = balanced(code, m.end() - 1)
         out.append((m[1], m[2], text.count("\n", 0, m.start()) + 1, text.count("\n", 0, end) + 1, text[m.start() : end]))
     return out
 
 
 def scope_chunks(files: DataFrame, text_col: str = "content") -> DataFrame:
     """One row a scope: kind, name, start_line, end_line, code."""
-    to_workers(files.sparkSession)
-
-    @F.pandas_udf("array<struct<kind:string,name:string,start_line:int,end_line:int,code:string>>")
-    def cut(texts):
-        return texts.map(lambda t: [dict(zip(("kind", "name", "start_line", "end_line", "code"), s)) for s in scopes(t)])
-
-    return files.withColumn("scope", F.explode(cut(F.col(text_col)))).select(*files.columns, "scope.*")
+    found = files.select("*", F.explode(headed(F.col(text_col), SCOPE, "kind", "name")).alias("scope"))
+    return found.select(*files.columns, "scope.kind", "scope.name", "scope.start_line", "scope.end_line", F.col("scope.whole").alias("code"))
 
 
 def line_number(text: Column, offset: Column) -> Column:
@@ -95,14 +97,14 @@ def line_number(text: Column, offset: Column) -> Column:
     return F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
 
 
-FUNCTION = re.compile(r"\bfunction\s+(\w+)\s*\([^)]*\)[^{};]*\{")
+FUNCTION = r"\bfunction\s+(\w+)\s*\([^)]*\)[^{};]*"
 
 
 def function_scopes(text: str, line: int = 1) -> list[tuple[str, int, int, str]]:
     """(name, start_line, end_line, code) of each function, by balanced braces; ``line`` is that of the text's start."""
-    out, at = [], 0
-    while m := FUNCTION.search(text, at):
-        at = balanced(text, m.end() - 1)
+    out, at, code = [], 0, hidden(text)
+    while m := re.compile(FUNCTION + r"\{").search(code, at):
+        at = balanced(code, m.end() - 1)
         out.append((m[1], line + text.count("\n", 0, m.start()), line + text.count("\n", 0, at), text[m.start() : at]))
     return out
 
@@ -176,7 +178,10 @@ def _exploded(files: DataFrame, text_col: str, cut, schema: str) -> DataFrame:
 
 
 def function_chunks(files: DataFrame, text_col: str = "content") -> DataFrame:
-    return _exploded(files, text_col, function_scopes, "name:string,start_line:int,end_line:int,code:string")
+    """One row a function, nested ones too: chunk_index, name, start_line, end_line, code."""
+    kept = [c for c in files.columns if c != text_col]
+    found = files.select(*kept, F.explode(headed(F.col(text_col), FUNCTION, "name")).alias("f"))
+    return found.select(*kept, F.col("f.ordinal").alias("chunk_index"), "f.name", "f.start_line", "f.end_line", F.col("f.whole").alias("code"))
 
 
 def cascade_chunks(files: DataFrame, limit: int, text_col: str = "content") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions import structure as S
 from ..operators import chunking, taint
 from .base import query, table
 
@@ -260,3 +261,19 @@ def code_cascade_chunks(spark, sf_dir):
     over the limit are held against loops in the tests."""
     made = files(spark, sf_dir).where("file_id > 0")
     return chunking.cascade_chunks(made, 480).select("file_id", "kind", "name", F.md5("code").alias("digest"))
+
+
+#: A file a part, with blocks as deep as its size, and braces in strings and comments.
+NESTED = """concat('contract N', cast(p_partkey AS string), ' { // } {', chr(10), ' string s = "}{";', chr(10), ' function f() public ', repeat(concat('{', chr(10)), p_size), ' x; ', repeat(concat('}', chr(10)), p_size),
+ ' function g() { /* } */ } }')"""
+
+
+@query("""SELECT p_partkey AS file_id, name, start_line::INT AS start_line, end_line::INT AS end_line FROM part, LATERAL (
+  VALUES ('f', 3, 2 * p_size + 2), ('g', 2 * p_size + 3, 2 * p_size + 3), ('N' || p_partkey, 1, 2 * p_size + 3), ('blocks and depth', p_size + 2, p_size + 1)) v(name, start_line, end_line)""")
+def code_nested_blocks(spark, sf_dir):
+    """Functions, contracts and blocks of any depth, whatever strings and comments hold."""
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(NESTED).alias("content"))
+    columns = ["file_id", "name", "start_line", "end_line"]
+    blocks = files.select("file_id", S.blocks(S.masked(F.col("content"))).alias("b"))
+    counts = blocks.select("file_id", F.lit("blocks and depth").alias("name"), F.size("b").alias("start_line"), F.array_max(F.transform("b", lambda b: b["depth"])).alias("end_line"))
+    return C.functions(files).select(*columns).unionByName(C.contracts(files).select(*columns)).unionByName(counts)
