@@ -8,44 +8,62 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of risk, how a report names its rating, and words that hint at a weakness, a high and a low one.
-RATING = r"(?i)(?:risk|security)\s+(?:rating|assessment|level|score):\s*([A-Za-z]+)"
+from .structure import bound, spans
+
+#: Levels of risk, and words that hint at a weakness, a grave and a slight one.
+LEVELS = ("Critical", "High", "Medium", "Low", "Informational")
 WEAKNESS, GRAVE, SLIGHT = "vulnerability|exploit|attack|bug|issue|reentrancy|overflow|underflow|unsafe", "critical|severe|high", "low|minor|info"
-LEVELS = ("Critical", "High", "Medium", "Low")
+#: A line that begins a part of a report: a heading, or a name in bold that stands alone or before its text.
+HEADING = r"(?m)^[ \t]*(?:(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$|\*\*([^*\n]+?):?\*\*:?)"
+#: Names of the parts that are asked for, and of the field that has the rating.
+SUMMARIES, CONCLUSIONS = ("summary", "executive summary", "overview"), ("conclusion", "conclusions", "closing remarks")
+RATING = r"(?i)\b(?:risk|security)[ \t]+(?:rating|assessment|level|score)\**[ \t]*[:=][ \t\n*]*(\w+)"
 
 
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def section(text: Column, name: str) -> Column:
-    """What follows the heading or bold ``name`` up to the next heading or bold text; null without it."""
-    pattern = rf"(?is)(?:##?\s*{name}|\*\*{name}\*\*)(.*?)(?:##|\*\*|$)"
-    return F.when(text.rlike(pattern), trimmed(F.regexp_extract(text, pattern, 1)))
+def outline(text: Column) -> Column:
+    """Array of (level, title, body): the report's parts in order; a name in bold has level 7. What stands before the first one has level
+    0 and no title."""
+    def cut(found: Column) -> Column:
+        first = F.struct(F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(0).alias("start"))
+        heads = F.transform(found, lambda m: F.struct(F.when(m["marks"] != "", F.length(m["marks"])).otherwise(7).alias("level"), trimmed(F.concat(F.coalesce(m["heading"], F.lit("")), F.coalesce(m["bold"], F.lit("")))).alias("title"), m["end"].alias("start")))
+        begins = F.concat(F.transform(found, lambda m: m["start"]), F.array(F.length(text)))
+        return F.transform(F.arrays_zip(F.concat(F.array(first), heads).alias("h"), begins.alias("upto")), lambda z: F.struct(z["h"]["level"].alias("level"), z["h"]["title"].alias("title"), trimmed(F.substr(text, z["h"]["start"] + 1, z["upto"] - z["h"]["start"])).alias("body")))
+
+    return bound(spans(text, HEADING, "marks", "heading", "bold"), cut)
+
 
+def section(text: Column, names: Sequence[str]) -> Column:
+    """Body of the report's first part that has one of the names; null without such, or if it is empty."""
+    part = F.get(F.filter(outline(text), lambda p: F.lower(p["title"]).isin(*names) & (p["body"] != "")), F.lit(0))
+    return F.when(text.rlike("(?i)" + "|".join(names)), part["body"])
 
-def _paragraphs(text: Column) -> Column:
-    """Paragraphs that are neither headings nor lists nor bold, in order."""
-    return F.filter(F.transform(F.split(text, "\n\n"), lambda p: trimmed(p)), lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("*"))
 
+def prose(text: Column) -> Column:
+    """Paragraphs in order, without headings, names in bold, lists, quotes and tables."""
+    paragraphs = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: trimmed(p))
+    return F.filter(paragraphs, lambda p: ~p.rlike(r"^(?:$|[#*>|-]|\d+[.)])"))
 
-def summary(text: Column, limit: int = 500) -> Column:
-    """The summary section, else the first plain paragraph, cut to ``limit`` with three dots; a fixed text without either."""
-    found = F.coalesce(section(text, "Summary"), F.try_element_at(_paragraphs(text), F.lit(1)))
-    short = F.when(F.length(found) > limit, F.concat(F.substring(found, 1, limit - 3), F.lit("..."))).otherwise(found)
-    return F.coalesce(short, F.lit("No summary available"))
 
+def summary(text: Column, limit: int | None = None, default: str | None = None) -> Column:
+    """The part of that name, else the first paragraph of prose, else ``default``; longer ones end in three dots within ``limit``."""
+    found = F.coalesce(section(text, SUMMARIES), F.get(prose(text), F.lit(0)), F.lit(default))
+    return found if limit is None else bound(found, lambda s: F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s))
 
-def conclusion(text: Column) -> Column:
-    return F.coalesce(section(text, "Conclusion"), F.try_element_at(_paragraphs(text), F.lit(-1)), F.lit("No conclusion provided"))
 
+def conclusion(text: Column, default: str | None = None) -> Column:
+    """The part of that name, else the last paragraph of prose, else ``default``."""
+    return F.coalesce(section(text, CONCLUSIONS), F.try_element_at(prose(text), F.lit(-1)), F.lit(default))
 
-def risk_rating(text: Column) -> Column:
-    """The named rating if it is a known one, else the first level that the text calls overall or a risk, else Medium."""
+
+def risk_rating(text: Column, default: str | None = None) -> Column:
+    """The level that a rating names, else the gravest that stands before ``risk`` or behind ``overall``, else ``default``."""
     named = F.initcap(F.regexp_extract(text, RATING, 1))
-    low = F.lower(text)
-    mentioned = [F.when(low.contains(f"overall {x.lower()}") | low.contains(f"{x.lower()} risk"), F.lit(x)) for x in LEVELS]
-    return F.coalesce(F.when(named.isin(*LEVELS, "Informational"), named), *mentioned, F.lit("Medium"))
+    mentioned = [F.when(text.rlike(rf"(?i)\b(?:{level}[ \t]+risk|overall[ \t]+{level})\b"), level) for level in LEVELS]
+    return F.coalesce(F.when(named.isin(*LEVELS), named), *mentioned, F.lit(default))
 
 
 def gated_findings(results: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,30 +73,53 @@ def gated_findings(results: DataFrame, text_col: str = "text") -> DataFrame:
     return kept.withColumn("severity", F.when(low.rlike(GRAVE), "High").when(low.rlike(SLIGHT), "Low").otherwise("Medium"))
 
 
-HEADED = r"(?m)^#{1,3}[ \t]+([^\n(]+?)[ \t]*\((?:Severity|Priority):[ \t]*([^)\n]+)\)"
+#: Where its first line has a severity: in brackets, maybe named, or after a dash or colon; and what its fields are called.
+IN_BRACKETS = r"(?i)[(\[][ \t]*(?:(?:severity|priority|risk)[ \t]*:[ \t]*)?(critical|high|medium|low|info(?:rmational)?)[ \t]*[)\]]"
+AT_THE_END = r"(?i)[ \t]*(?:[-–—:|]|\*\*:?)[ \t]*(?:severity[ \t]*:?[ \t]*)?(critical|high|medium|low|informational)(?:[ \t]+(?:severity|risk))?[ \t*.]*$"
+FIELDS = {"severity": "severity|priority|risk level|impact", "location": "location|line|lines|function|file", "description": "description|details", "recommendation": "recommendation|mitigation|fix|remediation"}
+EVERY = "|".join(FIELDS.values())
+#: A line that begins a finding: a heading, a numbered line, or a name in bold, maybe in a list, that isn't a field.
+ENTRY = rf"(?m)^[ \t]*(?:#{{1,6}}[ \t]+(?:\d+[.)][ \t]*)?|\d+[.)][ \t]+|(?:[-*][ \t]+)?(?=\*\*))(?!(?i:\**(?:{EVERY})\**[ \t]*:))([^\n]+)$"
 
 
-def findings(reports: DataFrame, validations: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """One row a finding: title, severity, description, location, status.
+def _field(body: Column, names: str) -> Column:
+    found = trimmed(F.regexp_replace(F.regexp_extract(body, rf"(?im)^[ \t]*(?:[-*][ \t]+)?\**(?:{names})\**[ \t]*:\**[ \t]*([^\n]+)$", 1), r"\*\*|`", ""))
+    return F.nullif(found, F.lit(""))
 
-    Findings are headings with a severity; a description goes up to the next one. Status is what the validation of the same
-    id says behind the title, confirmed if it confirms; a status of false makes a finding informational.
+
+def entries(reports: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, ordinal, title, severity, description, location, recommendation) of each finding of a report, in any of its forms.
+
+    A finding begins with a heading, a numbered line or a name in bold that has a severity, in brackets or at its end, or whose
+    text up to the next such line has it as a field. Its description is that field, else its text without its fields, on one line.
     """
-    t = F.col(text_col)
-    titles, levels = (F.regexp_extract_all(t, F.lit(HEADED), F.lit(i)) for i in (1, 2))
-    texts = F.slice(F.split(t, HEADED), F.lit(2), F.size(titles))
-    rows = reports.select(id_col, F.explode(F.arrays_zip(titles.alias("title"), levels.alias("severity"), texts.alias("description"))).alias("f")).select(id_col, "f.*")
-    description = F.regexp_replace(F.regexp_replace(trimmed(F.col("description")), r"^[^A-Za-z0-9]+", ""), r"\n+", " ")
-    location = F.regexp_extract("description", r"(?i)(?:location|line|function):[ \t]*([^\n]+)", 1)
-    rows = rows.withColumns({"title": trimmed(F.col("title")), "severity": trimmed(F.col("severity")), "location": location, "description": description})
-    said = F.explode(F.regexp_extract_all("validation", F.lit(r"(?m)^(?:\d+\.|\*|-|#{1,3})[ \t]+[^\n]*"), F.lit(0)))
-    lines = validations.select(id_col, said.alias("line"))
-    lines = lines.select(id_col, F.lower(F.regexp_extract("line", r"^(?:\d+\.|\*|-|#{1,3})[ \t]+([^\n:]*?)[ \t]*(?:[-:]|\()", 1)).alias("key"), F.lower(F.regexp_extract("line", r"(?i)(?:confirmation|status|assessment):[ \t]*([^\n.]+)", 1)).alias("said")).where("said <> ''")
-    status = lines.groupBy(id_col, "key").agg(F.min("said").alias("said"))
-    joined = rows.withColumn("key", F.lower("title")).join(status, [id_col, "key"], "left")
-    said = F.col("said")
-    kind = F.when(said.contains("false") | said.contains("invalid"), "rejected").when(said.contains("confirm") | said.contains("true") | said.contains("valid"), "confirmed").otherwise("open")
-    return joined.select(id_col, "title", F.when(kind == "rejected", "Informational").otherwise(F.col("severity")).alias("severity"), "description", "location", kind.alias("status"))
+    text = F.col(text_col)
+    found = reports.select(id_col, text.alias("t"), spans(text, ENTRY, "line").alias("m"))
+    ends = F.concat(F.transform("m", lambda x: x["start"]), F.array(F.length("t")))
+    rows = found.select(id_col, "t", F.posexplode(F.arrays_zip("m", F.slice(ends, F.lit(2), F.size(ends)).alias("upto"))).alias("ordinal", "z")).where("z.m is not null")
+    rows = rows.select(id_col, "ordinal", F.col("z.m.line").alias("line"), F.substr("t", F.col("z.m.end") + 1, F.col("z.upto") - F.col("z.m.end")).alias("body"))
+    level = F.coalesce(F.nullif(F.regexp_extract("line", IN_BRACKETS, 1), F.lit("")), F.nullif(F.regexp_extract("line", AT_THE_END, 1), F.lit("")), F.regexp_extract(_field(F.col("body"), FIELDS["severity"]), r"\w+", 0))
+    level = F.initcap(F.when(F.lower(level) == "info", "informational").otherwise(level))
+    title = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", IN_BRACKETS, ""), AT_THE_END, ""), r"\*\*|^(?i:finding|issue)[ \t]*#?\d*[ \t]*:", "")
+    rest = F.regexp_replace(F.col("body"), rf"(?im)^[ \t]*(?:[-*][ \t]+)?\**(?:{EVERY})\**[ \t]*:[^\n]*$", "")
+    rest = F.nullif(trimmed(F.regexp_replace(F.regexp_replace(rest, r"(?m)^[ \t]*[-*>][ \t]+", ""), r"\s+", " ")), F.lit(""))
+    made = rows.select(
+        id_col, "ordinal", F.regexp_replace(title, r"^[\s:–—-]+|[\s:–—-]+$", "").alias("title"), level.alias("severity"), F.coalesce(_field(F.col("body"), FIELDS["description"]), rest).alias("description"),
+        _field(F.col("body"), FIELDS["location"]).alias("location"), _field(F.col("body"), FIELDS["recommendation"]).alias("recommendation"),
+    )
+    return made.where(F.col("severity").isin(*LEVELS) & (F.col("title") != ""))
+
+
+def findings(reports: DataFrame, validations: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """entries() with a status: what the validation of the same id says in its line of the title, whose marks don't count: rejected
+    if it is false or invalid, which makes the finding informational, confirmed if it is confirmed, true or valid, else open."""
+    line = F.explode(F.regexp_extract_all("validation", F.lit(r"(?m)^[ \t]*(?:\d+[.)]|[*-]|#{1,6})[ \t]+([^\n]*)"), F.lit(1)))
+    said = validations.select(id_col, line.alias("line")).select(id_col, F.lower(trimmed(F.regexp_replace(F.regexp_extract("line", r"^(.*?)[ \t]*(?:[:(]|[ \t]-)", 1), r"\*\*", ""))).alias("key"), F.lower("line").alias("line"))
+    verdict = F.max(F.when(F.col("line").rlike(r"\b(?:false|invalid|rejected)\b"), 2).when(F.col("line").rlike(r"\b(?:confirmed|confirms|true|valid)\b"), 1).otherwise(0))
+    status = said.where("key <> ''").groupBy(id_col, "key").agg(verdict.alias("verdict"))
+    joined = entries(reports, id_col, text_col).withColumn("key", F.lower("title")).join(status, [id_col, "key"], "left")
+    kind = F.when(F.col("verdict") == 2, "rejected").when(F.col("verdict") == 1, "confirmed").otherwise("open")
+    return joined.select(id_col, "ordinal", "title", F.when(kind == "rejected", "Informational").otherwise(F.col("severity")).alias("severity"), "description", "location", "recommendation", kind.alias("status"))
 
 
 def checks(response: Column) -> Column:

@@ -8,64 +8,49 @@ from ..functions import json as J
 from ..functions import reports as R
 from ..functions import scalars as S
 from ..functions import text as T
-from .code import BLOCK
 from .base import literal, query, relation, table
 
-MARKDOWN = (
-    (-1, "# Title #\n\nSome **bold** and *it* [link](http://x.org/a b) and ![pic](p.png), `code`.\n> quote\n1. one\n- two"),
-    (-2, "See [here][1], <https://a.b/c>, @someone and #12 or GH-7 <!-- no --> at https://x.y/z now <b>bold</b>"),
-    (-3, "```py\nx = 1\n```\n__under__ _it_\n\n\n* a\n+ b 2. c"),
-    (-4, ""),
-)
-
-
-def _chain(pairs, text: str = "text") -> str:
-    for pattern, into in pairs:
-        text = f"regexp_replace({text}, {literal(pattern)}, {literal(into)}, 'g')"
-    return text
-
-
-TEXTS = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM {relation(MARKDOWN, 'id, text')})"
-LINKS = ((r"\[([^\]]+)\]\[[^\]]+\]", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"<https?://[^>]+>", ""), (r"!\[([^\]]*)\]\([^)]+\)", ""), (r"(<!--.*?-->)|(^|\W)@[a-zA-Z0-9-]+|#[0-9]+|\bGH-[0-9]+\b", ""), (r"https?://\S+", ""), (r"<[^>]+>", ""), (r"\s+", " "))
-MARKS = (
-    (r"(?s)```.*?\n.*?\n```", ""), (r"`([^`]+)`", r"\1"), (r"!\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[([^\]]*)\]\(([^)\s]+[^)]*)\)", r"\1"), (r"(?m)#+\s*(.*?)\s*#*$", r"\1"),
-    (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), (r"\*(.*?)\*|_(.*?)_", r"\1\2"), (r"(?m)^\s*>.*$", ""), (r"(?m)^\s*[-*+]\s+|\s*\d+\.\s+", ""), (r"\n\s*\n", "\n\n"), (r"^\s+|\s+$", ""),
-)
-
-
-def texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(list(MARKDOWN), "id long, text string"))
+#: What refers to elsewhere, for an engine without look-behind: what stands before a mention stays.
+REFERENCES = r"<!--(?s:.*?)-->|\[!\[[^\]\n]*\]\([^)\n]*\)\](?:\([^)\n]*\))?|!\[[^\]\n]*\]\([^)\n]*\)|\[([^\]\[\n]*)\](?:\([^)\n]*\)|\[[^\]\n]*\])|<[^<>\n]+>|https?://\S+|(^|\W)@[A-Za-z0-9-]+|(^|\W)#\d+\b|\bGH-\d+\b"
+LINKED = "concat('See [', source, '](http://x.org/', cast(doc_id AS string), ') and ![pic](p.png), <https://a.b/c> (@someone) #', cast(doc_id AS string), ' <!-- no --> ', coalesce(text, ''))"
 
 
-@query(f"SELECT id, trim({_chain(LINKS)}) AS plain FROM {TEXTS}")
+@query(f"SELECT doc_id AS id, trim(regexp_replace(regexp_replace({LINKED}, {literal(REFERENCES)}, '\\1\\2\\3', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
 def markdown_strip(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", T.strip_markdown(F.col("text")).alias("plain"))
+    """Every document behind a line of references."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.strip_markdown(F.expr(LINKED)).alias("plain"))
 
 
-@query(f"SELECT id, {_chain(MARKS)} AS plain FROM {relation(MARKDOWN, 'id, text')}")
-def markdown_plain(spark, sf_dir):
-    return spark.createDataFrame(list(MARKDOWN), "id long, text string").select("id", T.plain_markdown(F.col("text")).alias("plain"))
+#: Markdown of a part, by pieces, and what stays of each.
+PIECES = (
+    ("concat('# ', p_name, ' #', chr(10), chr(10))", "p_name || chr(10) || chr(10)"),
+    ("concat('Some **', p_brand, '** and *', p_type, '*, `*', p_brand, '*`.', chr(10))", "'Some ' || p_brand || ' and ' || p_type || ', *' || p_brand || '*.' || chr(10)"),
+    ("concat('> quoted ', p_name, chr(10))", "chr(10)"),
+    ("concat('- [', p_brand, '](http://x/', cast(p_partkey AS string), ') ![a_b](p.png)', chr(10))", "p_brand || ' a_b' || chr(10)"),
+    ("concat('```py', chr(10), 'x = ', cast(p_size AS string), chr(10), '```', chr(10))", "chr(10)"),
+    ("concat('2. snake_case_', cast(p_size AS string), ' __end__ a * b')", "'snake_case_' || p_size || ' end a * b'"),
+)
 
 
-JSONS = (
-    (1, '{"a": 1}'), (2, 'Result: {"a": 2} done'), (3, '```json\n{"a": 3}\n```'), (4, '{"a": 4,}'), (5, "{'a': 5}"), (6, "nothing"), (7, '{a: 7, "b": [1, 2,]}'),
-    (8, '{"a": "x" "b": 2}'), (9, '"{\\"a\\": 9}"'), (10, 'text {"a": {"b": "10"}} and } more'), (11, "[1, 2"), (12, ""),
-)
-FIXES = ((r"'", '"'), (r",\s*\]", "]"), (r",\s*\}", "}"), (r"([a-zA-Z_][a-zA-Z0-9_]*)(\s*:)", r'"\1":'), (r'(["}\]])(\s*)(["{\[]|\w+\s*:)', r"\1,\2\3"), (r'"\s*\n\s*"', ""))
-
-
-def _fixed(text: str) -> str:
-    out = _chain(FIXES, text)
-    return f"(CASE WHEN len(regexp_replace({out}, '[^\"]', '', 'g')) % 2 = 1 THEN {out} || '\"' ELSE {out} END)"
+@query("SELECT p_partkey AS id, regexp_replace(" + " || ".join(f"({plain})" for _, plain in PIECES) + r", '\n\s*\n\s*', chr(10) || chr(10), 'g') AS plain FROM part")
+def markdown_plain(spark, sf_dir):
+    markdown = F.concat(*(F.expr(p) for p, _ in PIECES))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.plain_markdown(markdown).alias("plain"))
 
 
-RAW = ("text", r"regexp_extract(text, '(?s)```(?:json)?\s*(.*?)```', 1)", r"regexp_extract(text, '(?s)(\{.*\})', 1)", r"regexp_extract(text, '(?s)(\[.*\])', 1)", f"regexp_extract(text, '{BLOCK}')", r"""replace(regexp_replace(text, '^"|"$', '', 'g'), '\"', '"')""")
-CANDIDATES = ", ".join(x for r in RAW for x in (r, _fixed(r)))
+#: What is meant as JSON of a customer's key and name, broken in as many ways; the ninth has none.
+BROKEN = (
+    '{{"a": {k}, "b": "{n}"}}', 'Result: {{"a": {k}, "b": "{n}"}} done }}', '```json\n{{"a": {k}, "b": "{n}"}}\n```', '{{"a": {k},, "b": "{n}",}}', "{{'a': {k}, 'b': '{n}'}}",
+    'so {{a: {k}, b: "{n}", c: [1, 2,], d: None}}', '{{"a": {k} "b": "{n}" "c": true', '"{{\\"a\\": {k}, \\"b\\": \\"{n}\\"}}"', "no json of {k}", '{{"a": {k}, "b": "{n}',
+)
 
 
-@query(f"""SELECT id, list_filter([{CANDIDATES}], lambda c: json_valid(c) AND regexp_matches(c, '^\\s*[\\[{{]'))[1]::JSON ->> '$.a' AS a FROM {relation(JSONS, 'id, text')}""")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 8 THEN c_custkey::VARCHAR END AS a, CASE WHEN c_custkey % 10 <> 8 THEN c_name END AS b FROM customer")
 def json_repair(spark, sf_dir):
-    return spark.createDataFrame(list(JSONS), "id int, text string").select("id", F.get_json_object(J.extracted(F.col("text")), "$.a").alias("a"))
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "cast(c_custkey AS string) AS k", "c_name AS n")
+    made = [F.replace(F.replace(F.lit(b.format(k="\1", n="\2")), F.lit("\1"), F.col("k")), F.lit("\2"), F.col("n")) for b in BROKEN]
+    texts = customers.select("id", F.element_at(F.array(*made), (F.col("id") % 10 + 1).cast("int")).alias("text"))
+    return texts.select("id", J.extracted(F.col("text")).alias("json")).select("id", F.get_json_object("json", "$.a").alias("a"), F.get_json_object("json", "$.b").alias("b"))
 
 
 FILES = (
@@ -83,45 +68,45 @@ def language_guess(spark, sf_dir):
     return spark.createDataFrame(list(FILES), "id int, path string, code string").select("id", T.language_of_path(F.col("path")).alias("by_path"), T.guess_language(code).alias("guessed"), S.documentation_language(code).alias("documented"))
 
 
-REPORTS = (
-    (1, "# Audit\n\nFirst words here.\n\n## Summary\nAll is well.\n\n## Findings\nRisk rating: high\n\n## Conclusion\nDone."),
-    (2, "Plain opening.\n\n* list\n\nThe overall medium risk remains.\n\nLast words."), (3, "# Only a head"), (4, "**Summary** short **End** Security level: odd, overall critical"), (5, "x" * 700), (6, ""),
-)
-
+#: Reports of orders: with parts by heading or in bold, or without any; the words are the order's.
+REPORTS = """CASE o_orderkey % 4 WHEN 0 THEN concat('# Report', chr(10), chr(10), 'Opening of ', k, '.', chr(10), chr(10), '## Executive Summary ##', chr(10), w, chr(10), chr(10), '## Findings', chr(10), '- Risk level: ', lower(level), chr(10), chr(10),
+   '### Conclusion', chr(10), 'Done with ', k, '.')
+ WHEN 1 THEN concat('**Summary:** ', w, chr(10), '**Security rating**: ', level, chr(10), chr(10), '**Conclusion**', chr(10), 'Done with ', k, '.')
+ WHEN 2 THEN concat('# Head', chr(10), chr(10), w, chr(10), chr(10), '- a list', chr(10), chr(10), 'There is ', lower(level), ' risk.', chr(10), chr(10), 'Done with ', k, '.')
+ ELSE '# Only a head' END"""
+ORDER_WORDS = """SELECT o_orderkey, cast(o_orderkey AS string) AS k, concat(o_orderstatus, ' saw ', o_orderpriority, repeat(' and more', cast(o_orderkey % 100 AS int))) AS w,
+ CASE o_orderkey % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' ELSE 'Informational' END AS level FROM {orders}"""
 
-def _section(name: str) -> str:
-    pattern = literal(rf"(?is)(?:##?\s*{name}|\*\*{name}\*\*)(.*?)(?:##|\*\*|$)")
-    return f"CASE WHEN regexp_matches(text, {pattern}) THEN regexp_replace(regexp_extract(text, {pattern}, 1), '^\\s+|\\s+$', '', 'g') END"
 
-
-PARAGRAPHS = r"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '' AND NOT starts_with(p, '#') AND NOT starts_with(p, '*'))"
-NAMED = r"regexp_extract(text, '(?i)(?:risk|security)\s+(?:rating|assessment|level|score):\s*([A-Za-z]+)', 1)"
-
-
-@query(f"""SELECT id, CASE WHEN len(s) > 500 THEN s[1:497] || '...' ELSE coalesce(s, 'No summary available') END AS summary, CASE WHEN lower(named) IN ('critical', 'high', 'medium', 'low', 'informational') THEN upper(named[1]) || lower(named[2:])
-  ELSE coalesce(list_filter(['Critical', 'High', 'Medium', 'Low'], lambda l: contains(lower(text), 'overall ' || lower(l)) OR contains(lower(text), lower(l) || ' risk'))[1], 'Medium') END AS rating, coalesce(c, p[-1], 'No conclusion provided') AS conclusion
-FROM (SELECT id, text, coalesce({_section('Summary')}, ({PARAGRAPHS})[1]) AS s, {NAMED} AS named, {_section('Conclusion')} AS c, {PARAGRAPHS} AS p FROM {relation(REPORTS, 'id, text')})""")
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN 'none' WHEN len(w) > 500 THEN w[1:497] || '...' ELSE w END AS summary,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'Medium' ELSE level END AS rating, CASE WHEN o_orderkey % 4 = 3 THEN 'none' ELSE 'Done with ' || k || '.' END AS conclusion FROM ({ORDER_WORDS.replace('{orders}', 'orders')})""")
 def report_sections(spark, sf_dir):
+    reports = spark.sql(ORDER_WORDS, orders=table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id"), F.expr(REPORTS).alias("text"))
     t = F.col("text")
-    return spark.createDataFrame(list(REPORTS), "id int, text string").select("id", R.summary(t).alias("summary"), R.risk_rating(t).alias("rating"), R.conclusion(t).alias("conclusion"))
+    return reports.select("id", R.summary(t, 500, "none").alias("summary"), R.risk_rating(t, "Medium").alias("rating"), R.conclusion(t, "none").alias("conclusion"))
 
 
-RESEARCH = (
-    (1, "Intro\n## Reentrancy in pay (Severity: High)\nThe call\ncomes first. Location: Vault.pay\n### Old tool (Priority: Low)\n- uses an old one\n## Loose end (Severity: Medium)\nfoo", "1. Reentrancy in pay - Status: confirmed.\n2. Old tool: Assessment: false positive"),
-    (2, "nothing", ""), (3, "# A (Severity: Critical)", "* A (x) confirmation: invalid"),
-)
+#: A finding a line item, in one of the forms that reports have them; a validation says of every third that it is false.
+FORMS = """CASE l_linenumber % 4 WHEN 0 THEN concat('## ', title, ' (Severity: ', level, ')', chr(10), 'What it ships ', l_returnflag, chr(10), '- Location: P.', cast(l_suppkey AS string), chr(10))
+ WHEN 1 THEN concat(cast(l_linenumber AS string), '. **', title, '** - ', upper(level), chr(10), '   Description: What it ships ', l_returnflag, chr(10), '   Location: P.', cast(l_suppkey AS string), chr(10), '   Fix: ', l_linestatus, chr(10))
+ WHEN 2 THEN concat('### ', cast(l_linenumber AS string), '. ', title, chr(10), '**Severity**: ', lower(level), chr(10), '**Function:** `P.', cast(l_suppkey AS string), '`', chr(10), 'What it', chr(10), 'ships ', l_returnflag, chr(10))
+ ELSE concat('- **', title, '** [', level, ']', chr(10), 'What it ships ', l_returnflag, chr(10), '* Recommendation: ', l_linestatus, chr(10), '#### A heading that is none', chr(10), 'of its text', chr(10)) END"""
+SAID = """concat(CASE l_linenumber % 2 WHEN 0 THEN '1. ' ELSE '- **' END, title, CASE l_linenumber % 2 WHEN 0 THEN ' - Status: ' ELSE '**: assessment ' END,
+ CASE l_partkey % 3 WHEN 0 THEN 'false positive' WHEN 1 THEN 'Confirmed' ELSE 'unclear' END)"""
+LINES_OF = """SELECT *, concat('Finding of part ', cast(l_partkey AS string), ' on line ', cast(l_linenumber AS string)) AS title,
+ CASE l_suppkey % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS level FROM {lineitem}"""
 
 
-@query(r"""WITH r AS (SELECT * FROM """ + relation(RESEARCH, "id, text, validation") + r"""), f AS (SELECT id, unnest(range(1, len(heads) + 1)) AS i, heads, text FROM (SELECT id, text, regexp_extract_all(text, '(?m)^#{1,3}[ \t]+[^\n(]+?[ \t]*\((?:Severity|Priority):[ \t]*[^)\n]+\)') AS heads FROM r)),
-d AS (SELECT id, heads[i] AS head, substr(text, strpos(text, heads[i]) + len(heads[i]), CASE WHEN i < len(heads) THEN strpos(text, heads[i + 1]) - strpos(text, heads[i]) - len(heads[i]) ELSE len(text) END) AS body FROM f),
-t AS (SELECT id, trim(regexp_extract(head, '^#+[ \t]+([^(]+?)[ \t]*\(', 1)) AS title, trim(regexp_extract(head, ':[ \t]*([^)]+)\)', 1)) AS severity, regexp_extract(regexp_replace(body, '^\s+|\s+$', '', 'g'), '(?i)(?:location|line|function):[ \t]*([^\n]+)', 1) AS location, regexp_replace(regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '^[^A-Za-z0-9]+', ''), '\n+', ' ', 'g') AS description FROM d),
-v AS (SELECT id, line, lower(regexp_extract(line, '(?i)(?:confirmation|status|assessment):[ \t]*([^\n.]+)', 1)) AS said FROM (SELECT id, unnest(string_split(validation, chr(10))) AS line FROM r)),
-j AS (SELECT t.*, (SELECT min(said) FROM v WHERE v.id = t.id AND said <> '' AND regexp_matches(lower(line), '^(\d+\.|\*|-|#{1,3})[ \t]+' || lower(t.title) || '[ \t]*([-:]|\()')) AS said FROM t)
-SELECT id, title, CASE WHEN contains(said, 'false') OR contains(said, 'invalid') THEN 'Informational' ELSE severity END AS severity, description, location,
-  CASE WHEN contains(said, 'false') OR contains(said, 'invalid') THEN 'rejected' WHEN contains(said, 'confirm') OR contains(said, 'true') OR contains(said, 'valid') THEN 'confirmed' ELSE 'open' END AS status FROM j""")
+@query(f"""WITH f AS ({LINES_OF.replace('{lineitem}', 'lineitem')})
+SELECT l_orderkey AS id, title, CASE WHEN l_partkey % 3 = 0 THEN 'Informational' ELSE level END AS severity, 'What it ships ' || l_returnflag AS description, CASE WHEN l_linenumber % 4 < 3 THEN 'P.' || l_suppkey END AS location,
+  CASE WHEN l_linenumber % 4 IN (1, 3) THEN l_linestatus END AS recommendation, CASE l_partkey % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'open' END AS status FROM f""")
 def report_findings(spark, sf_dir):
-    rows = spark.createDataFrame(list(RESEARCH), "id int, text string, validation string")
-    return R.findings(rows.select("id", "text"), rows.select("id", "validation"))
+    """Findings of all forms, a report an order, held against its validation."""
+    lines = spark.sql(LINES_OF, lineitem=table(spark, sf_dir, "lineitem"))
+    parts = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr(FORMS).alias("text"), F.expr(SAID).alias("said")))).alias("p"))
+    joined = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "\n")
+    rows = parts.select("id", F.concat(F.lit("Intro\n"), joined("text")).alias("text"), joined("said").alias("validation"))
+    return R.findings(rows.select("id", "text"), rows.select("id", "validation")).drop("ordinal")
 
 
 RESPONSES = (
