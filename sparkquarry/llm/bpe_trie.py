@@ -226,7 +226,8 @@ class TextEncoder:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.trie = TrieBpe(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self.library = Tokenizer.from_file(file)
+        # only to normalise and pre-tokenise: without the vocabulary, which it would hold once more
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         parts = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"]["pretokenizers"]]
         if self.PATTERN not in parts or spec["decoder"] is not None or any(t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("this encoder is for word-end BPE with the known pre-tokenizer, no decoder and verbatim added tokens")
