@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if, checkpointed, lower_ascii, text_or_empty, without
+from .common import SPACE, broadcast_small, checkpointed, lower_ascii, text_or_empty, without
 
 WORDS = 5
 #: A document holds an item if 100 * shared >= CONTAINED * (shingles of the item).
@@ -14,8 +14,8 @@ CONTAINED = 75
 SKETCH = 8
 #: Items are partitioned by shingle count, a partition to each doubling.
 GROWTH = 2.0
-#: Rows of item tables up to which they are broadcast; beyond, joins shuffle.
-SMALL = 200_000
+#: Rows and bytes of item tables up to which they are broadcast; beyond, joins shuffle.
+SMALL, BYTES = 200_000, 32 << 20
 
 
 def bound_to(value: Column, body) -> Column:
@@ -56,7 +56,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Items or documents without words match nothing; an item of fewer than five words matches only a document of the
     same words. Equal items match alike; a repeated document gives its rows once. Null ids match nothing. Other columns
-    are ignored. Item tables are broadcast only if counted small, else joins shuffle.
+    are ignored. Item tables are broadcast only if their rows and the bytes of their arrays are counted small, else joins shuffle.
     """
     sets, sketches = item_sketches(items, item_col, item_text_col)
     parts = sketches.join(sets.select("item", "n"), "item").groupBy("part").agg(F.min("n").alias("least"), F.max("hash").alias("most")).collect()
@@ -67,11 +67,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return bound_to(F.struct(own.alias("own"), F.greatest(F.lit(-(1 << 63)), F.lit(-(1 << 63)), *limits).alias("most")), lambda x: F.filter(x["own"], lambda h: h <= x["most"]))
 
     hashes = keyed.select("id", F.explode(bound_to(F.col("shingles"), searched)).alias("hash"))
-    found = hashes.join(broadcast_if(sketches.select("hash", "item"), SMALL), "hash").groupBy("id").agg(F.collect_set("item").alias("items"))
-    candidates = broadcast_if(checkpointed(found), SMALL)
+    found = hashes.join(broadcast_small(sketches.select("hash", "item"), SMALL, BYTES), "hash").groupBy("id").agg(F.collect_set("item").alias("items"))
+    candidates = broadcast_small(checkpointed(found), SMALL, BYTES)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(candidates, "id")
     checked = texts.select("id", F.array_distinct(shingles(text_or_empty("text"))).alias("own"), F.explode("items").alias("item"))
-    shared = checked.join(broadcast_if(sets.withColumnRenamed("shingles", "theirs"), SMALL // 40), "item").select("id", "item", "n", F.size(F.array_intersect("own", "theirs")).cast("long").alias("shared"))
+    shared = checked.join(broadcast_small(sets.withColumnRenamed("shingles", "theirs"), SMALL, BYTES), "item").select("id", "item", "n", F.size(F.array_intersect("own", "theirs")).cast("long").alias("shared"))
     held = shared.where(f"100 * shared >= {CONTAINED} * n").distinct()
     return held.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("n_item"), F.col("shared").alias("n_shared"))
 
