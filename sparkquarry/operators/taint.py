@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..shared import written
 from .graph import exploitability
+from .intervals import overlap_join
+
+#: Lines of a bin in which functions meet what stands in them.
+LINES = 64
 
 
 def data_flows(files: DataFrame, file_col: str = "file_id", text_col: str = "content", least: int = 2) -> DataFrame:
@@ -21,7 +26,8 @@ def data_flows(files: DataFrame, file_col: str = "file_id", text_col: str = "con
     bodies = C.functions(text, text_col).select(file_col, F.col("name").alias("function"), F.col("start_line").alias("f_start"), F.col("end_line").alias("f_end"), F.col("whole").alias("f_code"))
 
     def held(rows: DataFrame, *names: str) -> DataFrame:
-        return rows.join(bodies, file_col).where("start_line >= f_start and end_line <= f_end").select(file_col, "function", "f_start", "f_end", "f_code", *names)
+        met = overlap_join(rows, bodies, [file_col], "start_line", "end_line", "f_start", "f_end", bin_size=LINES)
+        return met.where("start_line >= f_start and end_line <= f_end").select(file_col, "function", "f_start", "f_end", "f_code", *names)
 
     sources = held(C.sources(text, text_col).withColumnsRenamed({"code": "source_code"}).withColumn("source_line", F.col("start_line")), F.col("name").alias("source"), "type", "source_line", "source_code")
     sinks = held(C.sinks(text, text_col).withColumn("sink_line", F.col("start_line")), F.col("name").alias("sink"), "vulnerability", "score", "sink_line", F.col("code").alias("sink_code"))
@@ -34,10 +40,24 @@ def data_flows(files: DataFrame, file_col: str = "file_id", text_col: str = "con
     flows = pairs.join(named, file_col).withColumn("code", code).withColumn("variables", F.expr("filter(names, n -> contains(code, n))")).where(F.size("variables") >= least)
     bonus = F.when(F.col("source").isin("msg.sender", "msg.value", "tx.origin"), 1.5).otherwise(0.0)
     flows = flows.withColumn("exploitability", exploitability(F.col("score"), bonus, F.size("variables")))
-    order = Window.partitionBy(file_col).orderBy("source_line", "source", "sink_line", "sink", "vulnerability")
-    flows = flows.withColumn("lines", F.array_distinct(F.array("source_line", "f_start", "sink_line"))).withColumn("before", F.collect_list("lines").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    shared = F.expr("size(filter(before, b -> arrays_overlap(b, lines)))")
-    return flows.select(file_col, "source", "source_line", "sink", "sink_line", "vulnerability", "function", "variables", "exploitability", shared.alias("shared"))
+    return shared_before(flows, [file_col], ["source_line", "source", "sink_line", "sink", "vulnerability"], ["source_line", "f_start", "sink_line"]).select(
+        file_col, "source", "source_line", "sink", "sink_line", "vulnerability", "function", "variables", "exploitability", "shared"
+    )
+
+
+def shared_before(rows: DataFrame, group: list[str], order: list[str], lines: list[str]) -> DataFrame:
+    """rows with ``shared``: how many before it, in the group's order, have one of its lines, which are at most three columns.
+
+    By inclusion and exclusion: the rows before that have a line, less those that have two, and so on. Each set of a row's lines
+    is counted by a running number within its equals, so nothing is gathered that grows with the group.
+    """
+    own = rows.withColumn("own", F.array_sort(F.array_distinct(F.array(*lines)))).withColumn("row", F.monotonically_increasing_id())
+    own = written(own)
+    pairs = "filter(flatten(transform(own, x -> transform(own, y -> array(x, y)))), p -> p[0] < p[1])"
+    sets = own.select(*group, *order, "row", F.explode(F.expr(f"concat(transform(own, x -> array(x)), {pairs}, if(size(own) = 3, array(own), array()))")).alias("set"))
+    before = F.rank().over(Window.partitionBy(*group, "set").orderBy(*order, "row")) - 1
+    sums = sets.withColumn("n", F.when(F.size("set") % 2 == 1, before).otherwise(-before)).groupBy("row").agg(F.sum("n").cast("int").alias("shared"))
+    return own.join(sums, "row").drop("own", "row")
 
 
 def _called(body: Column, name: Column) -> Column:

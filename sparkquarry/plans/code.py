@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import structure as S
-from ..operators import chunking, taint
+from ..operators import chunking, dataflow, taint
 from .base import query, table
 
 #: (file_id, content); negative ids, as those of parts are positive.
@@ -277,3 +277,18 @@ def code_nested_blocks(spark, sf_dir):
     blocks = files.select("file_id", S.blocks(S.masked(F.col("content"))).alias("b"))
     counts = blocks.select("file_id", F.lit("blocks and depth").alias("name"), F.size("b").alias("start_line"), F.array_max(F.transform("b", lambda b: b["depth"])).alias("end_line"))
     return C.functions(files).select(*columns).unionByName(C.contracts(files).select(*columns)).unionByName(counts)
+
+
+#: A file a part: functions that call each other in a row, every other one open; the last has the sink and calls the first again.
+CHAIN = """concat('contract P { ', array_join(transform(sequence(0, p_size % 6), i -> concat('function f', cast(i AS string), '(uint a', cast(i AS string), ') ', if(i % 2 = 0, 'external', 'internal'), ' { ',
+ if(i < p_size % 6, concat('uint b', cast(i AS string), ' = a', cast(i AS string), ' + 1; f', cast(i + 1 AS string), '(b', cast(i AS string), '); }'), concat('if (a', cast(i AS string), ' > 0) { f0(a', cast(i AS string), '); } to.transfer(a', cast(i AS string), '); }')))), ' '), ' }')"""
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS file_id, p_size % 6 AS k FROM part),
+e AS (SELECT file_id, 2 * i AS src, 2 * i + 1 AS dst FROM p, LATERAL unnest(range(k)) t(i) UNION ALL SELECT file_id, 2 * i + 1, 2 * i + 2 FROM p, LATERAL unnest(range(k)) t(i) UNION ALL SELECT file_id, 2 * k, 0 FROM p WHERE k > 0),
+r(file_id, node, steps) AS (SELECT file_id, 2 * k, 0 FROM p UNION SELECT e.file_id, e.src, r.steps + 1 FROM r JOIN e ON e.file_id = r.file_id AND e.dst = r.node WHERE r.steps < 13)
+SELECT file_id, 'f' || node // 2 AS function, 'a' || node // 2 AS variable, 'f' || k AS sink_function, 'reentrancy' AS vulnerability, min(steps)::INT AS steps FROM r JOIN p USING (file_id) WHERE node % 4 = 0 GROUP BY file_id, node, k""")
+def flows_across_functions(spark, sf_dir):
+    """What can be chosen from outside and reaches a sink in another function, through calls that recur."""
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(CHAIN).alias("content"))
+    return dataflow.flows_across(files).select("file_id", "function", "variable", "sink_function", "vulnerability", "steps")
