@@ -19,6 +19,12 @@ LAYOUTS = {
     "longer comments": (f'<body><article><h1>T</h1><p>{LONG}</p></article><div id="comments">{COMMENTS}</div></body>', f"T\n{LONG}"),
     "comments inside": (f'<body><article><h1>T</h1><p>{LONG}</p><section class="post-comments">{COMMENTS}</section></article></body>', f"T\n{LONG}"),
     "advert": (f'<body><div class="ad">Buy, now. {LONG}</div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></body>', f"T\n{LONG}\n{LONG}"),
+    "odd quotes": (f'<body><article><h1 data-x=">">T</h1><p title="5" tall">{LONG}</p><p title=a"b>{LONG}</p><a href=\'x"\'>y</a></article></body>', f"T\n{LONG}\n{LONG}\ny"),
+    "names that begin or end like others": (f'<body><article><h1>T</h1><div class="share-price"><p>{LONG}</p></div><p class="header">{LONG}</p><div class="banner-ads-history"><p>{LONG}</p></div></article></body>', "\n".join(["T", *[LONG] * 3])),
+    "names outside of an article": (f'<body><div class="cookie-recipes"><h2>T</h2><p>{LONG}</p><p>{LONG}</p></div><div class="cookie-notice"><p>{LONG}</p></div></body>', f"T\n{LONG}\n{LONG}"),
+    "names inside of an article": (f'<body><article><h1>T</h1><p>{LONG}</p><div class="share-buttons">Share it</div><ul class="tags"><li>a</li></ul><p>{LONG}</p></article></body>', f"T\n{LONG}\n{LONG}"),
+    "comments by heading": (f'<body><article><h1>T</h1><p>{LONG}</p><div><h3>3 Comments</h3><p>{LONG}</p><div><p>{LONG}</p></div></div></article></body>', f"T\n{LONG}"),
+    "comments by heading, then more": (f'<body><article><h1>T</h1><p>{LONG}</p><h2>Comments (2)</h2><h3>a</h3><p>{LONG}</p><h2>More</h2><p>{LONG}</p></article></body>', f"T\n{LONG}\nMore\n{LONG}"),
     "unclosed": (f"<body><div id=c><h1>T<p>{LONG}<ul><li>a<li>b</ul><p>{LONG}", f"T\n{LONG}\na\nb\n{LONG}"),
     "none": ("<body><nav><a>x</a></nav><div class=cookie-banner>We use cookies, many.</div><footer>c</footer></body>", ""),
 }
@@ -118,3 +124,16 @@ def test_paths_are_scored_and_thresholded():
     scores = html_extract.path_scores(rows)
     assert scores[("a",)] > scores[("b",)]
     assert list(itertools.islice(scores, 2)) == [("a",), ("b",)]
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    deep = lambda n: "<div class=a>word, " * n + "</div>" * n
+    html_extract.main_text(deep(500))
+    began = time.process_time()
+    assert html_extract.main_text(deep(20_000)).count("word") == 20_000
+    assert time.process_time() - began < 5
+    inline = "<article>" + "<p>" + "<b>x</i></b></span>, " * 50_000 + "</article>"
+    assert html_extract.main_text(inline).count("x") == 50_000
+    assert time.process_time() - began < 10
