@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .containment import holding
 from .intervals import overlap_join
+from .windows import global_rank
 
 NONE = "array<string>"
 
@@ -22,15 +24,11 @@ def with_flows(scenarios: DataFrame, flows: DataFrame, file_col: str = "file_id"
 
 
 def mentioned(items: DataFrame, texts: DataFrame, names: list[str], item_id: str, text_id: str, text_col: str = "text") -> DataFrame:
-    """(item, issues): the texts that hold one of the item's names as a word, whatever the case, joined in order of their ids.
-
-    Words of texts meet names by equality, so that no text is tested against all items; names of several words aren't met.
-    """
-    words = texts.select(text_id, text_col, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    wanted = items.select(item_id, F.explode(F.array_distinct(F.array(*(F.lower(n) for n in names)))).alias("word")).where("word is not null and word <> ''")
-    met = wanted.join(words, "word").select(item_id, text_id, text_col).distinct()
-    joined = met.groupBy(item_id).agg(F.array_sort(F.collect_list(F.struct(F.col(text_id).alias("i"), F.col(text_col).alias("t")))).alias("found"))
-    return items.select(item_id).distinct().join(joined, item_id, "left").select(item_id, F.coalesce(F.array_join("found.t", "\n"), F.lit("")).alias("issues"))
+    """(item, text_id, text): the texts that hold one of the item's names, of any number of words, as words, whatever the case; a row
+    a text, so that an item that many texts mention is no large group."""
+    wanted = items.select(item_id, F.explode(F.array(*names)).alias("name"))
+    met = holding(wanted, texts, item_id, "name", text_id, text_col, ignore_case=True, words=True)
+    return met.join(texts.select(text_id, text_col), text_id).select(item_id, text_id, text_col)
 
 
 def assembled(contract_chunks: DataFrame, function_chunks: DataFrame) -> DataFrame:
@@ -62,10 +60,22 @@ def merged_flows(derived: DataFrame, acquired: DataFrame) -> DataFrame:
 
 def new_expressions(expressions: DataFrame, contracts: DataFrame, existing: DataFrame) -> DataFrame:
     """(contract, type, category, expression) of stored expressions whose pattern is the contract's name or any, but for those
-    whose contract, type and category exist. The patterns of a name and of any are two equality joins."""
+    whose contract, type and category exist.
+
+    What holds for any contract is one row an expression, whose contract is null, with the contracts that it exists for beside
+    it (``but``): looking a contract up is a filter, and nothing is paired with all contracts.
+    """
     named = expressions.join(contracts, F.col("contract_pattern") == F.col("contract")).select("contract", "type", "category", "expression")
-    general = expressions.where("contract_pattern = 'any'").withColumn("one", F.lit(1)).join(contracts.withColumn("one", F.lit(1)), "one").select("contract", "type", "category", "expression")
-    return named.unionByName(general).join(existing, ["contract", "type", "category"], "left_anti")
+    named = named.join(existing, ["contract", "type", "category"], "left_anti").withColumn("but", F.array().cast(NONE))
+    taken = existing.join(contracts, "contract", "left_semi").groupBy("type", "category").agg(F.sort_array(F.collect_set("contract")).alias("but"))
+    general = expressions.where("contract_pattern = 'any'").join(taken, ["type", "category"], "left")
+    return named.unionByName(general.select(F.lit(None).cast("string").alias("contract"), "type", "category", "expression", F.coalesce("but", F.array().cast(NONE)).alias("but")))
+
+
+def expressions_for(found: DataFrame, contract: Column | str) -> DataFrame:
+    """The rows of new_expressions() for one contract."""
+    name = F.lit(contract) if isinstance(contract, str) else contract
+    return found.where((F.col("contract") == name) | (F.col("contract").isNull() & ~F.array_contains("but", name))).withColumn("contract", name).drop("but")
 
 
 def cleaned(calls: DataFrame, definitions: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,10 +214,9 @@ def steps(flows: DataFrame) -> DataFrame:
 def found_or_created(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, name, type): the nodes, and a node with an id of its own after theirs for each wanted (name, type) that isn't there."""
     missing = wanted.select("name", "type").distinct().join(nodes, ["name", "type"], "left_anti")
-    top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    # one row: the greatest id so far
-    numbered = missing.withColumn("n", F.rank().over(Window.orderBy("name", "type"))).crossJoin(F.broadcast(top))
-    return nodes.select("id", "name", "type").unionByName(numbered.select((F.col("top") + F.col("n")).cast(nodes.schema["id"].dataType).alias("id"), "name", "type"))
+    top = nodes.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top")).first()["top"]  # one number
+    numbered = global_rank(missing, ["name", "type"], "n")
+    return nodes.select("id", "name", "type").unionByName(numbered.select((F.col("n") + top).cast(nodes.schema["id"].dataType).alias("id"), "name", "type"))
 
 
 def calls_of(functions: DataFrame, calls: DataFrame, id_col: str = "function_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import containment
 from ..operators import flows as O
 from .base import query, table
 
@@ -40,13 +41,27 @@ def execution_paths(spark, sf_dir):
     return O.steps(flows_of(spark, sf_dir)).select("file_id", "flow_id", F.array_join("steps", "|").alias("steps"))
 
 
-ITEMS = "SELECT n_nationkey AS id, n_name AS function, concat('x', cast(n_nationkey AS string)) AS contract FROM {nation} UNION ALL SELECT 100, 'the', 'und' UNION ALL SELECT 101, 'nowhere', NULL"
+ITEMS = """SELECT n_nationkey AS id, n_name AS function, concat('x', cast(n_nationkey AS string)) AS contract FROM {nation} UNION ALL SELECT 100, 'the', 'und' UNION ALL SELECT 101, 'nowhere', NULL
+ UNION ALL SELECT 1000 + doc_id, regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+) ', 1), concat('nowhere ', cast(doc_id AS string)) FROM {documents} WHERE doc_id % 100 = 0"""
+WORDS = r"(?:^|[^\p{L}\p{N}_])"
 
 
-@query(f"""WITH i AS ({_duck(ITEMS)}), t AS (SELECT doc_id, text FROM documents WHERE length(text) < 300) SELECT id, coalesce((SELECT string_agg(text, chr(10) ORDER BY doc_id, text) FROM (SELECT DISTINCT doc_id, text FROM t WHERE regexp_matches(lower(text), '\\b' || lower(function) || '\\b') OR regexp_matches(lower(text), '\\b' || lower(contract) || '\\b'))), '') AS issues FROM i""")
+@query(f"""WITH i AS (SELECT id, lower(unnest([function, contract])) AS name FROM ({_duck(ITEMS)})), t AS MATERIALIZED (SELECT doc_id, text, lower(text) AS low FROM documents),
+c AS MATERIALIZED (SELECT id, name, doc_id, text, low FROM t JOIN i ON name <> '' AND contains(low, name))
+SELECT DISTINCT id, doc_id, text FROM c WHERE regexp_matches(low, '{WORDS}' || name || '{WORDS.replace('^', '$', 1)}')""")
 def issue_texts(spark, sf_dir):
-    """Short documents as issues; names as words of letters without accents."""
-    return O.mentioned(_frame(spark, sf_dir, ITEMS), table(spark, sf_dir, "documents").where("length(text) < 300"), ["function", "contract"], "id", "doc_id")
+    """Documents as issues, all of them whole, that mention an item: nations, frequent words, and phrases of three words that every
+    hundredth document begins with."""
+    return O.mentioned(_frame(spark, sf_dir, ITEMS), table(spark, sf_dir, "documents"), ["function", "contract"], "id", "doc_id")
+
+
+PIECES = """SELECT doc_id AS id, substring(text, 1 + cast(doc_id % 50 AS int), 2 + cast(doc_id % 17 AS int)) AS name FROM {documents} WHERE doc_id % 100 = 0 UNION ALL SELECT -1 - n_nationkey, n_name FROM {nation} UNION ALL SELECT -100, 'é' UNION ALL SELECT -101, '%_' UNION ALL SELECT -102, ''"""
+
+
+@query(f"WITH p AS ({_duck(PIECES)}) SELECT id, doc_id FROM documents JOIN p ON name <> '' AND contains(text, name) GROUP BY id, doc_id")
+def name_mentions(spark, sf_dir):
+    """All documents that hold a piece of text, 2 to 18 characters that need not be words, of every hundredth one."""
+    return containment.holding(_frame(spark, sf_dir, PIECES), table(spark, sf_dir, "documents"), "id", "name", "doc_id", "text")
 
 
 DECLARED = "SELECT concat('C', cast(s_suppkey AS string)) AS contract, 'pay' AS n1, 'mint' AS n2 FROM {supplier}"
@@ -81,14 +96,27 @@ def flow_merge(spark, sf_dir):
     return O.merged_flows(part(DERIVED), part(ACQUIRED)).withColumn("functions", F.array_join("functions", ","))
 
 
-EXPRESSIONS = "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'any' ELSE concat('C', cast(p_partkey % 20 AS string)) END AS contract_pattern, p_brand AS type, cast(p_size % 5 AS string) AS category, p_name AS expression FROM {part} WHERE p_partkey <= 60"
+EXPRESSIONS = "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'any' ELSE concat('C', cast(p_partkey % 20 AS string)) END AS contract_pattern, p_brand AS type, cast(p_size % 5 AS string) AS category, p_name AS expression FROM {part}"
 CONTRACTS = "SELECT concat('C', cast(s_suppkey AS string)) AS contract FROM {supplier}"
 EXISTING = "SELECT concat('C', cast(p_partkey % 10 AS string)) AS contract, p_brand AS type, cast(p_size % 5 AS string) AS category FROM {part} WHERE p_partkey % 2 = 0"
 
 
-@query(f"""WITH e AS ({_duck(EXPRESSIONS)}), c AS ({_duck(CONTRACTS)}), x AS ({_duck(EXISTING)}) SELECT contract, type, category, expression FROM e JOIN c ON contract_pattern IN (contract, 'any') WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.contract = c.contract AND x.type = e.type AND x.category = e.category)""")
+@query(f"""WITH e AS ({_duck(EXPRESSIONS)}), c AS ({_duck(CONTRACTS)}), x AS (SELECT DISTINCT * FROM ({_duck(EXISTING)}))
+SELECT contract, type, category, expression, '' AS but FROM e JOIN c ON contract_pattern = contract WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.contract = c.contract AND x.type = e.type AND x.category = e.category)
+UNION ALL SELECT NULL, type, category, expression, coalesce(but, '') FROM e LEFT JOIN (SELECT type, category, string_agg(contract, ',' ORDER BY contract) AS but FROM x WHERE contract IN (SELECT contract FROM c) GROUP BY type, category) USING (type, category)
+WHERE contract_pattern = 'any'""")
 def expression_lookup(spark, sf_dir):
-    return O.new_expressions(*(_frame(spark, sf_dir, s) for s in (EXPRESSIONS, CONTRACTS, EXISTING)))
+    """What holds for a contract's name, and once each what holds for any but some."""
+    found = O.new_expressions(*(_frame(spark, sf_dir, s) for s in (EXPRESSIONS, CONTRACTS, EXISTING)))
+    return found.withColumn("but", F.array_join("but", ","))
+
+
+@query(f"""WITH e AS ({_duck(EXPRESSIONS)}), x AS ({_duck(EXISTING)})
+SELECT 'C3' AS contract, type, category, expression FROM e WHERE contract_pattern IN ('C3', 'any') AND NOT EXISTS (SELECT 1 FROM x WHERE x.contract = 'C3' AND x.type = e.type AND x.category = e.category)""")
+def expressions_of_contract(spark, sf_dir):
+    """The expressions of one contract, by its name and for any."""
+    found = O.new_expressions(*(_frame(spark, sf_dir, s) for s in (EXPRESSIONS, CONTRACTS, EXISTING)))
+    return O.expressions_for(found, "C3")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25)""")

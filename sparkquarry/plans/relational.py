@@ -45,9 +45,9 @@ SELECT event_type, user_band, count(*) AS n, round(avg(value), 6) AS mean_value,
 FROM (SELECT event_type, user_id % 10 AS user_band, value FROM {events}) GROUP BY GROUPING SETS ((event_type), (user_band), ())""")
 
 shared("log_shares", """
-SELECT event_type, n, round(100.0 * n / sum(n) OVER (), 6) AS share FROM (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type)""",
+SELECT event_type, n, round(100.0 * n / (SELECT count(*) FROM {events}), 6) AS share FROM (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type)""",
     spark_sql="""
-SELECT event_type, n, round(100D * n / sum(n) OVER (), 6) AS share FROM (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type)""")
+SELECT event_type, n, round(100D * n / (SELECT count(*) FROM {events}), 6) AS share FROM (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type)""")
 
 shared("stage_timings", """
 SELECT event_type AS stage, count(*) AS runs, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM {events} GROUP BY event_type""")

@@ -148,9 +148,19 @@ def append_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return rows.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
 
 
-def upsert(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows, replaced by new ones of the same keys."""
-    return existing.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+def upsert(existing: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Existing rows, replaced by new ones of the same keys; of new rows of one key the last by ``order``, or any without it. Null
+    keys are equal to each other."""
+    if order is None:
+        last = rows.dropDuplicates(keys)
+    else:
+        best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), F.struct(*rows.columns).alias("r"))).alias("m"))
+        last = best.select("m.r.*")
+    held = last.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return existing.join(held, same, "left_anti").unionByName(last)
 
 
 def repository(spark: SparkSession, clone: str, pattern: str = "*.sol", exclude: list[str] = ()) -> DataFrame:
