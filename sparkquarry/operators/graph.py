@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint_folder, dropped, written
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() in the folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset on one machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -51,12 +48,41 @@ def simple_paths(edges: DataFrame, root: Column | str, max_depth: int = 6) -> Da
     return found
 
 
-def descendants(rows: DataFrame, id_col: str, parent_col: str, max_depth: int = 10) -> DataFrame:
-    """(root, id, depth) of a hierarchy given by a parent's id: everything under each row that has no parent, itincluded at 0."""
-    roots = rows.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("root"))
-    edges = rows.where(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("src"), F.col(id_col).alias("dst"))
-    below = reachable(edges, max_depth, starts=roots).select(F.col("src").alias("root"), F.col("dst").alias("id"), "depth")
-    return roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).unionByName(below)
+def rooted(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, root, depth) of each row of a hierarchy given by a parent's id, roots at 0, at any depth, by pointer doubling.
+
+    Each row points to an ancestor and knows how far it is; in a round it takes over the pointer of what it points to, so the
+    distance doubles, and rounds are the logarithm of the depth. Rows that point to a root are done and not joined again. Root and
+    depth are null for rows on a cycle or below one, and for those whose uppermost parent isn't a row; ids are unique, and not null.
+    """
+    spark, made = rows.sparkSession, []
+    known = rows.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).where("id is not null")
+    here = known.select(F.col("id").alias("ptr"))
+    start = known.join(here.withColumn("there", F.lit(True)), F.col("parent") == F.col("ptr"), "left")
+    state = start.select("id", F.when(F.col("parent").isNull(), F.col("id")).otherwise(F.col("ptr")).alias("ptr"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("parent").isNull().alias("top"))
+    state = written(state, made)
+    rounds = max(1, math.ceil(math.log2(max(2, state.count())))) + 1
+    # a row is done if it is a root or points to one; what points nowhere has no root
+    tops = state.where("top").select(F.col("id").alias("ptr"))
+    done = written(state.join(tops, "ptr", "left_semi").select("id", F.col("ptr").alias("root"), F.col("far").alias("depth")), made)
+    left = written(state.where("ptr is not null and not top").join(tops, "ptr", "left_anti").select("id", "ptr", "far"), made)
+    found = done
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        next_done = left.join(found.select(F.col("id").alias("ptr"), "root", "depth"), "ptr").select("id", "root", (F.col("far") + F.col("depth")).alias("depth"))
+        next_left = left.join(left.select(F.col("id").alias("ptr"), F.col("ptr").alias("onward"), F.col("far").alias("more")), "ptr").select("id", F.col("onward").alias("ptr"), (F.col("far") + F.col("more")).alias("far"))
+        found = found.unionByName(written(next_done, made))
+        left = written(next_left, made)
+    out = written(known.select("id").join(found, "id", "left").select(F.col("id").alias(id_col), "root", "depth"))
+    dropped(spark, made)
+    return out
+
+
+def descendants(rows: DataFrame, id_col: str, parent_col: str, max_depth: int | None = None) -> DataFrame:
+    """(root, id, depth): everything under each row that has no parent, itself included at 0, at any depth unless ``max_depth`` is given."""
+    found = rooted(rows, id_col, parent_col).where("root is not null").select("root", F.col(id_col).alias("id"), "depth")
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
 def exploitability(sink_score: Column, source_bonus: Column, variables: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph
-from .base import query, shared, values
+from .base import query, shared, table, values
 
 EDGES = "('a','b'), ('b','c'), ('c','a'), ('c','d'), ('d','e'), ('x','y'), ('d','d'), ('b','d')"
 CODE = "(1, 'function f() { a.g(1); h ( 2 ); }'), (2, 'x = new Token(1); token.transfer(to, n);'), (3, 'none')"
@@ -37,3 +37,15 @@ def call_extract(spark, sf_dir):
 
 shared("edges_reverse", """
 SELECT dst AS callee, count(DISTINCT src) AS callers, min(src) AS first_caller FROM (SELECT l_suppkey AS src, l_partkey AS dst FROM {lineitem}) GROUP BY dst""")
+
+
+#: Orders in chains of a thousand, of which every fifth has a cycle of three near its beginning.
+PARENTS = "CASE WHEN o_orderkey % 1000 = 0 THEN NULL WHEN o_orderkey % 5000 = 7 THEN o_orderkey + 2 ELSE o_orderkey - 1 END"
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5000 BETWEEN 7 AND 999 AS lost FROM orders)
+SELECT id, CASE WHEN NOT lost THEN id - id % 1000 END AS root, CASE WHEN NOT lost THEN id % 1000 END AS depth FROM o""")
+def flow_roots(spark, sf_dir):
+    """The uppermost flow of each one, and how deep it is; none where sub-flows go in circles."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(PARENTS).alias("parent"))
+    return graph.rooted(rows, "id", "parent")
