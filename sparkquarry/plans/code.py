@@ -203,16 +203,18 @@ def call_graph_in_files(spark, sf_dir):
     return taint.call_edges(C.functions(files(spark, sf_dir)), ["file_id"])
 
 
-WITHIN = rf"""WITH {CONTRACTS}, {found('functions', FUNCTION, 'fname', 'parameters', 'attributes', 'fbody', source='(SELECT file_id, name, body FROM contracts)', columns='file_id, name', text='body')}, one AS (SELECT * FROM functions WHERE file_id < 0)"""
+WITHIN = rf"""WITH {CONTRACTS}, {found('functions', FUNCTION, 'fname', 'parameters', 'attributes', 'fbody', source='(SELECT file_id, name, body FROM contracts)', columns='file_id, name', text='body')},
+one AS (SELECT DISTINCT floor(greatest(file_id, -1) / 10)::BIGINT AS project, name, fname, fbody FROM functions)"""
 
 
-@query(rf"""{WITHIN} SELECT DISTINCT a.name AS caller_contract, a.fname AS caller, b.name AS callee_contract, b.fname AS callee FROM one a JOIN one b ON regexp_matches(a.fbody, '\b' || b.fname || '\s*\(')""")
+@query(rf"""{WITHIN}, c AS (SELECT project, name, fname, unnest(regexp_extract_all(fbody, '\b(\w+)\s*\(', 1)) AS callee FROM one)
+SELECT DISTINCT a.project, a.name AS caller_contract, a.fname AS caller, b.name AS callee_contract, b.fname AS callee FROM c a JOIN one b ON a.project = b.project AND a.callee = b.fname""")
 def call_graph_across_contracts(spark, sf_dir):
-    """Of the written files, as one project: calls by name across contracts, a function's own included."""
-    found = C.contracts(files(spark, sf_dir).where("file_id < 0")).select(F.col("name").alias("contract"), F.col("body").alias("content"))
-    functions = C.functions(found).select("contract", "name", "body")
-    called = functions.select(F.col("contract").alias("caller_contract"), F.col("name").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b(\w+)\s*\("), F.lit(1)))).alias("callee"))
-    return called.join(functions.select(F.col("contract").alias("callee_contract"), F.col("name").alias("callee")).distinct(), "callee").distinct()
+    """Ten files are a project: calls by name across its contracts, a function's own included."""
+    found = C.contracts(files(spark, sf_dir)).select(F.floor(F.greatest("file_id", F.lit(-1)) / 10).alias("project"), F.col("name").alias("contract"), F.col("body").alias("content"))
+    functions = C.functions(found).select("project", "contract", "name", "body")
+    called = functions.select("project", F.col("contract").alias("caller_contract"), F.col("name").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b(\w+)\s*\("), F.lit(1)))).alias("callee"))
+    return called.join(functions.select("project", F.col("contract").alias("callee_contract"), F.col("name").alias("callee")).distinct(), ["project", "callee"]).distinct()
 
 
 @query(rf"""WITH {FUNCTIONS} SELECT caller.file_id, caller.name FROM functions caller WHERE caller.name <> 'helper' AND regexp_matches(caller.body, '\bhelper\s*\(')""")
@@ -230,11 +232,15 @@ def callees_of(spark, sf_dir):
     return taint.callees(edges, functions, "run").select("file_id", "name", "start_line")
 
 
-@query(rf"""WITH {FUNCTIONS}, s AS (SELECT name, whole AS content FROM functions WHERE file_id < 0)
-SELECT a.name, array_to_string(coalesce(list_sort(list(DISTINCT b.name) FILTER (WHERE regexp_matches(lower(b.content), '\b' || lower(a.name) || '\b'))), []), ',') AS upstream,
-  array_to_string(coalesce(list_sort(list(DISTINCT b.name) FILTER (WHERE regexp_matches(lower(a.content), '\b' || lower(b.name) || '\b'))), []), ',') AS downstream FROM s a LEFT JOIN s b ON a.name <> b.name GROUP BY a.name""")
+@query(rf"""WITH {FUNCTIONS}, s AS (SELECT name || '_' || file_id % 7 AS name, replace(replace(whole, 'helper', 'helper_' || file_id % 7), 'pay(', 'pay_' || file_id % 5 || '(') AS content FROM functions WHERE file_id >= 0 OR file_id = -1),
+w AS (SELECT DISTINCT name AS src, unnest(regexp_extract_all(lower(content), '\w+')) AS word FROM s), e AS (SELECT DISTINCT src, n.name AS dst FROM w JOIN (SELECT DISTINCT name FROM s) n ON lower(n.name) = word WHERE src <> n.name)
+SELECT n.name, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = n.name), '') AS upstream, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = n.name), '') AS downstream FROM (SELECT DISTINCT name FROM s) n""")
 def function_relationships(spark, sf_dir):
-    own = C.functions(files(spark, sf_dir).where("file_id < 0")).select("name", F.col("whole").alias("content"))
+    """Functions of all files, under names by file, and which mention which."""
+    own = C.functions(files(spark, sf_dir)).where("file_id >= 0 or file_id = -1")
+    number = lambda n: F.concat(F.lit("_"), (F.col("file_id") % n).cast("string"))
+    renamed = F.replace(F.replace(F.col("whole"), F.lit("helper"), F.concat(F.lit("helper"), number(7))), F.lit("pay("), F.concat(F.lit("pay"), number(5), F.lit("(")))
+    own = own.select(F.concat("name", number(7)).alias("name"), renamed.alias("content"))
     return taint.relationships(own).select("name", F.array_join("upstream", ",").alias("upstream"), F.array_join("downstream", ",").alias("downstream"))
 
 

@@ -8,7 +8,7 @@ from ..functions import code as C
 from ..functions import rules as U
 from ..operators import knowledge as K
 from ..operators import taint
-from .base import literal, query, relation, table
+from .base import grown, grown_sql, literal, query, relation, table
 from .code import FILES, FUNCTIONS, LINES, VISIBILITY, files
 
 CHANGES, CALLS = r"(?m)^\s*[A-Za-z_]\w*(\[[^\]]*\])*\s*[-+*/]?=[^=]", r"\.(call|send|transfer|delegatecall)\s*[({]"
@@ -69,24 +69,24 @@ def _label(name: str, default: str) -> str:
     return f"coalesce(CASE WHEN json_valid(j) THEN j ->> '$.{name}' END, nullif(trim(regexp_extract(text, {pattern}, 1)), ''), '{default}') AS {name}"
 
 
-@query("SELECT id, " + ", ".join(_label(n, d) for n, d in FIELDS.items()) + " FROM (SELECT *, regexp_extract(text, '(?s)\\{.*\\}') AS j FROM " + relation(ANSWERS, "id, text") + ")")
+@query("SELECT id, " + ", ".join(_label(n, d) for n, d in FIELDS.items()) + " FROM (SELECT *, regexp_extract(text, '(?s)\\{.*\\}') AS j FROM " + grown_sql(ANSWERS, "id, text", "text") + ")")
 def labelled_fields(spark, sf_dir):
-    return spark.createDataFrame(list(ANSWERS), "id int, text string").select("id", U.labelled(F.col("text"), FIELDS).alias("f")).select("id", "f.*")
+    return grown(spark, sf_dir, ANSWERS, "id int, text string", "text").select("id", U.labelled(F.col("text"), FIELDS).alias("f")).select("id", "f.*")
 
 
 @query(r"""SELECT id, trim(split_part(s, chr(10), 1)) AS title, coalesce(nullif(trim(regexp_extract(b, '(?im)^location:[ \t]*([^\n]*)', 1)), ''), 'unknown') AS location, coalesce(nullif(trim(regexp_extract(b, '(?im)^severity:[ \t]*([^\n]*)', 1)), ''), 'Medium') AS severity,
  array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda l: trim(l)), lambda l: l <> '' AND NOT regexp_matches(l, '(?i)^(location|severity):')), ' ') AS description
-FROM (SELECT id, s, substr(s, strpos(s, chr(10))) AS b FROM (SELECT id, unnest(string_split_regex(text, '(?m)^##[ \t]+')[2:]) AS s FROM """ + relation(ANSWERS, "id, text") + "))")
+FROM (SELECT id, s, substr(s, strpos(s, chr(10))) AS b FROM (SELECT id, unnest(string_split_regex(text, '(?m)^##[ \t]+')[2:]) AS s FROM """ + grown_sql(ANSWERS, "id, text", "text") + "))")
 def bias_findings(spark, sf_dir):
-    return spark.createDataFrame(list(ANSWERS), "id int, text string").select("id", F.explode(U.bias_findings(F.col("text"))).alias("f")).select("id", "f.*")
+    return grown(spark, sf_dir, ANSWERS, "id int, text string", "text").select("id", F.explode(U.bias_findings(F.col("text"))).alias("f")).select("id", "f.*")
 
 
 CODES = ((1, "python", "def a(x):\n  pass\nasync def b(): pass"), (2, "javascript", "function f() {}\nconst g = async (x) => x"), (3, "rust", "pub fn h() {}"), (4, "go", "func (s *S) M() {}\nfunc n() {}"), (5, "cobol", "function x"), (6, "solidity", "function p() external {}"), (7, "java", "public static int q(int a) {}"))
 
 
-@query("SELECT id, array_to_string(CASE language " + " ".join(f"WHEN '{n}' THEN regexp_extract_all(code, {literal(p)}, 1)" for n, p in U.STARTS.items() if n != "javascript") + r" WHEN 'javascript' THEN list_transform(regexp_extract_all(code, '\bfunction\s+\w+|\b(?:const|let)\s+\w+\s*='), lambda x: regexp_extract(x, '(\w+)\s*=?$', 1)) ELSE [] END, ',') AS names FROM " + relation(CODES, "id, language, code"))
+@query("SELECT id, array_to_string(CASE language " + " ".join(f"WHEN '{n}' THEN regexp_extract_all(code, {literal(p)}, 1)" for n, p in U.STARTS.items() if n != "javascript") + r" WHEN 'javascript' THEN list_transform(regexp_extract_all(code, '\bfunction\s+\w+|\b(?:const|let)\s+\w+\s*='), lambda x: regexp_extract(x, '(\w+)\s*=?$', 1)) ELSE [] END, ',') AS names FROM " + grown_sql(CODES, "id, language, code", "code"))
 def function_names(spark, sf_dir):
-    rows = spark.createDataFrame(list(CODES), "id int, language string, code string")
+    rows = grown(spark, sf_dir, CODES, "id int, language string, code string", "code")
     return rows.select("id", F.array_join(U.function_names(F.col("code"), F.col("language")), ",").alias("names"))
 
 

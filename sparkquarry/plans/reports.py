@@ -8,7 +8,7 @@ from ..functions import json as J
 from ..functions import reports as R
 from ..functions import scalars as S
 from ..functions import text as T
-from .base import literal, query, relation, table
+from .base import grown, grown_sql, literal, query, relation, table
 
 #: What refers to elsewhere, for an engine without look-behind: what stands before a mention stays.
 REFERENCES = r"<!--(?s:.*?)-->|\[!\[[^\]\n]*\]\([^)\n]*\)\](?:\([^)\n]*\))?|!\[[^\]\n]*\]\([^)\n]*\)|\[([^\]\[\n]*)\](?:\([^)\n]*\)|\[[^\]\n]*\])|<[^<>\n]+>|https?://\S+|(^|\W)@[A-Za-z0-9-]+|(^|\W)#\d+\b|\bGH-\d+\b"
@@ -62,10 +62,10 @@ KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.EXTENSIONS.items()) +
 DOCUMENTED = r"CASE WHEN regexp_matches(code, 'pragma solidity|\bcontract\s+\w+') THEN 'solidity' WHEN regexp_matches(code, '(?m)^\s*(def|class)\s+\w+.*:') THEN 'python' WHEN regexp_matches(code, '\bfunction\b|=>|\bconst\b') THEN 'javascript' WHEN regexp_matches(code, '(?m)^#{1,6} ') THEN 'markdown' ELSE 'unknown' END"
 
 
-@query(rf"SELECT id, coalesce({KNOWN}[lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))], 'unknown') AS by_path, CASE WHEN best.score > 0 THEN best.lang ELSE 'unknown' END AS guessed, {DOCUMENTED} AS documented FROM (SELECT *, list_max([{SCORES}]) AS best FROM {relation(FILES, 'id, path, code')})")
+@query(rf"SELECT id, coalesce({KNOWN}[lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))], 'unknown') AS by_path, CASE WHEN best.score > 0 THEN best.lang ELSE 'unknown' END AS guessed, {DOCUMENTED} AS documented FROM (SELECT *, list_max([{SCORES}]) AS best FROM {grown_sql(FILES, 'id, path, code', 'code')})")
 def language_guess(spark, sf_dir):
     code = F.col("code")
-    return spark.createDataFrame(list(FILES), "id int, path string, code string").select("id", T.language_of_path(F.col("path")).alias("by_path"), T.guess_language(code).alias("guessed"), S.documentation_language(code).alias("documented"))
+    return grown(spark, sf_dir, FILES, "id int, path string, code string", "code").select("id", T.language_of_path(F.col("path")).alias("by_path"), T.guess_language(code).alias("guessed"), S.documentation_language(code).alias("documented"))
 
 
 #: Reports of orders: with parts by heading or in bold, or without any; the words are the order's.
@@ -117,22 +117,22 @@ RULES = {"oracle|price": "Check the price source", "transfer|approve": "Check th
 
 
 @query(r"""SELECT id, array_to_string(CASE WHEN listed <> '' THEN listed::JSON::VARCHAR[] ELSE list_transform(regexp_extract_all(text, '(?m)^[ \t]*(?:[-*•]|\d+[.)])[ \t]+([^\n]+)', 1), lambda b: trim(b)) END, '|') AS checks,
-  array_to_string(list_filter([""" + ", ".join(f"CASE WHEN regexp_matches(topic, '{k}') THEN {literal(v)} END" for k, v in RULES.items()) + r"""], lambda x: x IS NOT NULL), '|') AS by_topic FROM (SELECT *, regexp_extract(text, '(?s)\[\s*".*"\s*\]') AS listed FROM """ + relation(RESPONSES, "id, text, topic") + ")")
+  array_to_string(list_filter([""" + ", ".join(f"CASE WHEN regexp_matches(topic, '{k}') THEN {literal(v)} END" for k, v in RULES.items()) + r"""], lambda x: x IS NOT NULL), '|') AS by_topic FROM (SELECT *, regexp_extract(text, '(?s)\[\s*".*"\s*\]') AS listed FROM """ + grown_sql(RESPONSES, "id, text, topic", "text topic") + ")")
 def response_checks(spark, sf_dir):
-    rows = spark.createDataFrame(list(RESPONSES), "id int, text string, topic string")
+    rows = grown(spark, sf_dir, RESPONSES, "id int, text string, topic string", "text topic")
     return rows.select("id", F.array_join(R.checks(F.col("text")), "|").alias("checks"), F.array_join(R.keyword_checks(F.col("topic"), RULES), "|").alias("by_topic"))
 
 
-@query(r"""SELECT id, q ->> 'sub_question' AS sub_question, q ->> 'tool_name' AS tool_name FROM (SELECT id, unnest(regexp_extract(text, '(?s)\[\s*\{.*\}\s*\]')::JSON::JSON[]) AS q FROM """ + relation(RESPONSES, "id, text, topic") + r" WHERE regexp_matches(text, '(?s)\[\s*\{.*\}\s*\]'))")
+@query(r"""SELECT id, q ->> 'sub_question' AS sub_question, q ->> 'tool_name' AS tool_name FROM (SELECT id, unnest(regexp_extract(text, '(?s)\[\s*\{.*\}\s*\]')::JSON::JSON[]) AS q FROM """ + grown_sql(RESPONSES, "id, text, topic", "text topic") + r" WHERE regexp_matches(text, '(?s)\[\s*\{.*\}\s*\]'))")
 def sub_questions(spark, sf_dir):
-    return spark.createDataFrame(list(RESPONSES), "id int, text string, topic string").select("id", F.explode(R.sub_questions(F.col("text"))).alias("q")).select("id", "q.*")
+    return grown(spark, sf_dir, RESPONSES, "id int, text string, topic string", "text topic").select("id", F.explode(R.sub_questions(F.col("text"))).alias("q")).select("id", "q.*")
 
 
-@query(r"""SELECT id, 'path' AS kind, array_to_string(list_transform(string_split_regex(line, '->|→'), lambda x: trim(x)), '/') AS value FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM """ + relation(RESPONSES, "id, text, topic") + r""") WHERE regexp_matches(line, '->|→')
-UNION ALL SELECT id, coalesce(nullif(regexp_extract(b, '^(?:```|~~~)(\w*)', 1), ''), 'text'), regexp_extract(b, '(?s)^[^\n]*\n(.*?)(?:```|~~~)$', 1) FROM (SELECT id, unnest(regexp_extract_all(text, '(?s)```\w*\n.*?```|~~~\w*\n.*?~~~')) AS b FROM """ + relation(RESPONSES, "id, text, topic") + ")")
+@query(r"""SELECT id, 'path' AS kind, array_to_string(list_transform(string_split_regex(line, '->|→'), lambda x: trim(x)), '/') AS value FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM """ + grown_sql(RESPONSES, "id, text, topic", "text topic") + r""") WHERE regexp_matches(line, '->|→')
+UNION ALL SELECT id, coalesce(nullif(regexp_extract(b, '^(?:```|~~~)(\w*)', 1), ''), 'text'), regexp_extract(b, '(?s)^[^\n]*\n(.*?)(?:```|~~~)$', 1) FROM (SELECT id, unnest(regexp_extract_all(text, '(?s)```\w*\n.*?```|~~~\w*\n.*?~~~')) AS b FROM """ + grown_sql(RESPONSES, "id, text, topic", "text topic") + ")")
 def response_parts(spark, sf_dir):
     """Arrow paths of lines, and fenced blocks by language."""
-    rows = spark.createDataFrame(list(RESPONSES), "id int, text string, topic string")
+    rows = grown(spark, sf_dir, RESPONSES, "id int, text string, topic string", "text topic")
     paths = rows.select("id", F.lit("path").alias("kind"), F.explode(T.arrow_paths(F.col("text"))).alias("p")).select("id", "kind", F.array_join("p", "/").alias("value"))
     return paths.unionByName(rows.select("id", F.explode(T.fenced_blocks(F.col("text"))).alias("b")).select("id", F.col("b.language").alias("kind"), F.col("b.code").alias("value")))
 
@@ -149,9 +149,9 @@ def gated_findings(spark, sf_dir):
 OUTPUTS = ((1, '======= a.sol =======\n{"x": 1}\n\n======= b/c.sol =======\n[1, 2]\n'), (2, "no sections"), (3, "=== bad ===\nnot json\n=== ok ===\n{}"))
 
 
-@query(r"""SELECT id, file, json FROM (SELECT id, unnest(files) AS file, regexp_replace(unnest(bodies[2:]), '^\s+|\s+$', '', 'g') AS json FROM (SELECT id, regexp_extract_all(text, '={3,}[ \t]*([^=\n]+?)[ \t]*={3,}', 1) AS files, string_split_regex(text, '={3,}[ \t]*[^=\n]+?[ \t]*={3,}') AS bodies FROM """ + relation(OUTPUTS, "id, text") + ")) WHERE json_valid(json)")
+@query(r"""SELECT id, file, json FROM (SELECT id, unnest(files) AS file, regexp_replace(unnest(bodies[2:]), '^\s+|\s+$', '', 'g') AS json FROM (SELECT id, regexp_extract_all(text, '={3,}[ \t]*([^=\n]+?)[ \t]*={3,}', 1) AS files, string_split_regex(text, '={3,}[ \t]*[^=\n]+?[ \t]*={3,}') AS bodies FROM """ + grown_sql(OUTPUTS, "id, text", "text", 'x') + ")) WHERE json_valid(json)")
 def compiler_sections(spark, sf_dir):
-    return spark.createDataFrame(list(OUTPUTS), "id int, text string").select("id", F.explode(R.compiler_sections(F.col("text"))).alias("s")).select("id", "s.*")
+    return grown(spark, sf_dir, OUTPUTS, "id int, text string", "text", 'x').select("id", F.explode(R.compiler_sections(F.col("text"))).alias("s")).select("id", "s.*")
 
 
 TEMPLATE = "Part {{name}} ({{brand}}):{{#if big}} big{{/if}}{{#if big}}{{#if cheap}} and cheap{{/if}}{{/if}}{{#each tags}} [{{this.k}}={{v}} of {{name}}]{{/each}} {{unknown}}"
@@ -171,9 +171,9 @@ NEEDS = {"title": "STRING", "n": "BIGINT", "tags": "ARRAY"}
 KINDS = {"STRING": "VARCHAR", "BIGINT": "UBIGINT", "ARRAY": "ARRAY"}
 
 
-@query("SELECT id, CASE WHEN NOT json_valid(text) THEN 'not JSON' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce(json_type(text, '$.{n}'), 'NULL') = 'NULL' THEN '{n}: missing' WHEN json_type(text, '$.{n}') <> '{KINDS[k]}' THEN '{n}: not {k}' END" for n, k in NEEDS.items()) + "], lambda x: x IS NOT NULL), '|') END AS faults, '{\"title\":\"\",\"n\":0,\"tags\":[]}' AS empty FROM " + relation(RECORDS, "id, text"))
+@query("SELECT id, CASE WHEN NOT json_valid(text) THEN 'not JSON' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce(json_type(text, '$.{n}'), 'NULL') = 'NULL' THEN '{n}: missing' WHEN json_type(text, '$.{n}') <> '{KINDS[k]}' THEN '{n}: not {k}' END" for n, k in NEEDS.items()) + "], lambda x: x IS NOT NULL), '|') END AS faults, '{\"title\":\"\",\"n\":0,\"tags\":[]}' AS empty FROM " + grown_sql(RECORDS, "id, text", "text", 'x'))
 def schema_faults(spark, sf_dir):
-    return spark.createDataFrame(list(RECORDS), "id int, text string").select("id", F.array_join(R.schema_faults(F.col("text"), NEEDS), "|").alias("faults"), R.empty_of(NEEDS).alias("empty"))
+    return grown(spark, sf_dir, RECORDS, "id int, text string", "text", 'x').select("id", F.array_join(R.schema_faults(F.col("text"), NEEDS), "|").alias("faults"), R.empty_of(NEEDS).alias("empty"))
 
 
 NAMES = (
@@ -184,9 +184,9 @@ NAMES = (
 
 @query(r"""SELECT id, regexp_replace(concat_ws('_', string_split(path, '/')[-1], suffix), '[^A-Za-z0-9_\-.]', '_', 'g') AS document_id, strftime(try_strptime(regexp_extract(path, '(\d{8}_\d{6})', 1), '%Y%m%d_%H%M%S'), '%Y-%m-%d %H:%M:%S') AS report_date, epoch_us(try_cast(completed AS TIMESTAMP) - try_cast(started AS TIMESTAMP)) / 1e6 AS seconds,
   CASE WHEN score >= 9 THEN 'excellent' WHEN score >= 7 THEN 'good' WHEN score >= 4 THEN 'fair' ELSE 'poor' END AS level, nullif(regexp_extract(code, '\bif\s*\(([^)]*)\)', 1), '') AS condition, CASE WHEN exact THEN result = expected ELSE contains(lower(result), lower(expected)) END AS as_expected,
-  md5(concat_ws('/', path, result)) AS key, nullif(suffix, '') AS suffix FROM """ + relation(NAMES, "id, path, suffix, started, completed, score, code, result, expected, exact"))
+  md5(concat_ws('/', path, result)) AS key, nullif(suffix, '') AS suffix FROM """ + grown_sql(NAMES, "id, path, suffix, started, completed, score, code, result, expected, exact", "path code result", 'x'))
 def record_functions(spark, sf_dir):
-    rows = spark.createDataFrame(list(NAMES), "id int, path string, suffix string, started string, completed string, score double, code string, result string, expected string, exact boolean")
+    rows = grown(spark, sf_dir, NAMES, "id int, path string, suffix string, started string, completed string, score double, code string, result string, expected string, exact boolean", "path code result", 'x')
     c = F.col
     return rows.select(
         "id", S.document_id(c("path"), c("suffix")).alias("document_id"), F.date_format(S.report_date(c("path")), "yyyy-MM-dd HH:mm:ss").alias("report_date"), S.duration(c("started"), c("completed")).alias("seconds"), S.quality_level(c("score")).alias("level"),
