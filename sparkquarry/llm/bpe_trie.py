@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import held, memory_returned, small_batches, text_or_empty
 
-#: Entries that one Python worker keeps: chunks between white space, pre-tokens; and token pairs.
-CHUNKS, WORDS, PAIRS = 250_000, 160_000, 200_000
+#: Entries that one Python worker keeps: chunks between white space, some 400 bytes each, pre-tokens by chunk; and token pairs.
+CHUNKS, WORDS, PAIRS = 250_000, 0.64, 200_000
 #: Bytes of a chunk or pre-token that is kept after its texts are done.
 LONG = 200
 #: Bytes of text whose new words make one trie; a text is not cut.
@@ -219,9 +219,10 @@ class TextEncoder:
     #: The pre-tokenizer's own pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, chunks: int = CHUNKS):
         from tokenizers import Tokenizer
 
+        self.most_chunks, self.most_words = chunks, int(chunks * WORDS)
         spec = json.load(open(file, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -283,7 +284,7 @@ class TextEncoder:
         for chunk, ps in other.items():
             self.chunk_ids[chunk] = "".join([self.numbers[p] if p.__class__ is int else self.word_ids["\n" + p] for p in ps])
             self.chunk_tokens[chunk] = "".join([self.names[p] if p.__class__ is int else self.word_tokens["\n" + p] for p in ps])
-        if len(self.word_ids) > WORDS:
+        if len(self.word_ids) > self.most_words:
             self.forget_words()
 
     def forget_words(self) -> None:
@@ -301,7 +302,7 @@ class TextEncoder:
     def know(self, chunks: set[bytes]) -> None:
         """Put the chunks into the table; when it is full, only those of them that it has stay."""
         new = chunks.difference(self.chunk_ids)
-        if len(self.chunk_ids) + len(new) > CHUNKS:
+        if len(self.chunk_ids) + len(new) > self.most_chunks:
             kept = chunks.difference(new)
             self.chunk_ids, self.chunk_tokens = ({c: table[c] for c in kept} for table in (self.chunk_ids, self.chunk_tokens))
         if new:
@@ -312,8 +313,8 @@ class TextEncoder:
         gives, of texts as chunks. The new chunks of all texts make one trie, or of as many as fit in the table."""
         out, at = [], 0
         while at < len(texts):
-            wanted, upto = set(texts[at][:CHUNKS]), at + 1
-            while upto < len(texts) and len(wanted) + len(texts[upto]) < CHUNKS:
+            wanted, upto = set(texts[at][: self.most_chunks]), at + 1
+            while upto < len(texts) and len(wanted) + len(texts[upto]) < self.most_chunks:
                 wanted.update(texts[upto])
                 upto += 1
             self.know(wanted)
@@ -330,8 +331,8 @@ class TextEncoder:
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[int, str, str]:
         ids, tokens = [], []
-        for at in range(0, len(chunks), CHUNKS):  # in steps, so that the chunks of any text fit in the table
-            part = chunks[at : at + CHUNKS]
+        for at in range(0, len(chunks), self.most_chunks):  # in steps, so that the chunks of any text fit in the table
+            part = chunks[at : at + self.most_chunks]
             if at:
                 self.know(set(part))
             ids.append("".join(map(self.chunk_ids.__getitem__, part)))
@@ -343,16 +344,16 @@ class TextEncoder:
         return self.encode_split([text.split()])[0]
 
 
-def encoder_of(file: str) -> TextEncoder:
-    return held(("bpe", file), lambda: TextEncoder(file))
+def encoder_of(file: str, chunks: int = CHUNKS) -> TextEncoder:
+    return held(("bpe", file, chunks), lambda: TextEncoder(file, chunks))
 
 
-def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str, columns, chunks: int) -> DataFrame:
     """A row a row of docs: its id, and the columns that ``columns`` makes of encoded texts."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = encoder_of(file)
+        encoder = encoder_of(file, chunks)
         for number, batch in enumerate(batches, 1):
             texts, at = batch.column(1), 0
             while at < len(texts):
@@ -373,21 +374,22 @@ def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, schema: str
     return source.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
 
 
-def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
     """(id, n_tokens, ids, decoded) of each row: decimal ids joined by a space, and their decoding.
 
     Whole texts, without begin, end or added special tokens; special strings inside a text become their ids, as the
     library does. Null or empty text has no tokens and decodes to the empty text. Repeated rows and null ids give a row
-    each, an empty table none; other columns are ignored. One narrow pass without shuffle; tables in a worker are bounded.
+    each, an empty table none; other columns are ignored. One narrow pass without shuffle; a worker's tables have ``chunks`` entries at
+    most, fewer take less memory and more time.
     """
 
     def columns(rows):
         return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
 
-    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids string, decoded string", columns)
+    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids string, decoded string", columns, chunks)
 
 
-def encoding_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row: digests of what encode_texts gives, worked out where it arises.
 
     Nulls, empty and long texts, repeats, null ids, empty tables and other columns are as there.
@@ -397,4 +399,4 @@ def encoding_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_co
         digests = [[sha256(r[i].encode()).hexdigest() for r in rows] for i in (1, 2)]
         return [pa.array([r[0] for r in rows], pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
 
-    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return _encoded(docs, file, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns, chunks)
