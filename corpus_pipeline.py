@@ -12,6 +12,8 @@ from sparkquarry.llm.queries import tokenizer_file
 
 #: Least posterior of a language that a document is kept for.
 SURE = 0.5
+#: Chunks of text whose encodings a worker keeps, fewer than by default, as executors still hold memory of the stages before.
+CHUNKS = 80_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a row: number of tokens, and digests of its ids and of what they decode to. Null text counts as empty."""
-    return bpe_trie.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"))
+    return bpe_trie.encoding_digests(docs, tokenizer_file("word_bpe_49k.json"), chunks=CHUNKS)
 
 
 STAGES = [
