@@ -91,3 +91,16 @@ def test_text_functions(spark):
     code = spark.createDataFrame([("function f(uint a) external view returns (uint) { return g(a); }",)], "content string")
     (row,) = C.functions(code).collect()
     assert (row["name"], row["visibility"], row["is_view"], row["is_payable"]) == ("f", "external", True, False)
+
+
+def test_equal_sets_are_compared_once(spark):
+    from sparkquarry.operators import retrieval
+
+    sets = spark.createDataFrame([(i, [i % 3, 7, 8]) for i in range(60)] + [(60, [1, 1, 7]), (61, [])], "id int, items array<int>")
+    got = retrieval.set_matches(sets.where("id % 10 = 0"), sets, 0.6, "id", "id", "items")
+    rows = {r["id"]: set(r["items"]) for r in sets.collect()}
+    want = {(a, b) for a in rows for b in rows if a % 10 == 0 and rows[a] and len(rows[a] & rows[b]) >= 0.6 * len(rows[a] | rows[b])}
+    pairs = [(r["query_id"], r["row_id"]) for r in got.collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    # what meets by items isn't made distinct by pairs of ids, which would shuffle it
+    assert "Aggregate [query_id" not in got._jdf.queryExecution().optimizedPlan().toString().replace("row_id", "query_id").split("Join", 1)[0]
