@@ -107,3 +107,10 @@ def fenced_blocks(text: Column) -> Column:
     """Array of (language, code) of fenced blocks; ``text`` where none is named."""
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"(?s)(```|~~~)(\w*)\n(.*?)\1"), 2).alias("language"), F.regexp_extract_all(text, F.lit(r"(?s)(```|~~~)(\w*)\n(.*?)\1"), 3).alias("code"))
     return F.transform(parts, lambda p: F.struct(F.coalesce(F.nullif(p["language"], F.lit("")), F.lit("text")).alias("language"), p["code"].alias("code")))
+
+
+def upper_letter(letter: str) -> str:
+    """A character's capital, if that is one character too; str.upper() makes two or three of some, such as a sharp s or a ligature."""
+    if len(upper := letter.upper()) <= 1:
+        return upper
+    return "\u1e9e" if letter == "\u00df" else title if len(title := letter.title()) == 1 else letter

@@ -102,7 +102,8 @@ def model_processor(spark, sf_dir):
     def process(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(len, texts)], pa.int64()), pa.array([t[:1].upper() for t in texts])], names=["doc_id", "chars", "initial"])
+            chars, initials = [None if t is None else len(t) for t in texts], [None if t is None else T.upper_letter(t[:1]) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars, pa.int64()), pa.array(initials, pa.string())], names=["doc_id", "chars", "initial"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(process, "doc_id long, chars long, initial string")
 

@@ -62,3 +62,17 @@ def test_reports(spark):
     assert column(spark, [text, "", "an overall HIGH one"], lambda t: R.risk_rating(t, "Medium")) == ["Low", "Medium", "High"]
     parts = column(spark, [text], R.outline)[0]
     assert [(p["level"], p["title"]) for p in parts] == [(0, ""), (7, "Overview"), (2, "Risk")]
+
+
+def test_capital_of_a_letter():
+    from sparkquarry.functions import text
+
+    assert [text.upper_letter(c) for c in ("", "a", "é", "ß", "ŉ", "ᾀ", "ﬁ", "ǆ", "1")] == ["", "A", "É", "ẞ", "ŉ", "ᾈ", "ﬁ", "Ǆ", "1"]
+
+
+def test_processor_of_odd_texts(spark, tmp_path):
+    from sparkquarry.plans import registry
+
+    spark.createDataFrame([(1, "ßa"), (2, None), (3, ""), (4, "ﬁn")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["model_processor"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, "ẞ"), (2, None, None), (3, 0, ""), (4, 2, "ﬁ")]
