@@ -48,3 +48,11 @@ def test_expressions(spark):
     found = flows.new_expressions(stored, contracts, existing)
     assert {(c, r["expression"]) for c in "ABC" for r in flows.expressions_for(found, c).collect()} == {("B", "z"), ("B", "x"), ("C", "x")}
     assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_expressions_of_each_contract(spark):
+    stored = spark.createDataFrame([("any", "t", "c", "x"), ("any", None, "c", "w"), ("A", "t", "c", "y"), ("B", "t", "d", "z")], "contract_pattern string, type string, category string, expression string")
+    contracts, existing = spark.createDataFrame([("A",), ("B",), ("C",)], "contract string"), spark.createDataFrame([("A", "t", "c")], "contract string, type string, category string")
+    found = flows.for_each_contract(flows.new_expressions(stored, contracts, existing), contracts)
+    assert sorted((r["contract"], r["expression"]) for r in found.collect()) == [("A", "w"), ("B", "w"), ("B", "x"), ("B", "z"), ("C", "w"), ("C", "x")]
+    assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
