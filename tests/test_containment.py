@@ -56,3 +56,14 @@ def test_expressions_of_each_contract(spark):
     found = flows.for_each_contract(flows.new_expressions(stored, contracts, existing), contracts)
     assert sorted((r["contract"], r["expression"]) for r in found.collect()) == [("A", "w"), ("B", "w"), ("B", "x"), ("B", "z"), ("C", "w"), ("C", "x")]
     assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_names_in_blocks_and_texts_in_groups(spark, monkeypatch):
+    names, texts = made(random.Random(4))
+    n, t = spark.createDataFrame(names, "id int, name string"), spark.createDataFrame(texts, "doc int, body string")
+    want = {(i, d) for i, a in names for d, b in texts if i is not None and d is not None and a and b and a in b}
+    monkeypatch.setattr(containment, "BLOCK", 30)
+    got = containment.holding(n, t, "id", "name", "doc", "body")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # texts are scanned where they are: no gram is a row
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
