@@ -104,3 +104,21 @@ def test_equal_sets_are_compared_once(spark):
     assert set(pairs) == want and len(pairs) == len(want)
     # what meets by items isn't made distinct by pairs of ids, which would shuffle it
     assert "Aggregate [query_id" not in got._jdf.queryExecution().optimizedPlan().toString().replace("row_id", "query_id").split("Join", 1)[0]
+
+
+def test_top_rows_hold_a_bounded_number_of_scores(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkquarry.operators import retrieval
+
+    draw = np.random.default_rng(2)
+    rows = draw.integers(-2, 3, (500, 4)).astype(float)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(rows[i : i + 100].tolist())], names=["id", "v"]) for i in range(0, 500, 100)]
+    want = sorted(zip(*(x.tolist() for x in retrieval.top_scores(np.arange(500), rows, rows[:30], 7, 6))))
+    seen, scored = [], retrieval.top_scores
+    monkeypatch.setattr(retrieval, "CELLS", 600)
+    monkeypatch.setattr(retrieval, "top_scores", lambda ids, *a: seen.append(len(ids) * 30) or scored(ids, *a))
+    out = list(retrieval._matcher(np.arange(30), rows[:30], 7, 6)(iter(batches)))
+    assert len(out) == 1 and max(seen) <= 600
+    assert sorted(zip(*(c.to_pylist() for c in out[0].columns))) == want
