@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import structure as S
 from ..operators import chunking, dataflow, taint
+from ..shared import dealt
 from .base import query, table
 
 #: (file_id, content); negative ids, as those of parts are positive.
@@ -75,7 +76,7 @@ MADE = """concat('contract P', cast(p_partkey AS string), ' is Base', cast(p_siz
 
 def files(spark, sf_dir):
     written = spark.createDataFrame(list(WRITTEN), "file_id long, content string")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(MADE).alias("content")).unionByName(written)
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("file_id"), F.expr(MADE).alias("content")).unionByName(written)
 
 
 def _literal(text: str) -> str:
@@ -278,7 +279,7 @@ NESTED = """concat('contract N', cast(p_partkey AS string), ' { // } {', chr(10)
   VALUES ('f', 3, 2 * p_size + 2), ('g', 2 * p_size + 3, 2 * p_size + 3), ('N' || p_partkey, 1, 2 * p_size + 3), ('blocks and depth', p_size + 2, p_size + 1)) v(name, start_line, end_line)""")
 def code_nested_blocks(spark, sf_dir):
     """Functions, contracts and blocks of any depth, whatever strings and comments hold."""
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(NESTED).alias("content"))
+    files = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("file_id"), F.expr(NESTED).alias("content"))
     columns = ["file_id", "name", "start_line", "end_line"]
     blocks = files.select("file_id", S.blocks(S.masked(F.col("content"))).alias("b"))
     counts = blocks.select("file_id", F.lit("blocks and depth").alias("name"), F.size("b").alias("start_line"), F.array_max(F.transform("b", lambda b: b["depth"])).alias("end_line"))
@@ -296,5 +297,5 @@ r(file_id, node, steps) AS (SELECT file_id, 2 * k, 0 FROM p UNION SELECT e.file_
 SELECT file_id, 'f' || node // 2 AS function, 'a' || node // 2 AS variable, 'f' || k AS sink_function, 'reentrancy' AS vulnerability, min(steps)::INT AS steps FROM r JOIN p USING (file_id) WHERE node % 4 = 0 GROUP BY file_id, node, k""")
 def flows_across_functions(spark, sf_dir):
     """What can be chosen from outside and reaches a sink in another function, through calls that recur."""
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(CHAIN).alias("content"))
+    files = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("file_id"), F.expr(CHAIN).alias("content"))
     return dataflow.flows_across(files).select("file_id", "function", "variable", "sink_function", "vulnerability", "steps")

@@ -53,3 +53,12 @@ def test_kmeans_clusters(spark):
     texts = " ".join(t.lower() for (t,) in duckdb.sql(f"SELECT text FROM '{FOLDER}/documents.parquet'").fetchall())
     assert sum(r["n"] for r in rows) == 200 and 1 < len(rows) <= 4 and len({r["label"] for r in rows}) == len(rows)
     assert all(len(set(r["terms"])) == 5 and all(t in texts for t in r["terms"]) for r in rows)
+
+
+def test_made_files_are_dealt_to_tasks(spark, tmp_path):
+    from sparkquarry.plans import base, code
+
+    spark.range(200).selectExpr("id AS p_partkey", "'part' AS p_name", "'b' AS p_brand", "'t' AS p_type", "cast(id % 50 AS int) AS p_size", "1.0D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = [code.files(spark, str(tmp_path)), base.grown(spark, str(tmp_path), [(1, "a"), (2, "b")], "id int, text string", "text")]
+    for df in made:  # one small file of parts is no single task of texts
+        assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
