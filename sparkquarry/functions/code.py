@@ -1,6 +1,6 @@
 """Extraction from contract code: functions, modifiers, events, contracts, comments, control flow, taint, all with line numbers.
 
-All are expressions of built-in functions over a text column; table functions explode them to one row a match.
+All are expressions over a text column, of built-in functions but for headers with their blocks; table functions explode them to one row a match.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import to_workers
 from .structure import headed, masked, newlines, spans
 
 #: How the language writes functions, modifiers, events and contracts.
@@ -27,6 +28,7 @@ def rows_of(files: DataFrame, text_col: str, pattern: str, *names: str, scan: Co
 
 def blocks_of(files: DataFrame, text_col: str, header: str, *names: str) -> DataFrame:
     """One row a header with its block, at any depth, beside the columns of files but the text."""
+    to_workers(files.sparkSession)
     kept = [c for c in files.columns if c != text_col]
     found = files.select(*kept, F.explode(headed(F.col(text_col), header, *names)).alias("m"))
     return found.select(*kept, "m.ordinal", "m.start_line", "m.end_line", "m.whole", *(f"m.{n}" for n in names), "m.body")

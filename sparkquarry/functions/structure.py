@@ -1,13 +1,16 @@
 """Structural index of source code: strings and comments by one scan, blocks of braces at any depth, headers with their blocks.
 
-All are expressions of built-in functions over a text column, in time about linear in the text: arrays are folded by chunks, so
-that appending to one doesn't copy what was there before, and braces are matched by sorting them by depth.
+All are expressions over a text column, in time about linear in the text. They are of built-in functions, where arrays are folded by
+chunks, so that appending to one doesn't copy what was there before, and braces are matched by sorting them by depth; headers with
+their blocks, which most queries over code need, are scanned in batches instead.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,37 +116,59 @@ def blocks(code: Column) -> Column:
     return bound(ordered, pairs)
 
 
-def headed(text: Column, header: str, *names: str) -> Column:
-    r"""Array of (ordinal, start, end, start_line, end_line, whole, groups by name, body) of what a header, a pattern that ends before
-    ``{``, stands before: nested ones too. Headers and braces in strings and comments don't count; groups are of masked code.
-    ``body`` is the block with its braces; one that isn't closed ends with the text. Offsets are code points from 0."""
+def java(pattern: str) -> re.Pattern:
+    r"""A pattern with the meaning that the engine's own functions give it: classes are of ASCII, ``\b`` is not."""
+    return re.compile(pattern.replace(r"\b", r"(?u:\b)").replace(r"\z", r"\Z"), re.ASCII)
+
 
-    def found(code: Column) -> Column:
-        heads = spans(code, header + r"\{", *names)
+def masked_text(text: str, escaped: re.Pattern = re.compile(ESCAPED), literal: re.Pattern = java(LITERAL), seen: re.Pattern = re.compile(r"[^\n]")) -> str:
+    """masked() of one text."""
+    if "/" not in text and '"' not in text and "'" not in text:
+        return text
+    return literal.sub(lambda m: seen.sub(" ", m[0]), escaped.sub("  ", text))
 
-        def met(pair: Column) -> Column:
-            hs, bs = pair["heads"], pair["blocks"]
-            mark = lambda at, kind, close, i: F.struct(at.alias("at"), kind.alias("kind"), close.cast("int").alias("close"), i.alias("i"))
-            marks = F.array_sort(F.concat(F.transform(bs, lambda b: mark(b["open"], F.lit(0), b["close"], F.lit(-1))), F.transform(hs, lambda h, i: mark(h["end"] - 1, F.lit(1), F.lit(None), i))))
 
-            def whole(m: Column) -> Column:
-                both = F.arrays_zip(m.alias("now"), F.concat(F.array(mark(F.lit(-1), F.lit(0), F.lit(None), F.lit(-1))), m).alias("before"))
-                own = F.filter(both, lambda p: p["now"]["kind"] == 1)
+def closes(code: str, first: int, braces: re.Pattern = re.compile("[{}]")) -> dict[int, int]:
+    """Offset behind the end of each block of masked code that begins at ``first`` or later, by that of its opening brace."""
+    opened: list[int] = []
+    out = {}
+    for m in braces.finditer(code, first):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
 
-                def row(p: Column) -> Column:
-                    h = F.get(hs, p["now"]["i"])
-                    end = F.when(p["before"]["at"] == p["now"]["at"], p["before"]["close"] + 1).otherwise(F.length(text))
-                    body = F.substr(text, h["end"], end - h["end"] + 1)
-                    code = F.substr(text, h["start"] + 1, end - h["start"])
-                    return F.struct(
-                        p["now"]["i"].alias("ordinal"), h["start"].alias("start"), end.alias("end"), h["start_line"].alias("start_line"), (h["end_line"] + newlines(body)).alias("end_line"),
-                        code.alias("whole"), *(h[n].alias(n) for n in names), body.alias("body"),
-                    )
 
-                return F.transform(own, row)
+def heads(text: str, head: re.Pattern) -> list[tuple]:
+    """Rows of headed() of one text; ``head`` ends with the brace."""
+    code, out, ends, at, line = masked_text(text), [], None, 0, 1
+    for i, m in enumerate(head.finditer(code)):
+        start, brace = m.start(), m.end() - 1
+        ends = closes(code, brace) if ends is None else ends
+        end = ends.get(brace, len(text))
+        line, at = line + text.count("\n", at, start), start
+        out.append((i, start, end, line, line + text.count("\n", start, end), text[start:end], *(g or "" for g in m.groups()), text[brace:end]))
+    return out
 
-            return bound(marks, whole)
 
-        return bound(F.struct(heads.alias("heads"), blocks(code).alias("blocks")), met)
+def headed(text: Column, header: str, *names: str) -> Column:
+    r"""Array of (ordinal, start, end, start_line, end_line, whole, groups by name, body) of what a header, a pattern that ends before
+    ``{``, stands before: nested ones too. Headers and braces in strings and comments don't count; groups are of masked code.
+    ``body`` is the block with its braces; one that isn't closed ends with the text. Offsets are code points from 0.
 
-    return bound(masked(text), found)
+    One scan of each text in its task, a batch at a time. The caller sends the package to the workers.
+    """
+    kinds = {**dict.fromkeys(("ordinal", "start", "end", "start_line", "end_line"), "int"), **dict.fromkeys(("whole", *names, "body"), "string")}
+
+    @F.arrow_udf("array<struct<" + ",".join(f"{n}:{k}" for n, k in kinds.items()) + ">>")
+    def found(texts: pa.Array) -> pa.Array:
+        head, rows, offsets = java(header + r"\{"), [], [0]
+        for t in texts.to_pylist():
+            rows += heads(t, head) if t else ()
+            offsets.append(len(rows))
+        columns = zip(*rows) if rows else ((),) * len(kinds)
+        fields = [pa.array(c, pa.int32() if k == "int" else pa.string()) for c, k in zip(columns, kinds.values())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, list(kinds)))
+
+    return found(text)

@@ -142,3 +142,23 @@ def test_chunks(texts):
         assert chunking.hidden(text) == plain_masked(text)
         assert scopes.get(i, []) == chunking.scopes(text)
         assert chunks.get(i, []) == plain_functions(text)
+
+
+def test_headers_as_the_engine_matches_them(spark):
+    """Classes are of ASCII and word boundaries aren't, for the scan in batches as for the engine's own functions."""
+    gaps = ["", " ", " ", " ", "\t", "\x0b", "\x1c", "\x85", "\n"]
+    texts = [f"{before}function{gap}{name}(a){after}{{ }}" for before in ("", "é", "_", "9", "-", "́") for gap in gaps for name in ("f", "é", "f9", "٣") for after in ("", " is é")]
+    df = spark.createDataFrame(list(enumerate(texts)), "file_id int, content string")
+    want = df.select("file_id", F.explode(S.spans(S.masked(F.col("content")), C.FUNCTION + r"\{", "name", "parameters", "attributes")).alias("m")).select("file_id", "m.start", "m.start_line", "m.name", "m.parameters", "m.attributes")
+    got = df.select("file_id", F.explode(S.headed(F.col("content"), C.FUNCTION, "name", "parameters", "attributes")).alias("m")).select("file_id", "m.start", "m.start_line", "m.name", "m.parameters", "m.attributes")
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() >= 40
+
+
+def test_headers_are_scanned_in_batches(spark, tmp_path):
+    """Each text is scanned once for a use of its headers, by no folds of arrays, whose steps took most of the time of these queries."""
+    from sparkquarry.plans import registry
+
+    spark.range(20).selectExpr("id AS p_partkey", "'part' AS p_name", "'b' AS p_brand", "'t' AS p_type", "cast(id AS int) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    for name, uses in (("code_contracts", 1), ("function_checks", 1), ("call_graph_in_files", 2), ("callers_of", 2), ("callees_of", 2)):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"ArrowEvalPython", plan)) == uses and "aggregate(" not in plan, (name, plan)
