@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +20,24 @@ from .retrieval import cosine_top_k
 def hashed_words(docs: DataFrame, text_col: str = "text", dims: int = 64, name: str = "embedding") -> DataFrame:
     """docs with an embedding of length one: words by the hash of their md5, counted. It stands in for a model's mean-pooled
     vectors, which any function of pandas series to arrays can take the place of in embedded()."""
-    words = F.filter(F.split(F.lower(text_col), r"\W+"), lambda w: w != "")
-    places = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims).cast("int"))
-    return docs.withColumn(name, _counted(places, dims))
-
-
-def _counted(places: Column, dims: int) -> Column:
-    @F.pandas_udf("array<double>")
-    def counted(values: pd.Series) -> pd.Series:
-        def one(v):
-            x = np.bincount(np.array(v, np.int64), minlength=dims).astype(float)
-            n = np.linalg.norm(x)
-            return x / n if n else x
-
-        return values.map(lambda v: one([] if v is None else v))
-
-    return counted(places)
+    return docs.withColumn(name, _counted(F.lower(text_col), dims))
+
+
+def _counted(texts: Column, dims: int) -> Column:
+    @F.arrow_udf("array<double>")
+    def counted(texts: pa.Array) -> pa.Array:
+        words, places, out = re.compile("[a-z0-9_]+"), {}, np.zeros((len(texts), dims))  # a word's hash is worked out once a batch
+        for row, text in zip(out, texts):
+            n = Counter(words.findall(text.as_py() or ""))
+            for w in n:
+                if w not in places:
+                    places[w] = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4], "big") % dims
+            if n:
+                row += np.bincount([places[w] for w in n], list(n.values()), dims)
+                row /= np.linalg.norm(row)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * np.int32(dims)), pa.array(out.ravel()))
+
+    return counted(texts)
 
 
 def embedded(docs: DataFrame, embed=None, text_col: str = "text", dims: int = 64) -> DataFrame:

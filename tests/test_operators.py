@@ -122,3 +122,50 @@ def test_top_rows_hold_a_bounded_number_of_scores(spark, monkeypatch):
     out = list(retrieval._matcher(np.arange(30), rows[:30], 7, 6)(iter(batches)))
     assert len(out) == 1 and max(seen) <= 600
     assert sorted(zip(*(c.to_pylist() for c in out[0].columns))) == want
+
+
+def test_only_what_may_be_among_the_best_is_scored(monkeypatch):
+    """Rows that cannot be among a query's best are screened out, copies of a row and vectors of zeros are not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkquarry.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(4000, 8))
+    rows[::50], rows[7] = rows[3], 0
+    queries = np.concatenate([rows[:20], np.zeros((1, 8))])
+    scores = np.floor(np.nan_to_num(rows @ queries.T / np.maximum(np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(queries, axis=1), 1e-300)) * 1e6 + 0.5) / 1e6
+    want = sorted((q, i, scores[i, q]) for q in range(21) for i in np.lexsort((np.arange(4000), -scores[:, q]))[:3])
+    seen, scored = [], retrieval.top_scores
+    monkeypatch.setattr(retrieval, "CELLS", 21 * 100)
+    monkeypatch.setattr(retrieval, "top_scores", lambda ids, r, q, *a: seen.append(len(ids) * len(q)) or scored(ids, r, q, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(list(rows))], names=["id", "v"])
+    (out,) = retrieval._matcher(np.arange(21), queries, 3, 6)(iter([batch]))
+    assert sorted(zip(*(c.to_pylist() for c in out.columns))) == want and sum(seen) < 21 * 4000 / 2
+
+
+def test_texts_are_embedded_once_whatever_the_blocks_of_queries(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sparkquarry.operators import knowledge, retrieval
+
+    texts = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} Word{i}") for i in range(60)], "id long, text string")
+    calls, asked = spark.sparkContext.accumulator(0), texts.where("id < 12").withColumnRenamed("id", "query_id")
+
+    def counting(t):
+        @F.pandas_udf("array<double>")
+        def f(values):
+            calls.add(len(values))
+            return values.map(lambda x: [float(len(x)), float(x.count("1")), 1.0])
+
+        return f(t)
+
+    found = {}
+    for block in (2000, 3):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        before = calls.value
+        store = knowledge.embedded(texts, counting)
+        found[block] = sorted(map(tuple, knowledge.search_texts(asked, store, 3, counting).collect()))
+        assert calls.value - before <= 60 + 12
+    assert found[3] == found[2000] and len(found[3]) == 36
