@@ -76,3 +76,21 @@ def test_processor_of_odd_texts(spark, tmp_path):
     spark.createDataFrame([(1, "ßa"), (2, None), (3, ""), (4, "ﬁn")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["model_processor"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 2, "ẞ"), (2, None, None), (3, 0, ""), (4, 2, "ﬁ")]
+
+
+def test_entries_split_at_their_beginnings(spark):
+    """As the leftmost matches that don't overlap, whatever ends lines; and an entry's patterns are matched in one place of the plan."""
+    from pyspark.sql import functions as F
+
+    from sparkquarry.functions import reports as R
+    from sparkquarry.functions import structure as S
+
+    starts, ends = ["# A (High)", "## 2. B", "1. **C** - LOW", "- **D** [Low]", "**Severity**: high", "* **Fix:** x", "text", "", "  3) E", "#", "**", "- **"], ["\n", "\n\n", "\r\n", "\r", "\u2028", "\x85", " "]
+    texts = [a + e + b + e + c for e in ends for a in starts for b in starts for c in ("# A (High)", "", "1. x")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    spans = dict(df.select("id", S.spans(F.col("text"), R.ENTRY, "line")).collect())
+    for i, found in df.select("id", R.cut(F.col("text"))).collect():
+        ends_at = [m["start"] for m in spans[i]][1:] + [len(texts[i])]
+        assert [tuple(x) for x in found] == [(m["line"], texts[i][m["end"] : e]) for m, e in zip(spans[i], ends_at)], repr(texts[i])
+    plan = R.entries(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(R.AT_THE_END[:40]) <= 3  # twice for the level, which may be empty, once for the title; none for the condition
