@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from ..shared import dealt, written
 from ..ship import to_workers
 from . import pipeline
 from .base import query, table
@@ -85,10 +86,12 @@ def kmeans_clusters(spark, sf_dir):
 
     stages = [RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+"), StopWordsRemover(inputCol="w", outputCol="s"), CountVectorizer(inputCol="s", outputCol="tf", vocabSize=20000, minDF=2, maxDF=0.8)]
     stages += [IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), KMeans(k=4, seed=42, maxIter=10)]
-    model = Pipeline(stages=stages).fit(table(spark, sf_dir, "documents"))
+    # a file of few row groups would leave all rounds to few tasks, which hold and read its features each time
+    docs = written(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").sortWithinPartitions("doc_id"))
+    model = Pipeline(stages=stages).fit(docs)
     words, centers = model.stages[2].vocabulary, model.stages[-1].clusterCenters()
     terms = [(i, [words[j] for j in c.argsort()[::-1][:5]]) for i, c in enumerate(centers)]
-    sizes = model.transform(table(spark, sf_dir, "documents")).groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = model.transform(docs).groupBy(F.col("prediction").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(F.broadcast(spark.createDataFrame(terms, "label int, terms array<string>")), "label")
 
 

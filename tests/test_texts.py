@@ -78,6 +78,17 @@ def test_processor_of_odd_texts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 2, "ẞ"), (2, None, None), (3, 0, ""), (4, 2, "ﬁ")]
 
 
+def test_clusters_are_fitted_by_more_tasks_than_a_file_has_row_groups(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    from sparkquarry.plans import registry
+
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    registry.QUERIES["kmeans_clusters"](spark, "/root/testdata/sf0.001")
+    assert min(seen) > 1
+
+
 def test_entries_split_at_their_beginnings(spark):
     """As the leftmost matches that don't overlap, whatever ends lines; and an entry's patterns are matched in one place of the plan."""
     from pyspark.sql import functions as F
