@@ -67,3 +67,16 @@ def test_names_in_blocks_and_texts_in_groups(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     # texts are scanned where they are: no gram is a row
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_contracts_that_nothing_exists_for_have_no_condition(spark):
+    stored = spark.createDataFrame([("any", "t", "c", "x"), ("any", "u", "c", "w"), ("any", "t", "c", "x")], "contract_pattern string, type string, category string, expression string")
+    contracts = spark.createDataFrame([(f"C{i}",) for i in range(9)] + [("C8",), (None,)], "contract string")
+    existing = spark.createDataFrame([("C1", "t", "c"), ("C2", "u", "c"), ("other", "t", "c")], "contract string, type string, category string")
+    want = sorted((f"C{i}", e) for i in [*range(9), 8] for e in "xxw" if (i, e) not in ((1, "x"), (2, "w")))
+    found = flows.for_each_contract(flows.new_expressions(stored, contracts, existing), contracts)
+    assert sorted((r["contract"], r["expression"]) for r in found.collect()) == want
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not any("array_contains" in line for line in joins)
+    listed = flows.for_each_contract(flows.new_expressions(stored, contracts, existing), contracts, most=2)
+    assert sorted((r["contract"], r["expression"]) for r in listed.collect()) == want
