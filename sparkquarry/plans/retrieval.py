@@ -70,8 +70,8 @@ def flow_threats(spark, sf_dir):
 def path_similarity(spark, sf_dir):
     """Paths, here orders with their parts, at least a quarter similar to a flow's; flows are the orders of ids divisible by 100."""
     paths = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 500).alias("items"))
-    found = R.set_matches(paths.where("l_orderkey % 100 = 0"), paths, 0.25, "l_orderkey", "l_orderkey", "items")
-    return found.select(F.col("query_id").alias("flow"), F.col("row_id").alias("path"), F.round("similarity", 6).alias("similarity"))
+    found = R.set_matches(paths.where("l_orderkey % 100 = 0"), paths, 0.25, "l_orderkey", "l_orderkey", "items", digits=6)
+    return found.select(F.col("query_id").alias("flow"), F.col("row_id").alias("path"), "similarity")
 
 
 def _indexed(spark, sf_dir, **search):

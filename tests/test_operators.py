@@ -169,3 +169,26 @@ def test_texts_are_embedded_once_whatever_the_blocks_of_queries(spark, monkeypat
         found[block] = sorted(map(tuple, knowledge.search_texts(asked, store, 3, counting).collect()))
         assert calls.value - before <= 60 + 12
     assert found[3] == found[2000] and len(found[3]) == 36
+
+
+def test_set_matches_in_blocks_and_parts(spark, monkeypatch):
+    from sparkquarry.operators import retrieval
+
+    r = random.Random(8)
+    made = [(i, [r.choice(["a", "b", "c", "d", "e", "f", "g", "h", None]) for _ in range(r.randint(0, 7))] if r.random() > 0.05 else None) for i in range(240)] + [(i, ["a"]) for i in range(240, 300)]
+    want = set()
+    for i, a in made[::3]:
+        for j, b in made:
+            x, y = set(a or ()), set(b or ())
+            n = len((x & y) - {None})
+            if n and n / (len(x) + len(y) - n) >= 0.4:
+                want.add((i, j, round(n / (len(x) + len(y) - n), 3)))
+    rows = spark.createDataFrame(made, "id int, items array<string>")
+    asked = rows.where("id % 3 = 0")
+    for sizes in ({}, {"ASKED": 40, "PAIRS": 50, "GIVEN": 7}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(retrieval, k, v)
+        got = retrieval.set_matches(asked, rows, 0.4, "id", "id", "items", digits=3)
+        assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are made where they are counted
+    assert retrieval.set_matches(asked.limit(0), rows, 0.4, "id", "id", "items").count() == 0
