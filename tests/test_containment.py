@@ -80,3 +80,23 @@ def test_pairs_of_contracts_that_nothing_exists_for_have_no_condition(spark):
     assert joins and not any("array_contains" in line for line in joins)
     listed = flows.for_each_contract(flows.new_expressions(stored, contracts, existing), contracts, most=2)
     assert sorted((r["contract"], r["expression"]) for r in listed.collect()) == want
+
+
+def test_texts_are_given_where_they_are_found(spark, monkeypatch):
+    rng = random.Random(6)
+    names, texts = made(rng)
+    names += [(7, "ab"), (7, "b a"), (90, "ab"), (91, "A"), (91, "B"), (91, "_😀")]
+    texts += [(3, "ab A"), (3, "ab A")]
+    n = spark.createDataFrame(names, "id int, name string")
+    for rows, unique in ((texts, False), ([(i, b) for i, (_, b) in enumerate(texts)], True)):
+        t = spark.createDataFrame(rows, "doc int, body string").repartition(3)
+        want = {(i, d, b) for i, a in names for d, b in rows if i is not None and d is not None and a and b and a in b}
+        for sizes in ({}, {"BLOCK": 40, "GIVEN": 5, "GIVEN_SIZE": 300}, {"BLOCK": 9}):
+            with monkeypatch.context() as m:
+                for k, v in sizes.items():
+                    m.setattr(containment, k, v)
+                got = containment.holding(n, t, "id", "name", "doc", "body", keep=True)
+                assert sorted(map(tuple, got.collect())) == sorted(want)
+                if unique and not sizes:  # neither texts nor pairs are shuffled
+                    found = got._jdf.queryExecution().optimizedPlan().toString()
+                    assert "Join" not in found and "Aggregate" not in found
